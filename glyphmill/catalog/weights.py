@@ -240,14 +240,16 @@ def _(fx):
 
 
 _BACK = f"""with {_DENS}, {grid('tok_exact', 'ge')}, {grid('tok_codon', 'gc')}, {grid('tok_gene_type', 'gt')},
- we as materialized (select token, cls, s, {EB} as w from ge), wc as materialized (select token, cls, s, {EB} as w from gc),
- wt as materialized (select token, cls, s, {EB} as w from gt),
- e0 as materialized (select sid, gene, event, event_type, c.cls, gene || '__' || event as te, gene || '__POS' || q as tc,
- gene || '__' || event_type as tt, q from ({_POS}) z cross join classes c),
+ we as materialized (select token || '~' || cls as k, s, {EB} as w from ge),
+ wc as materialized (select token || '~' || cls as k, s, {EB} as w from gc),
+ wt as materialized (select token || '~' || cls as k, s, {EB} as w from gt),
+ wd as materialized (select gene || '~' || event_type || '~' || position || '~' || cls as k, local_n, w from dens),
+ e0 as materialized (select sid, gene, event, c.cls, gene || '__' || event || '~' || c.cls as te,
+ gene || '__POS' || q || '~' || c.cls as tc, gene || '__' || event_type || '~' || c.cls as tt,
+ gene || '~' || event_type || '~' || q || '~' || c.cls as td from ({_POS}) z cross join classes c),
  e1 as (select e0.*, we.s / (we.s + 20) as ae, we.w as xe, wc.s / (wc.s + 20) as rc, wc.w as xc,
- local_n / (local_n + 20.0) as rd, dens.w as xd, wt.w as xt from e0 join we on we.token = te and we.cls = e0.cls
- join wc on wc.token = tc and wc.cls = e0.cls join wt on wt.token = tt and wt.cls = e0.cls
- join dens on dens.gene = e0.gene and dens.event_type = e0.event_type and dens.position = q and dens.cls = e0.cls),
+ local_n / (local_n + 20.0) as rd, wd.w as xd, wt.w as xt from e0 join we on we.k = te join wc on wc.k = tc
+ join wt on wt.k = tt join wd on wd.k = td),
  e2 as (select *, (1 - ae) * rc as ac from e1), e3 as (select *, (1 - ae - ac) * rd as ad from e2),
  e4 as (select sid, gene, event, cls, ae * xe + ac * xc + ad * xd + (1 - ae - ac - ad) * xt as e from e3)
 """
