@@ -354,9 +354,14 @@ def correlated_tokens(tokens: DataFrame, n_rows: int, threshold: float) -> DataF
         F.when(flip, F.col("sx")).otherwise(F.col("sy")).alias("size_b"), "common")
     # dense tokens that never meet: overlap zero
     ids = ordered.select(F.col("id").alias("y"), F.col("size").alias("sy")).distinct()
-    far = dense.select(F.col("id").alias("x"), F.col("size").alias("sx")).distinct().join(
-        ids, (F.col("x") != F.col("y")) & (F.col("sx") * F.col("sy") >= t2 * (n - F.col("sx")) * (n - F.col("sy")) - 1e-6)
-        & (F.col("sx") + F.col("sy") <= n_rows))
+    heavy = dense.select(F.col("id").alias("x"), F.col("size").alias("sx")).distinct()
+    odds = F.col("sx") / (n - F.col("sx"))
+    low = F.floor(64 * t2 / (t2 + odds) - 1e-9)  # least partner share that can reach the threshold, in 64ths
+    high = F.floor(64 * (1 - F.col("sx") / n) + 1e-9)
+    heavy = heavy.filter(low <= high).withColumn("band", F.explode(F.sequence(low, high)))
+    far = heavy.join(ids.withColumn("band", F.floor(64 * F.col("sy") / n)), "band").filter(
+        (F.col("x") != F.col("y")) & (F.col("sx") * F.col("sy") >= t2 * (n - F.col("sx")) * (n - F.col("sy")) - 1e-6)
+        & (F.col("sx") + F.col("sy") <= n_rows)).drop("band")
     flip2 = F.col("x") > F.col("y")
     never = far.join(counted.select("x", "y"), ["x", "y"], "left_anti").select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
