@@ -133,6 +133,17 @@ CTES: dict[str, str] = {
     "pr1": _prob(["a"], 0),
     "pr2": _prob(["a", "b"], 400),
     "pr3": _prob(["a", "b", "c"], 400),
+    "prs": _prob(["a1", "b1", "a2", "b2", "a3", "b3"], 400),
+    "pv": (
+        "select sid, label, cls, max(p) filter (variant = 'a') as pa, max(p) filter (variant = 'b') as pb,"
+        " max(p) filter (variant = 'c') as pc from pr3 group by 1, 2, 3"
+    ),
+    "pvf": "select pv.*, fold from pv join folds using (sid)",
+    "pt": (
+        "select sid, max(pa) as a1, max(pa) filter (ra = 2) as a2, max(cls) filter (ra = 1) as acls, max(pb) as b1,"
+        " max(pb) filter (rb = 2) as b2, max(cls) filter (rb = 1) as bcls from (select *, row_number() over (partition by sid"
+        " order by pa desc, cls) as ra, row_number() over (partition by sid order by pb desc, cls) as rb from pv) z group by 1"
+    ),
 }
 
 

@@ -70,3 +70,47 @@ def overall(cm: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def macro_f1(pred: DataFrame, by: list[str]) -> DataFrame:
     return overall(confusion(pred, by), by).select(*by, "macro_f1")
+
+
+def seed_holdout(scores: DataFrame) -> DataFrame:
+    """Per held-out seed the weight with the best mean F1 over the other seeds, and what it gives on the held-out one.
+
+    scores: (seed, weight, macro_f1) -- seeds x grid rows.
+    """
+    from pyspark.sql import Window
+
+    over = Window.partitionBy("weight")
+    others = (F.sum("macro_f1").over(over) - F.col("macro_f1")) / (F.count(F.lit(1)).over(over) - 1)
+    x = scores.withColumn("mean_f1", F.round(others, 9))
+    pick = Window.partitionBy("seed").orderBy(F.desc("mean_f1"), "weight")
+    base = scores.filter("weight = 0").select("seed", F.col("macro_f1").alias("baseline_f1"))
+    best = x.withColumn("_rn", F.row_number().over(pick)).filter("_rn = 1").join(base, "seed")
+    return best.select(
+        F.col("seed").alias("held_seed"), "weight", F.round("baseline_f1", 6).alias("baseline_f1"),
+        F.round("macro_f1", 6).alias("selected_f1"), F.round(F.col("macro_f1") - F.col("baseline_f1"), 6).alias("delta"))
+
+
+def pair_comparison(pred: DataFrame, classes: list[str]) -> DataFrame:
+    """(class_a, class_b): F1 change, recovered, broken and rows among samples whose truth is in the pair.
+
+    pred: (sid, truth, pa, pb).  Counted once per (truth, pa, pb); class pairs are formed on that small table.
+    """
+    counts = pred.groupBy("truth", "pa", "pb").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(a).alias("class_a"), F.lit(b).alias("class_b")) for i, a in enumerate(classes) for b in classes[i + 1:]]))
+    x = counts.select("*", pairs.alias("q")).select("*", "q.class_a", "q.class_b").filter(
+        (F.col("truth") == F.col("class_a")) | (F.col("truth") == F.col("class_b")))
+
+    def total(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+
+    def f1(side: str, cls: str) -> Column:
+        c = F.col(cls)
+        hit, t, q = total((F.col("truth") == c) & (F.col(side) == c)), total(F.col("truth") == c), total(F.col(side) == c)
+        return F.coalesce(2 * hit / F.nullif(t + q, F.lit(0).cast("bigint")), F.lit(0.0))
+
+    mean_b, mean_a = ((f1(s, "class_a") + f1(s, "class_b")) / 2 for s in ("pb", "pa"))
+    right_a, right_b = F.col("pa") == F.col("truth"), F.col("pb") == F.col("truth")
+    return x.groupBy("class_a", "class_b").agg(
+        (mean_b - mean_a).alias("delta"), total(~right_a & right_b).alias("recovered"), total(right_a & ~right_b).alias("broken"),
+        F.sum("n").alias("n_rows"))
