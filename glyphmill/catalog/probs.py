@@ -7,6 +7,7 @@ from glyphmill.catalog.base import query, r6
 from glyphmill.functions.hashing import md5_int
 from glyphmill.operators import metrics as me, probs as pr, rollups as ru, weights as we
 from glyphmill.catalog.weights import EB, grid
+from glyphmill.session import cut_lineage
 
 A, B, C = F.col("a"), F.col("b"), F.col("c")
 PAIR = ("AUTOMOBILE", "MACHINERY")
@@ -125,19 +126,17 @@ def _macro(source: str, p: str, name: str) -> str:
 ]) + f""" select 'b' as first, 'c' as second, {r6('mb.f1 - m0.f1')} as gain_first, {r6('mbc.f1 - m0.f1')} as gain_total, {r6('mbc.f1 - mb.f1')} as
  marginal from m0, mb, mbc union all select 'c', 'b', {r6('mc.f1 - m0.f1')}, {r6('mcb.f1 - m0.f1')}, {r6('mcb.f1 - mc.f1')} from m0, mc, mcb""")
 def _(fx):
-    base = _rows(fx, True)
-    rows = base
-    for first, second in (("b", "c"), ("c", "b")):
-        rows = pr.local_blend(rows, "a", first, _GR, fx.classes, f"s1{first}").drop(f"s1{first}_weight")
-        rows = pr.local_blend(rows, f"s1{first}", second, _GR, fx.classes, f"s2{first}").drop(f"s2{first}_weight")
-    stages = ["a", "s1b", "s2b", "s1c", "s2c"]
+    rows = cut_lineage(_rows(fx, True))
+    for order in (["b", "c"], ["c", "b"]):
+        rows = pr.staged_blend(rows, "a", order, _GR, fx.classes)
+    stages = ["a", "a+b", "a+b+c", "a+c", "a+c+b"]
     pred = rows.select("sid", F.col("label").alias("truth"), F.explode(F.array(*[
-        F.struct(F.lit(s).alias("stage"), pr.argmax_class(F.col(s), fx.classes).alias("pred")) for s in stages])).alias("x"))
+        F.struct(F.lit(s).alias("stage"), pr.argmax_class(F.col(f"`{s}`"), fx.classes).alias("pred")) for s in stages])).alias("x"))
     f1 = me.overall(me.confusion(pred.select("sid", "truth", "x.stage", "x.pred"), ["stage"]), ["stage"])
     at = {s: F.max(F.when(F.col("stage") == s, F.col("macro_f1"))) for s in stages}
     out = [F.struct(
-        F.lit(x).alias("first"), F.lit(y).alias("second"), F.round(at[f"s1{x}"] - at["a"], 6).alias("gain_first"),
-        F.round(at[f"s2{x}"] - at["a"], 6).alias("gain_total"), F.round(at[f"s2{x}"] - at[f"s1{x}"], 6).alias("marginal"))
+        F.lit(x).alias("first"), F.lit(y).alias("second"), F.round(at[f"a+{x}"] - at["a"], 6).alias("gain_first"),
+        F.round(at[f"a+{x}+{y}"] - at["a"], 6).alias("gain_total"), F.round(at[f"a+{x}+{y}"] - at[f"a+{x}"], 6).alias("marginal"))
         for x, y in (("b", "c"), ("c", "b"))]
     return f1.agg(F.array(*out).alias("o")).select(F.explode("o").alias("o")).select("o.*")
 

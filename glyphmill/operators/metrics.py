@@ -114,3 +114,96 @@ def pair_comparison(pred: DataFrame, classes: list[str]) -> DataFrame:
     return x.groupBy("class_a", "class_b").agg(
         (mean_b - mean_a).alias("delta"), total(~right_a & right_b).alias("recovered"), total(right_a & ~right_b).alias("broken"),
         F.sum("n").alias("n_rows"))
+
+
+# Ranks of the truth ---------------------------------------------------------------------------
+
+
+def row_summary(prob: DataFrame, keys: tuple[str, ...] = ("sid", "label")) -> DataFrame:
+    """(keys): top-1 class and probability, margin, entropy and 0-based rank of the truth."""
+    r = ranked_rows(prob, list(keys))
+    return r.select(
+        *keys, top1().alias("pred"), p_at(0).alias("p1"), (p_at(0) - p_at(1)).alias("margin"),
+        row_entropy().alias("entropy"), truth_rank(F.col("label")).alias("rank"))
+
+
+def top_k_accuracy(summary: DataFrame, ks: list[int]) -> DataFrame:
+    """(k): accuracy, macro recall and macro F1 of an oracle that is right within the first k."""
+    points = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
+    x = summary.select("sid", F.col("label").alias("truth"), "pred", "rank", points)
+    hit = F.col("rank") < F.col("k")
+    recall = x.groupBy("k", "truth").agg(F.avg(hit.cast("double")).alias("r"), F.count_if(hit).alias("h"), F.count(F.lit(1)).alias("n"))
+    basic = recall.groupBy("k").agg((F.sum("h") / F.sum("n")).alias("accuracy"), F.avg("r").alias("macro_recall"))
+    oracle = x.withColumn("pred", F.when(hit, F.col("truth")).otherwise(F.col("pred")))
+    f1 = overall(confusion(oracle, ["k"]), ["k"]).select("k", F.col("macro_f1").alias("oracle_macro_f1"))
+    return basic.join(f1, "k")
+
+
+def coverage_curve(ranked: DataFrame, levels: list[float]) -> DataFrame:
+    """(coverage): accuracy and least confidence of the most confident share of rows.
+
+    ranked: (rn, correct, confidence).  Rows are summed between consecutive cuts; only the few cuts are
+    accumulated.
+    """
+    from pyspark.sql import Window
+
+    n = ranked.agg(F.count(F.lit(1))).scalar()
+    x = ranked.withColumn("_n", n)
+    cuts = [F.greatest(F.floor(F.col("_n") * level + 0.5), F.lit(1)) for level in levels]
+    step = F.lit(None).cast("int")
+    for i in reversed(range(len(levels))):
+        step = F.when(F.col("rn") <= cuts[i], i).otherwise(step)
+    sums = x.select(step.alias("i"), "correct", "confidence").filter("i is not null").groupBy("i").agg(
+        F.count(F.lit(1)).alias("k"), F.sum(F.col("correct").cast("bigint")).alias("c"), F.min("confidence").alias("m"))
+    upto = Window.partitionBy(F.lit(0)).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)  # one row per level
+    return sums.select(
+        F.get(F.array(*[F.lit(v) for v in levels]), F.col("i")).alias("coverage"), F.sum("k").over(upto).alias("n_rows"),
+        (F.sum("c").over(upto) / F.sum("k").over(upto)).alias("accuracy"), F.min("m").over(upto).alias("min_confidence"))
+
+
+# Two models -----------------------------------------------------------------------------------
+
+
+def diversity(pred: DataFrame, truth: str = "truth", base: str = "pa", other: str = "pb") -> DataFrame:
+    """One row: disagreement, recovery, reverse loss, double fault and oracle macro F1 of two predictions."""
+    ok_a, ok_b = F.col(base) == F.col(truth), F.col(other) == F.col(truth)
+    n = F.count(F.lit(1))
+    counts = pred.agg(
+        (F.count_if(F.col(base) != F.col(other)) / n).alias("disagreement"),
+        (F.count_if(~ok_a & ok_b) / F.greatest(F.count_if(~ok_a), F.lit(1))).alias("recovery_rate"),
+        (F.count_if(ok_a & ~ok_b) / F.greatest(F.count_if(ok_a), F.lit(1))).alias("reverse_loss_rate"),
+        (F.count_if(~ok_a & ~ok_b) / n).alias("double_fault"),
+        F.count_if(~ok_a & ok_b).alias("recovered"), F.count_if(ok_a & ~ok_b).alias("damaged"),
+        (F.count_if(~ok_a & ok_b) - F.count_if(ok_a & ~ok_b)).alias("net"))
+    oracle = pred.select("sid", F.col(truth).alias("truth"), F.when(ok_b, F.col(other)).otherwise(F.col(base)).alias("pred"))
+    return counts.withColumn("oracle_macro_f1", overall(confusion(oracle)).select("macro_f1").scalar())
+
+
+def agreement(preds: list[Column]) -> Column:
+    """Size of the largest group of equal predictions in a row."""
+    array = F.array(*preds)
+    return F.array_max(F.transform(array, lambda x: F.size(F.filter(array, lambda y: y == x))))
+
+
+def transition(before: Column, after: Column, truth: Column) -> Column:
+    a, b = before == truth, after == truth
+    return F.when(~a & b, "recovered").when(a & ~b, "broken").when(a & b, "both_correct").otherwise("both_wrong")
+
+
+def diagnosis(precision: Column, recall: Column, f1: Column, good: float = 0.50, gap: float = 0.10) -> Column:
+    d = recall - precision
+    return F.when(f1 >= good, "good").when(d > gap, "over_predicted").when(d < -gap, "missed").otherwise("balanced_weak")
+
+
+def acceptance(all_positive: Column, mean_delta: Column, least_delta: Column, positive_folds: Column, class_floor: Column,
+               mean_floor: float = 0.010, least_floor: float = 0.005, folds_floor: int = 11, class_limit: float = -0.05) -> Column:
+    return (all_positive & (mean_delta >= mean_floor) & (least_delta >= least_floor) & (positive_folds >= folds_floor)
+            & (class_floor >= class_limit))
+
+
+def verdict(delta: Column, positive_folds: Column, matched_rate: Column, recovered: Column, broken: Column) -> Column:
+    """Tiered outcome of a candidate against its baseline."""
+    return (
+        F.when((delta >= 0.015) & (positive_folds >= 4) & (matched_rate >= 0.05) & (recovered > broken), "strong_candidate")
+        .when((delta >= 0.005) & (positive_folds >= 3) & (recovered > broken), "candidate")
+        .when(delta > 0, "not_detected").otherwise("rejected"))

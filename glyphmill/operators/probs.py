@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glyphmill.operators import metrics as me
+from glyphmill.session import cut_lineage
 
 
 def rows_of(prob: DataFrame, variants: list[str], classes: list[str], keys: tuple[str, ...] = ("sid", "label")) -> DataFrame:
@@ -224,6 +225,20 @@ def local_blend(rows: DataFrame, base: str, extra: str, grid: list[float], class
     return joined.withColumn(out, mixed).withColumnRenamed("weight", f"{out}_weight")
 
 
+def staged_blend(rows: DataFrame, base: str, extras: list[str], grid: list[float], classes: list[str], part: str = "fold") -> DataFrame:
+    """Blend the extras in one after the other, each with fold-local weights: adds base+1, base+1+2, ...
+
+    A stage's rows are checkpointed: the next stage reads them twice (to pick weights and to blend).
+    """
+    current = base
+    for extra in extras:
+        out = f"{current}+{extra}"
+        if out not in rows.columns:
+            rows = cut_lineage(local_blend(rows, current, extra, grid, classes, out, part).drop(f"{out}_weight"))
+        current = out
+    return rows
+
+
 def rows_f1(rows: DataFrame, array: str, classes: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     pred = rows.select("sid", *by, F.col("label").alias("truth"), argmax_class(F.col(array), classes).alias("pred"))
     return me.overall(me.confusion(pred, list(by)), list(by))

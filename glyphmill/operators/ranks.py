@@ -55,3 +55,48 @@ def salted_join(
         "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     ).drop("_hot")
     return l2.join(r2, [*keys, "_salt"]).drop("_salt")
+
+
+def numbered_by_value(df: DataFrame, value: str, key: Column, ties: list[str], out: str = "rn", buckets: int = 512,
+                      groups: list[str] | None = None) -> DataFrame:
+    """1-based number of each row (of its group) by ``value`` descending, equal values in md5 order of ``key``.
+
+    Quantile edges make buckets of about equal row counts; inside a bucket distinct values are summed up,
+    and a value shared by many rows is split further by hash.  The order is exact whatever the edges are.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    groups = groups or []
+    edges = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.001)))
+    splits = [float("-inf"), *edges, float("inf")]
+    keyed = Bucketizer(splits=splits, inputCol=value, outputCol="_b").transform(
+        df.withColumn("_h", key)).withColumn("_s", F.substring("_h", 1, HASH_PREFIX))
+    parts = keyed.groupBy(*groups, "_b", value, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    outer = groups or [F.lit(0)]
+    before = Window.partitionBy(*outer).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy(*groups, "_b").agg(F.sum("_n").alias("_t")).select(
+        *groups, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o1"))
+    within = Window.partitionBy(*groups, "_b").orderBy(F.desc(value), "_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.join(starts, [*groups, "_b"]).select(
+        *groups, value, "_s", (F.col("_o1") + F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("_o"))
+    inside = Window.partitionBy(*groups, value, "_s").orderBy("_h", *ties)
+    return keyed.join(offsets, [*groups, value, "_s"]).withColumn(out, F.row_number().over(inside) + F.col("_o")).drop(
+        "_h", "_b", "_s", "_o")
+
+
+def exact_quantiles(df: DataFrame, groups: list[str], value: str, qs: list[float], key: Column, ties: list[str]) -> DataFrame:
+    """(*groups, q, value): linearly interpolated quantiles without gathering a group's values anywhere."""
+    x = df.filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
+    numbered = numbered_by_value(x, value, key, ties, groups=groups)
+    sizes = group_sizes(x, groups)
+    wanted = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
+    targets = sizes.select(*groups, "n", wanted).withColumn("_at", (F.col("n") - 1) * F.col("q")).withColumn(
+        "_low", F.floor("_at"))
+    # rows are numbered downwards: the k-th smallest (0-based) has number n - k
+    places = targets.withColumn("_k", F.explode(F.array(F.col("_low"), F.least(F.col("_low") + 1, F.col("n") - 1)))).select(
+        *groups, "q", "_at", "_low", "_k", (F.col("n") - F.col("_k")).alias("rn")).distinct()
+    hit = numbered.select(*groups, "rn", F.col(value).alias("_v")).join(places, [*groups, "rn"])
+    low = F.max(F.when(F.col("_k") == F.col("_low"), F.col("_v")))
+    high = F.max("_v")
+    share = F.max(F.col("_at") - F.col("_low"))
+    return hit.groupBy(*groups, "q").agg((low + (high - low) * share).alias("value"))

@@ -89,3 +89,13 @@ def labelled_template(template: DataFrame, predictions: DataFrame, key: str) ->
 def upsert(board: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """Replace rows with the same key, keep the others."""
     return board.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder (a local one only where none is configured)."""
+    import uuid
+
+    from glyphmill.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
