@@ -153,11 +153,11 @@ def _(fx):
     return _round(got, *EVENT_TYPES)
 
 
-@query("g5_value_counts", f"select event_type, count(*) as n, {r6('count(*) / sum(count(*)) over ()')} as share from events_raw group by 1".replace("events_raw", "(select event_type from main.events)"))
+@query("g5_value_counts", f"select source, count(*) as n, {r6('count(*) / sum(count(*)) over ()')} as share from documents group by 1")
 def _(fx):
-    counts = fx.t("events").groupBy("event_type").agg(_n().alias("n"))
-    every = Window.partitionBy(F.lit(0))  # one row per event type
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(every), 6)).orderBy(F.desc("n"), "event_type")
+    counts = fx.t("documents").groupBy("source").agg(_n().alias("n"))
+    total = fx.t("documents").agg(_n()).scalar()
+    return counts.withColumn("share", F.round(F.col("n") / total, 6)).orderBy(F.desc("n"), "source")
 
 
 @query("g6_pivot_metrics", """select o_orderpriority as priority, count(*) filter (o_orderstatus = 'F') as f, count(*) filter (o_orderstatus = 'O') as o, count(*) filter (o_orderstatus = 'P') as p from orders group by 1""")
