@@ -140,7 +140,7 @@ _DOCW = ("dw as (select doc_id as sid, unnest(list_distinct(regexp_extract_all(l
 def doc_words(fx):
     """Distinct (sid, token) of whole documents."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))
-    return fx.t("documents").select(F.col("doc_id").alias("sid"), F.explode(words).alias("token"))
+    return fx.documents.select(F.col("doc_id").alias("sid"), F.explode(words).alias("token"))
 
 
 def _word_columns(fx):

@@ -19,9 +19,23 @@ def ordered_members(sets: DataFrame) -> DataFrame:
     """(id, member, size, place): members of a set from rarest to most frequent."""
     frequency = sets.groupBy("member").agg(F.count(F.lit(1)).alias("df"))
     known = salted_join(sets, frequency, ["member"], hot_keys(frequency, ["member"], "df"), ["id"])
-    inside = Window.partitionBy("id").orderBy("df", "member")
-    sizes = sets.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
-    return known.withColumn("place", F.row_number().over(inside)).join(sizes, "id").drop("df")
+    whole = Window.partitionBy("id")
+    return known.withColumn("place", F.row_number().over(whole.orderBy("df", "member"))).withColumn(
+        "size", F.count(F.lit(1)).over(whole)).drop("df")
+
+
+def _candidates(prefix: DataFrame) -> DataFrame:
+    """Pairs a < b that share a prefix member, with an upper bound of their overlap.
+
+    Up to the last shared prefix member every common member was seen (k of them); after it at most the
+    shorter remainder can be common.
+    """
+    left = prefix.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("place").alias("pa"), "member")
+    right = prefix.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("pb"), "member")
+    load = prefix.groupBy("member").agg(F.count(F.lit(1)).alias("n"))
+    met = salted_join(left, right, ["member"], hot_keys(load, ["member"], "n"), ["a"]).filter(F.col("a") < F.col("b"))
+    rest = F.least(F.col("size_a") - F.max("pa"), F.col("size_b") - F.max("pb"))
+    return met.groupBy("a", "b", "size_a", "size_b").agg((F.count(F.lit(1)) + rest).alias("at_most"))
 
 
 def _count_common(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
@@ -40,13 +54,9 @@ def similar_pairs(ordered: DataFrame, threshold: float) -> DataFrame:
     """
     need = F.ceil(F.col("size") * (threshold * threshold) - 1e-9)
     prefix = ordered.filter(F.col("place") <= F.col("size") - need + 1)
-    left = prefix.select(F.col("id").alias("a"), F.col("size").alias("size_a"), "member")
-    right = prefix.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "member")
-    load = prefix.groupBy("member").agg(F.count(F.lit(1)).alias("n"))
-    met = salted_join(left, right, ["member"], hot_keys(load, ["member"], "n"), ["a"])
     ratio = F.least("size_a", "size_b") / F.greatest("size_a", "size_b")
-    pairs = met.filter((F.col("a") < F.col("b")) & (ratio >= threshold * threshold - 1e-9)).select(
-        "a", "b", "size_a", "size_b").distinct()
+    least = F.sqrt(F.col("size_a").cast("double") * F.col("size_b")) * threshold - 1e-9
+    pairs = _candidates(prefix).filter((ratio >= threshold * threshold - 1e-9) & (F.col("at_most") >= least)).drop("at_most")
     got = _count_common(pairs, ordered)
     return got.withColumn("cosine", _cosine(F.col("common"), F.col("size_a"), F.col("size_b"))).filter(
         F.col("cosine") >= threshold - 1e-12)
@@ -336,11 +346,10 @@ def correlated_tokens(tokens: DataFrame, n_rows: int, threshold: float) -> DataF
     smallest = t2 * s * n / (n - s * (1 - t2))  # least partner support that can still reach the threshold
     need = F.ceil(F.least(threshold * s, smallest) - 1e-9)
     prefix = ordered.filter(F.col("place") <= F.col("size") - need + 1)
-    left = prefix.select(F.col("id").alias("a"), F.col("size").alias("size_a"), "member")
-    right = prefix.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "member")
-    a, b = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    met = left.join(right, "member").filter(F.col("a") < F.col("b")).filter(
-        a * (n - b) >= t2 * b * (n - a) - 1e-6).select("a", "b", "size_a", "size_b").distinct()
+    a, b = F.least("size_a", "size_b").cast("double"), F.greatest("size_a", "size_b").cast("double")
+    least = (threshold * F.sqrt(a * b * (n - a) * (n - b)) + a * b) / n
+    met = _candidates(prefix).filter(
+        (a * (n - b) >= t2 * b * (n - a) - 1e-6) & (F.col("at_most") >= least - 1e-6)).drop("at_most")
     positive = _count_common(met, ordered)
     dense_odds = threshold * (1 - 1e-9)
     dense = ordered.filter(F.col("size") / (n - F.col("size")) >= dense_odds)

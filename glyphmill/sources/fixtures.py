@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from glyphmill.functions import cells
 from glyphmill.functions.hashing import md5_int
 from glyphmill.operators import folds
-from glyphmill.sources.tables import table
+from glyphmill.sources.tables import spread, table
 
 LETTERS = cells.AMINO
 
@@ -62,13 +62,21 @@ class Fixtures:
         """The label domain: checked to be small before it reaches the driver."""
         return classes_of(self.samples)
 
+    @cached_property
+    def line_items(self) -> DataFrame:
+        return spread(self.t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        return spread(self.t("documents"))
+
     @cached_property
     def events(self) -> DataFrame:
         """Distinct (sid, gene, event)."""
         position = F.expr("cast(l_partkey % 1500 + 1 as string)")
         tail = F.expr("case when l_linenumber = 7 then 'FS' when l_linenumber = 6 then '*' end")
         rows = (
-            self.t("lineitem")
+            self.line_items
             .join(self.t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.t("part"), F.col("l_partkey") == F.col("p_partkey"))
         )
@@ -108,7 +116,7 @@ class Fixtures:
     @cached_property
     def raw_cells(self) -> DataFrame:
         """(sid, line, gene, cell, label): one messy cell per line item, no shuffle."""
-        base = self.t("lineitem").select(
+        base = self.line_items.select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
             letter("l_partkey").alias("a"), letter("l_suppkey").alias("b"),
             F.expr("cast(l_partkey % 1500 + 1 as string)").alias("p"),

@@ -8,6 +8,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that arrives in fewer splits than there are cores.
+
+    Large inputs already come in many splits and pass through untouched, so no shuffle is added to them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_wide_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """All-string wide table with a header; no type inference, so one pass over the file."""
     reader = spark.read.option("header", True)
