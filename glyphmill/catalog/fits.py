@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from glyphmill.catalog.base import query, r6
 from glyphmill.catalog.folds import _fit_grid
 from glyphmill.operators import probs as pr, weights as we
+from glyphmill.session import cut_lineage
 from glyphmill.plans import compositions as co, designs as de, fits as ft
 from glyphmill.sources.tables import scratch_path
 
@@ -20,7 +21,7 @@ def _design(fx, token_only=False):
         tokens = fx.tokens("gene_type")
         seen = tokens.join(split.filter("fit").select("sid"), "sid", "left_semi").select("token").distinct()
         return de.assemble(split, tokens, de.vocabulary(seen))
-    return co.structured_design(fx.typed, split)
+    return co.structured_design(cut_lineage(fx.typed), split)
 
 
 def _out(fx, scored):
@@ -59,9 +60,10 @@ def _(fx):
 
 @query("ml5_truncated_svd")
 def _(fx):
-    rows, names = _design(fx, True)
-    basis = ft.right_singular_vectors(rows, 8)
-    got = ft.project_tokens(fx.tokens("gene_type"), names, basis)
+    tokens = fx.tokens("gene_type")
+    fit = tokens.join(_split(fx).filter("fit").select("sid"), "sid", "left_semi")
+    basis, _values = ft.singular_vectors(fit, 6)
+    got = ft.project_tokens(tokens, basis, 6)
     return got.select("sid", *[F.round(F.abs(c), 4).alias(c) for c in got.columns[1:]])
 
 
@@ -131,8 +133,8 @@ def _(fx):
 
 @query("c5_selective_evidence_bag")
 def _(fx):
-    """Three inner seeds, averaged, then the predicted label per row."""
-    parts = [co.selective_evidence(fx.typed, _split(fx), fx.classes, seed, iterations=10) for seed in (42, 777, 2024)]
+    """Three inner seeds, their probabilities averaged."""
+    parts = co.selective_evidence(fx.typed, _split(fx), fx.classes, (42, 777, 2024), iterations=10)
     bag = co.seed_bag(parts, fx.classes)
     return bag.withColumn("p", F.round("p", 4))
 
