@@ -9,7 +9,6 @@ from glyphmill.functions.hashing import hash_bucket
 from glyphmill.sources import tables
 from glyphmill.sources.fixtures import Fixtures
 
-CELL = F.col("cell")
 
 
 def _exploded(fx: Fixtures, events) -> DataFrame:
@@ -37,7 +36,7 @@ def _type_sql(case: str, source: str) -> str:
     "select gene, array_to_string(events, '|') as events, count(*) as n from parsed group by 1, 2",
 )
 def _(fx):
-    return fx.raw_cells.select("gene", F.concat_ws("|", c.normalise_cell(CELL)).alias("events")).groupBy(
+    return fx.raw_cells.select("gene", F.concat_ws("|", c.normalise_cell(F.col("cell"))).alias("events")).groupBy(
         "gene", "events").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -46,7 +45,7 @@ def _(fx):
     "select gene, event, count(*) as n, count(distinct sid) as n_samples from split_ws group by 1, 2",
 )
 def _(fx):
-    return _exploded(fx, c.split_whitespace(CELL)).groupBy("gene", "event").agg(
+    return _exploded(fx, c.split_whitespace(F.col("cell"))).groupBy("gene", "event").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("sid").alias("n_samples"))
 
 
@@ -55,7 +54,7 @@ def _(fx):
     "select gene, array_to_string(events, '~') as events, count(*) as n from segs group by 1, 2",
 )
 def _(fx):
-    return fx.raw_cells.select("gene", F.concat_ws("~", c.split_grammar(CELL)).alias("events")).groupBy(
+    return fx.raw_cells.select("gene", F.concat_ws("~", c.split_grammar(F.col("cell"))).alias("events")).groupBy(
         "gene", "events").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -75,7 +74,7 @@ _DETAIL8 = """case when event is null then 'NONE' when contains(event, 'FS') the
     f" {_DETAIL8} as event_type from ({_SINGLE}) y) z group by 1",
 )
 def _(fx):
-    one = fx.raw_cells.select(c.single_event(CELL).alias("event"))
+    one = fx.raw_cells.select(c.single_event(F.col("cell")).alias("event"))
     kind = F.when(F.col("event").isNull(), "NONE").otherwise(c.detail8(F.col("event")))
     return _type_counts(one, kind)
 
@@ -85,7 +84,7 @@ def _(fx):
 
 @query("p2_classify_standard7", _type_sql(TYPE7.format(e="event"), "pev"))
 def _(fx):
-    return _type_counts(_exploded(fx, c.normalise_cell(CELL)), c.standard7(F.col("event")))
+    return _type_counts(_exploded(fx, c.normalise_cell(F.col("cell"))), c.standard7(F.col("event")))
 
 
 @query(
@@ -95,7 +94,7 @@ def _(fx):
             "ends_with(event, 'X')", "regexp_matches(event, '^[A-Z*]-?[0-9]+X$')"), "pev"),
 )
 def _(fx):
-    return _type_counts(_exploded(fx, c.normalise_cell(CELL)), c.standard7_strict_x(F.col("event")))
+    return _type_counts(_exploded(fx, c.normalise_cell(F.col("cell"))), c.standard7_strict_x(F.col("event")))
 
 
 _SHAPE = "'(?s)^([A-Z*]+)([0-9]+)(.*)$'"
@@ -110,7 +109,7 @@ _COMPACT6 = f"""case when contains(event, '>') then 'other' when contains(event,
 
 @query("p2c_classify_compact6", _type_sql(_COMPACT6, "split_ws"))
 def _(fx):
-    return _type_counts(_exploded(fx, c.split_whitespace(CELL)), c.compact6(F.col("event")))
+    return _type_counts(_exploded(fx, c.split_whitespace(F.col("cell"))), c.compact6(F.col("event")))
 
 
 @query(
@@ -121,7 +120,7 @@ def _(fx):
         " then 'synonymous' else 'missense' end else 'other' end", "split_ws"),
 )
 def _(fx):
-    return _type_counts(_exploded(fx, c.split_whitespace(CELL)), c.basic5(F.col("event")))
+    return _type_counts(_exploded(fx, c.split_whitespace(F.col("cell"))), c.basic5(F.col("event")))
 
 
 @query(
@@ -133,7 +132,7 @@ def _(fx):
         " when regexp_matches(event, '^[A-Z*][0-9]+[A-Z*]$') then 'MISSENSE' else 'OTHER' end", "pev"),
 )
 def _(fx):
-    return _type_counts(_exploded(fx, c.normalise_cell(CELL)), c.detail9(F.col("event")))
+    return _type_counts(_exploded(fx, c.normalise_cell(F.col("cell"))), c.detail9(F.col("event")))
 
 
 _V = "replace(upper(event), ' ', '')"
@@ -161,7 +160,7 @@ _LEGACY = """case when k in ('FRAMESHIFT_INS', 'FRAMESHIFT_DEL') then 'FRAMESHIF
     " from sev) z group by 1, 2",
 )
 def _(fx):
-    e = _exploded(fx, c.split_grammar(CELL)).withColumn("canonical_type", c.canonical14(F.col("event")))
+    e = _exploded(fx, c.split_grammar(F.col("cell"))).withColumn("canonical_type", c.canonical14(F.col("event")))
     return e.groupBy("canonical_type", c.legacy_type(F.col("canonical_type")).alias("legacy_type")).agg(
         F.count(F.lit(1)).alias("n"), F.min("event").alias("first_event"),
         F.min(c.first_integer(F.col("event"))).alias("min_position"))
@@ -179,7 +178,7 @@ def _(fx):
 )
 def _(fx):
     e = F.col("event")
-    return _exploded(fx, c.split_whitespace(CELL)).groupBy(
+    return _exploded(fx, c.split_whitespace(F.col("cell"))).groupBy(
         c.state3(e).alias("state"), c.eda7(e).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -195,7 +194,7 @@ def _(fx):
 )
 def _(fx):
     e = F.col("event")
-    return _exploded(fx, c.normalise_cell(CELL)).select(
+    return _exploded(fx, c.normalise_cell(F.col("cell"))).select(
         c.substitution_ref(e).alias("ref"), c.substitution_position(e).alias("position"),
         c.substitution_alt(e).alias("alt"),
     ).groupBy("ref", "alt").agg(
@@ -211,7 +210,7 @@ def _(fx):
 )
 def _(fx):
     e = F.col("event")
-    return _exploded(fx, c.normalise_cell(CELL)).groupBy(
+    return _exploded(fx, c.normalise_cell(F.col("cell"))).groupBy(
         c.first_integer(e).alias("first_integer"), c.leading_position(e).alias("leading_position")
     ).agg(F.count(F.lit(1)).alias("n"))
 
@@ -224,7 +223,7 @@ def _(fx):
     " '^([A-Z*])(-?[0-9]+)([A-Z*])$', 2), '') as bigint) as p from pev) y) z group by 1, 2",
 )
 def _(fx):
-    return _exploded(fx, c.normalise_cell(CELL)).groupBy(
+    return _exploded(fx, c.normalise_cell(F.col("cell"))).groupBy(
         "grp", c.position_range(c.substitution_position(F.col("event"))).alias("bin")
     ).agg(F.count(F.lit(1)).alias("n"))
 
@@ -239,7 +238,7 @@ def _(fx):
 )
 def _(fx):
     p = c.leading_position(F.col("event"))
-    got = _exploded(fx, c.normalise_cell(CELL)).select(p.alias("p")).filter(F.col("p").isNotNull())
+    got = _exploded(fx, c.normalise_cell(F.col("cell"))).select(p.alias("p")).filter(F.col("p").isNotNull())
     return got.groupBy(
         c.position_bin(F.col("p"), "one").alias("one"), c.position_bin(F.col("p"), "zero").alias("zero"),
         c.position_bin(F.col("p"), "label").alias("label"),
@@ -254,7 +253,7 @@ def _(fx):
 )
 def _(fx):
     key = c.codon_key(F.col("gene"), F.col("event")).alias("codon")
-    return _exploded(fx, c.split_whitespace(CELL)).select("sid", key).filter(F.col("codon").isNotNull()).groupBy(
+    return _exploded(fx, c.split_whitespace(F.col("cell"))).select("sid", key).filter(F.col("codon").isNotNull()).groupBy(
         "codon").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sid").alias("n_samples"))
 
 

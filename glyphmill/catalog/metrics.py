@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from glyphmill.catalog.base import query, r6
 from glyphmill.catalog.folds import _fit_grid
-from glyphmill.catalog.probs import A, B, C, _SEEDED, _cm_sql, _rows
+from glyphmill.catalog.probs import _SEEDED, _cm_sql, _rows
 from glyphmill.functions.hashing import md5_key
 from glyphmill.operators import folds as fo, metrics as me, probs as pr, ranks, weights as we
 
@@ -95,7 +95,7 @@ _AB = "w as (select sid, any_value(label) as truth, max(pred) filter (variant =
 
 
 def _preds(fx, **extra):
-    arrays = {"pa": A, "pb": B, "pc": C, **extra}
+    arrays = {"pa": F.col("a"), "pb": F.col("b"), "pc": F.col("c"), **extra}
     return _rows(fx).select("sid", F.col("label").alias("truth"), *[pr.argmax_class(v, fx.classes).alias(k) for k, v in arrays.items()])
 
 
@@ -109,7 +109,7 @@ _DIV = """count(*) filter (pa <> pb) / cast(count(*) as double) as disagreement,
  {r6('double_fault')} as double_fault, recovered, damaged, recovered - damaged as net, {r6('macro_f1')} as oracle_macro_f1, {r6('c')} as probability_correlation from d, mf, cr""")
 def _(fx):
     got = me.diversity(_preds(fx))
-    z = F.explode(F.arrays_zip(A.alias("x"), B.alias("y"))).alias("z")
+    z = F.explode(F.arrays_zip(F.col("a").alias("x"), F.col("b").alias("y"))).alias("z")
     corr = _rows(fx).select(z).agg(F.corr("z.x", "z.y")).scalar()
     got = got.withColumn("probability_correlation", corr)
     return _round(got, "disagreement", "recovery_rate", "reverse_loss_rate", "double_fault", "oracle_macro_f1", "probability_correlation")
@@ -122,7 +122,7 @@ _MIX = "mx as (select sid, label, cls, 0.8 * pa + 0.2 * pb as p from pv), mp as
  (pa = truth and pm <> truth) as damaged, count(*) filter (pm = truth) - count(*) filter (pa = truth) as net, {r6("count(*) filter (pa <> truth and pm = truth) / cast(count(*) filter (pa <> truth) as double)")}
  as recovery_rate, {r6("count(*) filter (pa = truth and pm <> truth) / cast(count(*) filter (pa = truth) as double)")} as damage_rate from j""")
 def _(fx):
-    x = _preds(fx, pm=pr.blend([(A, 0.8), (B, 0.2)]))
+    x = _preds(fx, pm=pr.blend([(F.col("a"), 0.8), (F.col("b"), 0.2)]))
     ok, new = F.col("pa") == F.col("truth"), F.col("pm") == F.col("truth")
     return x.agg(
         F.count_if(~ok & new).alias("recovered"), F.count_if(ok & ~new).alias("damaged"), (F.count_if(new) - F.count_if(ok)).alias("net"),
@@ -143,7 +143,7 @@ _PCM = """ pd as (select 'pa' as model, sid, truth, pa as pred from w union all
  rn from q) select cls, cast(support as bigint) as support, {r6('fa')} as base_f1, {r6('fb')} as partner_f1, {r6('fm')} as blend_f1, {r6('con')} as contribution, {r6('sum(con) over ()')} as
  total_gain, {r6('sum(con) filter (rn <= 3) over () / nullif(sum(con) over (), 0)')} as top3_share from rkk""")
 def _(fx):
-    x = _preds(fx, pm=pr.blend([(A, 0.8), (B, 0.2)]))
+    x = _preds(fx, pm=pr.blend([(F.col("a"), 0.8), (F.col("b"), 0.2)]))
     pc = me.per_class(me.confusion(_long_preds(x, ["pa", "pb", "pm"]), ["model"]), ["model"])
     wide = pc.groupBy("cls").agg(F.max("support").alias("support"), *[
         F.max(F.when(F.col("model") == m, F.col("f1"))).alias(n) for m, n in (("pa", "base_f1"), ("pb", "partner_f1"), ("pm", "blend_f1"))])
@@ -247,14 +247,14 @@ _STAB = f"""{_PW}, {_AB}, bg as (select sid, label, cls, round((pa + pb + pc) /
 def _stability(fx):
     rows = _rows(fx)
     bag = F.zip_with(F.zip_with("a", "b", lambda x, y: x + y), "c", lambda x, y: F.round((x + y) / 3, 12))
-    three = F.arrays_zip(A.alias("a"), B.alias("b"), C.alias("c"))
+    three = F.arrays_zip(F.col("a").alias("a"), F.col("b").alias("b"), F.col("c").alias("c"))
 
     def sd(x):
         m = (x["a"] + x["b"] + x["c"]) / 3
         return F.sqrt(((x["a"] - m) ** 2 + (x["b"] - m) ** 2 + (x["c"] - m) ** 2) / 3)
 
     spread = pr.total(F.transform(three, sd)) / len(fx.classes)
-    p = [pr.argmax_class(x, fx.classes) for x in (A, B, C)]
+    p = [pr.argmax_class(x, fx.classes) for x in (F.col("a"), F.col("b"), F.col("c"))]
     return rows.withColumn("bagged", bag).select(
         "sid", F.col("label").alias("truth"), p[0].alias("pa"), p[1].alias("pb"), p[2].alias("pc"),
         pr.argmax_class(F.col("bagged"), fx.classes).alias("bag"), pr.margin(F.col("bagged")).alias("bag_margin"), spread.alias("mean_std"),
@@ -312,7 +312,7 @@ def _(fx):
  {r6('quantile_cont(pa, 0.25)')} as q25, {r6('quantile_cont(pa, 0.5)')} as median, {r6('quantile_cont(pa, 0.75)')} as q75, {r6('quantile_cont(pa, 0.9)')} as q90 from x group by 1""")
 def _(fx):
     i = fx.classes.index("MACHINERY")
-    x = _rows(fx).select("sid", "label", pr.argmax_class(A, fx.classes).alias("pred"), A[i].alias("p"))
+    x = _rows(fx).select("sid", "label", pr.argmax_class(F.col("a"), fx.classes).alias("pred"), F.col("a")[i].alias("p"))
     t, q = F.col("label") == "MACHINERY", F.col("pred") == "MACHINERY"
     segment = F.when(t & q, "target_correct").when(t, "target_missed").when(q, "false_positive").otherwise("other")
     x = x.select(segment.alias("segment"), "sid", "p")
@@ -326,7 +326,7 @@ def _(fx):
 
 @query("m28_score_by_true_class", f"select label as true_class, cls as target, count(*) as n, {r6('avg(pa)')} as mean, {r6('median(pa)')} as median from pv group by 1, 2")
 def _(fx):
-    long = pr.to_long(_rows(fx), A, fx.classes, ("sid", "label")).select(
+    long = pr.to_long(_rows(fx), F.col("a"), fx.classes, ("sid", "label")).select(
         "sid", F.col("label").alias("true_class"), F.col("cls").alias("target"), "p")
     keys = ["true_class", "target"]
     stats = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean"))
@@ -348,7 +348,7 @@ def _(fx):
  using (sid, truth)), ps as (select count(*) filter (up) as positive_folds from pf) select {r6('delta')} as delta, positive_folds, recovered, broken, case when delta >= 0.015 and positive_folds >= 4 and recovered > broken then
  'strong_candidate' when delta >= 0.005 and positive_folds >= 3 and recovered > broken then 'candidate' when delta > 0 then 'not_detected' else 'rejected' end as verdict from dd, ps, rb""")
 def _(fx):
-    x = _preds(fx, pm=pr.blend([(A, 0.8), (B, 0.2)])).join(fx.folds().select("sid", "fold"), "sid")
+    x = _preds(fx, pm=pr.blend([(F.col("a"), 0.8), (F.col("b"), 0.2)])).join(fx.folds().select("sid", "fold"), "sid")
     both = x.select("fold", "sid", "truth", F.explode(F.array(
         F.struct(F.lit("a").alias("m"), F.col("pa").alias("pred")), F.struct(F.lit("m").alias("m"), F.col("pm").alias("pred")))).alias("q"),
     ).select("fold", "sid", "truth", "q.m", "q.pred")

@@ -9,7 +9,6 @@ from glyphmill.operators import metrics as me, probs as pr, rollups as ru, weigh
 from glyphmill.catalog.weights import EB, grid
 from glyphmill.session import cut_lineage
 
-A, B, C = F.col("a"), F.col("b"), F.col("c")
 PAIR = ("AUTOMOBILE", "MACHINERY")
 
 
@@ -27,12 +26,12 @@ def _long(fx, rows, array, *keys):
        " as p from pr1")
 def _(fx):
     partial = fx.prob(["a"]).filter(~F.col("cls").isin("AUTOMOBILE", "HOUSEHOLD"))
-    return _long(fx, pr.rows_of(partial, ["a"], fx.classes, ("sid",)), A)
+    return _long(fx, pr.rows_of(partial, ["a"], fx.classes, ("sid",)), F.col("a"))
 
 
 @query("b2_weighted_blend", f"select sid, cls, {r6('0.55 * pa + 0.30 * pb + 0.15 * pc')} as p from pv")
 def _(fx):
-    return _long(fx, _rows(fx), pr.blend([(A, 0.55), (B, 0.30), (C, 0.15)]))
+    return _long(fx, _rows(fx), pr.blend([(F.col("a"), 0.55), (F.col("b"), 0.30), (F.col("c"), 0.15)]))
 
 
 def _cm_sql(pred: str, by: str = "") -> str:
@@ -170,7 +169,7 @@ def _(fx):
 
 @query("b5_margin_gate", f"select pv.sid, cls, {r6('case when b1 - b2 < 0.05 then pa else pb end')} as p from pv join pt using (sid)")
 def _(fx):
-    return _long(fx, _rows(fx), pr.gate(A, B))
+    return _long(fx, _rows(fx), pr.gate(F.col("a"), F.col("b")))
 
 
 # The specialist of these queries is a hash-derived share of the first class of the pair.
@@ -193,8 +192,8 @@ def _pair_sql(share: str, routed: str) -> str:
 
 @query("b6_hard_pair_specialist", _pair_sql(_Q, _INP).replace("md5('s:' || sid)", "md5('s:' || pv.sid)"))
 def _(fx):
-    routed = pr.route(A, fx.classes, PAIR, "hard")
-    return _long(fx, _rows(fx), pr.redistribute_pair(A, fx.classes, PAIR, _share(), "hard", routed=routed))
+    routed = pr.route(F.col("a"), fx.classes, PAIR, "hard")
+    return _long(fx, _rows(fx), pr.redistribute_pair(F.col("a"), fx.classes, PAIR, _share(), "hard", routed=routed))
 
 
 _QP = _Q.replace("|| sid", "|| pv.sid")
@@ -202,13 +201,13 @@ _QP = _Q.replace("|| sid", "|| pv.sid")
 
 @query("b6b_soft_pair_specialist", _pair_sql(f"x / (x + y) * 0.6 + {_QP} * 0.4", _INP))
 def _(fx):
-    routed = pr.route(A, fx.classes, PAIR, "hard")
-    return _long(fx, _rows(fx), pr.redistribute_pair(A, fx.classes, PAIR, _share(), "soft", 0.4, routed))
+    routed = pr.route(F.col("a"), fx.classes, PAIR, "hard")
+    return _long(fx, _rows(fx), pr.redistribute_pair(F.col("a"), fx.classes, PAIR, _share(), "soft", 0.4, routed))
 
 
 @query("b6b_soft_mass_specialist", _pair_sql(f"x / (x + y) * (1 - (x + y) * 0.5) + {_QP} * ((x + y) * 0.5)", "true"))
 def _(fx):
-    return _long(fx, _rows(fx), pr.redistribute_pair(A, fx.classes, PAIR, _share(), "soft_mass", 0.5))
+    return _long(fx, _rows(fx), pr.redistribute_pair(F.col("a"), fx.classes, PAIR, _share(), "soft_mass", 0.5))
 
 
 @query("b6c_routing_rules", f"""with {_PM} select count(*) filter ({_INP}) as hard, count(*) filter ({_INP} and abs(x - y) / (x + y) <= 0.3) as pair_margin,
@@ -216,13 +215,13 @@ def _(fx):
  greatest(x, y) / (x + y) <= 0.85) as mass from pq join pt using (sid)""")
 def _(fx):
     rules = (("hard", None), ("pair_margin", 0.3), ("global_margin", 0.1), ("top_two", None), ("mass", None))
-    return _rows(fx).agg(*[F.count_if(pr.route(A, fx.classes, PAIR, h, t)).alias(h) for h, t in rules])
+    return _rows(fx).agg(*[F.count_if(pr.route(F.col("a"), fx.classes, PAIR, h, t)).alias(h) for h, t in rules])
 
 
 @query("b6c_top_two_specialist", _pair_sql(_QP, "least(x, y) > o"))
 def _(fx):
-    routed = pr.route(A, fx.classes, PAIR, "top_two")
-    return _long(fx, _rows(fx), pr.redistribute_pair(A, fx.classes, PAIR, _share(), "hard", routed=routed))
+    routed = pr.route(F.col("a"), fx.classes, PAIR, "top_two")
+    return _long(fx, _rows(fx), pr.redistribute_pair(F.col("a"), fx.classes, PAIR, _share(), "hard", routed=routed))
 
 
 _TRIO = ["AUTOMOBILE", "FURNITURE", "MACHINERY"]
@@ -232,14 +231,14 @@ _TRIO = ["AUTOMOBILE", "FURNITURE", "MACHINERY"]
  from (select *, sum(pa) filter (cls in ('AUTOMOBILE', 'FURNITURE', 'MACHINERY')) over (partition by sid) as ma, sum(pb) filter (cls in ('AUTOMOBILE',
  'FURNITURE', 'MACHINERY')) over (partition by sid) as mb from pv) z""")
 def _(fx):
-    return _long(fx, _rows(fx), pr.redistribute_group(A, fx.classes, _TRIO, B))
+    return _long(fx, _rows(fx), pr.redistribute_group(F.col("a"), fx.classes, _TRIO, F.col("b")))
 
 
 @query("b7_matched_blend", f"""with m as (select c_custkey as sid, c_nationkey % 3 = 0 as matched from customer) select pv.sid, cls, {r6('case when matched then 0.8 * pa + 0.2 * pb else pa end')}
  as p from pv join m using (sid)""")
 def _(fx):
     matched = fx.t("customer").select(F.col("c_custkey").alias("sid"), (F.col("c_nationkey") % 3 == 0).alias("matched"))
-    mixed = F.when(F.col("matched"), pr.blend([(A, 0.8), (B, 0.2)])).otherwise(A)
+    mixed = F.when(F.col("matched"), pr.blend([(F.col("a"), 0.8), (F.col("b"), 0.2)])).otherwise(F.col("a"))
     return _long(fx, _rows(fx).join(matched, "sid"), mixed)
 
 
@@ -248,14 +247,14 @@ def _(fx):
 def _(fx):
     rows = _rows(fx)
     weights = pr.mass_weights(rows, "a", fx.classes, 0.5)
-    return _long(fx, rows.withColumn("weights", weights.scalar()), pr.normalise(pr.scale_classes(A, F.col("weights"))))
+    return _long(fx, rows.withColumn("weights", weights.scalar()), pr.normalise(pr.scale_classes(F.col("a"), F.col("weights"))))
 
 
 @query("b9_class_multiplier", """with m as (select * from (values ('AUTOMOBILE', 1.3::double), ('BUILDING', 0.9), ('FURNITURE', 1.0), ('HOUSEHOLD', 0.8), ('MACHINERY', 1.1)) v(cls,
  m)) select sid, cls as pred from (select sid, cls, row_number() over (partition by sid order by pa * m desc, cls) as rn from pv join m using (cls)) z
  where rn = 1""")
 def _(fx):
-    scaled = pr.scale_classes(A, F.array(*[F.lit(x) for x in (1.3, 0.9, 1.0, 0.8, 1.1)]))
+    scaled = pr.scale_classes(F.col("a"), F.array(*[F.lit(x) for x in (1.3, 0.9, 1.0, 0.8, 1.1)]))
     return _rows(fx).select("sid", pr.argmax_class(scaled, fx.classes).alias("pred"))
 
 
@@ -263,7 +262,7 @@ def _(fx):
  sid)) as e from z) select sid, cls, {r6('e / sum(e) over (partition by sid)')} as p from e""")
 def _(fx):
     residual = F.zip_with("b", "c", lambda x, y: x - y)
-    return _long(fx, _rows(fx), pr.correct_residual(A, residual, 0.2))
+    return _long(fx, _rows(fx), pr.correct_residual(F.col("a"), residual, 0.2))
 
 
 _CAND = f"""with {grid('tok_gene_type')}, w as (select token, cls, s, {EB} as w from g), sc as (select sid, cls, sum(w) / sqrt(count(*)) as e,
@@ -321,7 +320,7 @@ _PAIRS = """pp as (select a.cls as ca, b.cls as cb from classes a join classes b
 
 
 def _pair_table(fx):
-    pred = _rows(fx).select("sid", F.col("label").alias("truth"), pr.argmax_class(A, fx.classes).alias("pa"), pr.argmax_class(B, fx.classes).alias("pb"))
+    pred = _rows(fx).select("sid", F.col("label").alias("truth"), pr.argmax_class(F.col("a"), fx.classes).alias("pa"), pr.argmax_class(F.col("b"), fx.classes).alias("pb"))
     return me.pair_comparison(pred, fx.classes)
 
 
@@ -361,8 +360,8 @@ _MEMBERS = {"G1": ["AUTOMOBILE", "MACHINERY"], "G2": ["BUILDING", "FURNITURE"]}
 def _(fx):
     """Group first, then member; the oracle is right whenever the group is right."""
     names = ["G1", "G2", "HOUSEHOLD"]
-    sums = F.array(*[F.round(sum((A[fx.classes.index(c)] for c in _MEMBERS.get(g, [g])), F.lit(0.0)), 12) for g in names])
-    pred = pr.two_level(sums, B, names, fx.classes, _MEMBERS)
+    sums = F.array(*[F.round(sum((F.col("a")[fx.classes.index(c)] for c in _MEMBERS.get(g, [g])), F.lit(0.0)), 12) for g in names])
+    pred = pr.two_level(sums, F.col("b"), names, fx.classes, _MEMBERS)
     lookup = {c: g for g, cs in _MEMBERS.items() for c in cs}
     own = F.lit(None).cast("string")
     first = F.lit(None).cast("string")
