@@ -151,8 +151,7 @@ def _score_sql(tok: str, w: str, where: str, denom: str = "count(*)") -> str:
 )
 def _(fx):
     weighted = we.weigh(we.supported(_counts(fx, "gene_type")), we.log_odds())
-    got = we.score_tokens(fx.tokens("gene_type"), weighted, fx.classes)
-    got = we.with_all_rows(got, fx.samples, ["sid"], fx.classes)
+    got = we.score_tokens(fx.tokens("gene_type"), weighted, fx.classes, every=fx.samples)
     return got.select("sid", "cls", F.round("score", 6).alias("score"), "tokens")
 
 

@@ -159,22 +159,25 @@ def supported(counts: DataFrame, floor: int = 10, below_all: bool = True) -> Dat
 
 
 def score_tokens(tokens: DataFrame, weighted: DataFrame, classes: list[str], keys: list[str] | None = None,
-                 rows: list[str] | None = None, all_tokens: bool = False, salt: bool = True) -> DataFrame:
+                 rows: list[str] | None = None, all_tokens: bool = False, every: DataFrame | None = None) -> DataFrame:
     """(*rows, cls, score, tokens): sum of weights over the sample's tokens / sqrt(number of tokens).
 
     ``keys`` are the join columns (token, or fold and token), ``rows`` identify a scored row.  The count is
     over tokens that have a weight, or over all tokens of the sample with ``all_tokens``.  Weights stay an
-    array during the join, so the token table is not multiplied by the classes.
+    array during the join, so the token table is not multiplied by the classes.  Rows of ``every`` without any
+    weighted token score zero; they are added before the classes are spread out.
     """
     keys, rows = keys or ["token"], rows or ["sid"]
     right = weighted.select(*keys, "w", "support")
-    if salt and not all_tokens:
+    if not all_tokens:
         hot = hot_keys(weighted, keys, "support")
         joined = salted_join(tokens, right, keys, hot, rows)
     else:
         joined = tokens.join(right, keys, "left" if all_tokens else "inner")
     sums = [F.sum(F.col("w")[i]).alias(f"_s{i}") for i in range(len(classes))]
     summed = joined.groupBy(*rows).agg(F.count(F.lit(1)).alias("tokens"), *sums)
+    if every is not None:
+        summed = every.select(*rows).join(summed, rows, "left").na.fill(0, ["tokens"])
     root = F.sqrt(F.greatest(F.col("tokens"), F.lit(1)).cast("double"))
     pairs = F.array(*[
         F.struct(F.lit(c).alias("cls"), F.coalesce(F.col(f"_s{i}"), F.lit(0.0)).alias("total"))
@@ -184,21 +187,13 @@ def score_tokens(tokens: DataFrame, weighted: DataFrame, classes: list[str], key
     return long.select(*rows, F.col("x.cls").alias("cls"), (F.col("x.total") / F.col("_r")).alias("score"), "tokens")
 
 
-def with_all_rows(scores: DataFrame, rows: DataFrame, keys: list[str], classes: list[str]) -> DataFrame:
-    """Zero score for rows without any weighted token."""
-    grid = rows.select(*keys, F.explode(class_array(classes)).alias("cls"))
-    full = grid.join(scores, [*keys, "cls"], "left")
-    return full.withColumns({"score": F.coalesce("score", F.lit(0.0)), "tokens": F.coalesce("tokens", F.lit(0))})
-
-
 def cross_fitted_scores(tokens: DataFrame, folds: DataFrame, classes: list[str], formula: Formula,
                         floor: int | None = 10) -> DataFrame:
     """Out-of-fold scores (sid, fold, cls, score, tokens): no row meets a weight its own label went into."""
     counts = cross_fit_counts(tokens, folds, classes)
     counts = counts if floor is None else supported(counts, floor)
     placed = tokens.join(folds.select("sid", "fold"), "sid")
-    scored = score_tokens(placed, weigh(counts, formula), classes, ["fold", "token"], ["sid", "fold"])
-    return with_all_rows(scored, folds, ["sid", "fold"], classes)
+    return score_tokens(placed, weigh(counts, formula), classes, ["fold", "token"], ["sid", "fold"], every=folds)
 
 
 def standardise(fit: DataFrame, apply: DataFrame, by: list[str], value: str = "score",
