@@ -25,11 +25,13 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "glyphmill")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; make one only where none is configured."""
+    """Keep the cluster's shared checkpoint folder; make a temporary one only for a local master without any."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not context.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="glyphmill-ckpt-"))
 
 
