@@ -59,7 +59,7 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot
     best = F.max(F.struct(F.col("_len"), (-F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).alias("_neg"), F.col("doc_id").alias("_id")))
     groups = hashed.filter("_p").groupBy("_h").agg(best.alias("_best"), F.count(F.lit(1)).alias("_size")).select(
         "_h", F.col("_best._id").alias("_keep"), "_size")
-    # rows that no other row can equal carry a null key: they meet nothing, and their order is spread by the outer join
+    groups = checkpointed(groups)  # one row per group; as a table of its own the join below deals out both sides and can split a hot key
     matched = hashed.filter("_p").join(groups, "_h").select("doc_id", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
                                                           F.col("doc_id").eqNullSafe(F.col("_keep")).alias("kept"), F.col("_h").alias("text_sha256"))
     alone = hashed.filter(~F.col("_p")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),

@@ -1,11 +1,13 @@
 """Registered corpus queries and their SQL twins."""
 from __future__ import annotations
 
-from glyphmill.llm import decontaminate, exact_dedup
+from glyphmill.llm import decontaminate, exact_dedup, packing, sharding
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_packing": packing.op4_packing,
+    "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
