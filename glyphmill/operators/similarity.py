@@ -117,7 +117,7 @@ def profiles(sets: DataFrame) -> DataFrame:
     return sets.groupBy("id").agg(set_fingerprint(F.col("member")).alias("profile"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over undirected edges (a, b).
 
     Each round takes the smallest label among the neighbours and then jumps to the label's own label, so
@@ -126,7 +126,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut_lineage(both)
     labels = cut_lineage(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
+    while True:  # labels only fall and a round that lowers none is the last, so this ends
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(near, labels["id"] == near["a"], "left").select(
             "id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
@@ -138,7 +138,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         labels = jumped.select("id", "component")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def duplicate_groups(sets: DataFrame, threshold: float = 0.90) -> DataFrame:
