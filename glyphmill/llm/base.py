@@ -110,3 +110,16 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], rows: int, out:
         .withColumn(out, (F.col("_gm_r") + F.col("_gm_o")).cast("long"))
         .drop("_gm_b", "_gm_r", "_gm_o")
     )
+
+
+def text_slices(batch, column: int, limit: int = 4 << 20):
+    """An Arrow batch in parts of at most ``limit`` bytes of text (one row at least), so that what a worker makes of them is bounded."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to

@@ -1,17 +1,20 @@
 """Registered corpus queries and their SQL twins."""
 from __future__ import annotations
 
-from glyphmill.llm import chat, decontaminate, exact_dedup, near_dedup, packing, sharding
+from glyphmill.llm import chat, decontaminate, exact_dedup, near_dedup, packing, pii, secrets, sharding
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_packing": packing.op4_packing,
+    "op5_pii": pii.op5_pii,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_secrets": secrets.op7_secrets,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
+    "op5_pii": pii.op5_pii,
     "op6_chat_format": chat.ORACLE,
     "op1_near_dedup": near_dedup.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
