@@ -3,9 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from glyphmill.session import cut_lineage
-
-__all__ = ["ascii_lower", "checkpointed", "drop_rows", "numbered", "read", "slot_filter", "slot_of", "stripped"]
+from glyphmill.session import cut_lineage, ensure_checkpoint_dir
 
 #: The white space of the contracts, `[\x20\x09-\x0D]`.
 WHITE = (" ", "\n", "\t", "\r", "\x0b", "\x0c")
@@ -123,3 +121,31 @@ def text_slices(batch, column: int, limit: int = 4 << 20):
         to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so that they need no installation of it."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    import glyphmill
+
+    context, root = spark.sparkContext, Path(glyphmill.__file__).parent
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    _shipped.add(context.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="glyphmill-")) / "glyphmill-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, Path("glyphmill") / file.relative_to(root))
+    context.addPyFile(str(archive))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share (spark.checkpoint.dir; a temporary one on a local master without it)."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()

@@ -1,7 +1,7 @@
 """Registered corpus queries and their SQL twins."""
 from __future__ import annotations
 
-from glyphmill.llm import chat, decontaminate, exact_dedup, near_dedup, packing, pii, secrets, sharding
+from glyphmill.llm import chat, decontaminate, exact_dedup, near_dedup, packing, pii, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op6_chat_format": chat.op6_chat_format,
     "op7_secrets": secrets.op7_secrets,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
