@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType, LongType, IntegerType, ArrayType
 
-from glyphmill.llm.base import checkpointed, numbered, read
+from glyphmill.llm.base import checkpointed, numbered, read, ship, text_slices
 
 CAPACITY = 2048
 END = 0
@@ -174,19 +174,6 @@ def _worker(path: str) -> WordTokenizer:
     return _workers[path]
 
 
-def _slices(batch, column: int, limit: int = AT_A_TIME):
-    """The batch in parts of at most ``limit`` bytes of text (one row at least)."""
-    import pyarrow.compute as pc
-
-    size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        base = size[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(size, base + limit, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
                      vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids).
@@ -194,6 +181,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "d
     A text's ids are followed by the end id 0; a null or empty text has that one id.  Only longer ones than ``capacity`` are
     cut.  Null ids and repeated rows are documents of their own; other columns are not looked at.
     """
+    ship(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     fields = [StructField("doc_id", docs.schema[id_col].dataType), StructField("piece", IntegerType()), StructField("start", LongType()),
               StructField("length", LongType()), StructField("ids_crc32", LongType())]
@@ -204,7 +192,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "d
 
         tokenizer = _worker(path)
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in text_slices(batch, 1, AT_A_TIME):
                 ids, counts = tokenizer.texts(part.column(1))
                 rows, piece, start, length, crc, all_ids, at = [], [], [], [], [], [], 0
                 for row, count in enumerate(counts.tolist()):

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphmill.llm.base import checkpointed, read, text_slices
+from glyphmill.llm.base import checkpointed, read, ship, text_slices
 
 #: The known forms, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -186,6 +186,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     spans; null ids and repeated rows are rows like others.  No rows give no rows; other columns are not looked at.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    ship(docs.sparkSession)
     seen = checkpointed(survey(texts))  # spans and counts only: no later step reads a text
     rows = seen.filter("counts is null").select("doc_id", "base", "candidates")
     summed = seen.filter("counts is not null").agg(*[F.sum(F.col("counts")[i]) for i in range(128)], F.sum("changes"), F.sum("pairs")).first()
