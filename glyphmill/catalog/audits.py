@@ -93,6 +93,29 @@ def _(fx):
     return got.select("fold", F.round("calculated", 6).alias("calculated"), "matches")
 
 
+@query("q6_planted_faults", """with f as (select sid, variant, cls, case when sid % 10 = 0 then p * 2 when sid % 10 = 2 and cls = (select min(cls) from classes) then null else p end as p
+ from pr3 where not (sid % 10 = 1 and cls = (select max(cls) from classes))), g as (select sid, variant, sum(p) as s, count(*) as k, count(*) filter (p is null) as b from f group by 1, 2)
+ select count(*) as rows, count(*) filter (b > 0) as not_finite, count(*) filter (abs(s - 1) > 1e-6) as not_normalised, count(*) filter (k <> 5) as wrong_width from g""")
+def _(fx):
+    """The contract on a table with faults: doubled rows, rows without a class and rows with a null."""
+    first, last, part = min(fx.classes), max(fx.classes), F.col("sid") % 10
+    prob = fx.prob(["a", "b", "c"], 400).filter(~((part == 1) & (F.col("cls") == last)))
+    bad = F.when(part == 0, F.col("p") * 2).when((part == 2) & (F.col("cls") == first), F.lit(None)).otherwise(F.col("p"))
+    return au.probability_contract(prob.withColumn("p", bad), ["sid", "variant"], len(fx.classes))
+
+
+@query("q9_planted_faults", f"""with {_PW}, pd as (select fold, rs.sid, rs.label as truth, pred from rs join folds using (sid) where variant = 'a'), {_cm_sql('pd', 'fold')},
+ st as (select fold, macro_f1 + case when fold = 2 then 0.01 else 0 end as stored from mf where fold <> 4)
+ select mf.fold, {r6('macro_f1')} as calculated, {r6('stored')} as stored, coalesce(abs(macro_f1 - stored) <= 1e-9, false) as matches from mf left join st using (fold)""")
+def _(fx):
+    """Stored scores of which one is wrong and one is missing."""
+    x = _preds(fx).join(fx.folds().select("sid", "fold"), "sid").select("sid", "fold", "truth", F.col("pa").alias("pred"))
+    score = me.macro_f1(x, ["fold"])
+    stored = score.filter("fold <> 4").withColumn("macro_f1", F.col("macro_f1") + F.when(F.col("fold") == 2, 0.01).otherwise(0.0))
+    got = au.stored_scores(score, stored, ["fold"])
+    return got.select("fold", F.round("calculated", 6).alias("calculated"), F.round("stored", 6).alias("stored"), "matches")
+
+
 @query("q10_compare_labels", f"with {_PW}, {_AB} select pa as label_a, pb as label_b, count(*) as n, pa <> pb as differs from w group by 1, 2")
 def _(fx):
     p = _preds(fx)
@@ -168,11 +191,11 @@ def _(fx):
 
 # Segments -------------------------------------------------------------------------------------
 
-_SEG = f"""{_PW}, {_AB}, sp as (select token, count(*) as s from tok_codon join folds using (sid) where fold <> 0 group by 1), ta as (select sid, count(*) as k, avg(cast(coalesce(s, 0) = 0 as int)) as un, avg(cast(coalesce(s, 0) < 25 as int)) as ra from tok_codon join folds using
- (sid) left join sp using (token) where fold = 0 group by 1), bd as (select sid, count(distinct gene) as g from events group by 1), mg as (select sid, margin from rs where variant = 'b'), au as (select w.*, case when coalesce(g, 0) = 0 then '0' when g = 1 then '1' when g = 2
+_SEG = f"""{_PW}, {_AB}, sp as (select f.fold, t.token, count(*) as s from (select distinct fold from folds) f join folds g on g.fold <> f.fold join tok_codon t on t.sid = g.sid group by 1, 2), ta as (select sid, count(*) as k, avg(cast(coalesce(s, 0) = 0 as int)) as un, avg(cast(coalesce(s, 0) < 25 as int)) as ra from tok_codon join folds using
+ (sid) left join sp using (fold, token) group by 1), bd as (select sid, count(distinct gene) as g from events group by 1), mg as (select sid, margin from rs where variant = 'b'), au as (select w.*, case when coalesce(g, 0) = 0 then '0' when g = 1 then '1' when g = 2
  then '2' when g <= 5 then '3-5' when g <= 10 then '6-10' else '11+' end as burden, case when coalesce(un, 0) = 0 then '0' when un < 0.25 then '0-0.25' when un < 0.5 then '0.25-0.5' else '0.5+' end as unseen, case when coalesce(ra, 0) = 0 then '0' when ra < 0.25 then '0-0.25'
  when ra < 0.5 then '0.25-0.5' else '0.5+' end as rare, case when margin < 0.05 then 'low' when margin < 0.2 then 'mid' else 'high' end as margin_b, case when coalesce(g, 0) = 0 then 'reference_only' else 'events_present' end as refonly from w join folds using (sid) left join bd
- using (sid) left join ta using (sid) join mg using (sid) where fold = 0), sg as (select sid, truth, pa, pb, 'true_class' as grouping, truth as grp from au union all select sid, truth, pa, pb, 'burden', burden from au union all select sid, truth, pa, pb, 'unseen', unseen
+ using (sid) left join ta using (sid) join mg using (sid)), sg as (select sid, truth, pa, pb, 'true_class' as grouping, truth as grp from au union all select sid, truth, pa, pb, 'burden', burden from au union all select sid, truth, pa, pb, 'unseen', unseen
  from au union all select sid, truth, pa, pb, 'rare', rare from au union all select sid, truth, pa, pb, 'margin', margin_b from au union all select sid, truth, pa, pb, 'reference_only', refonly from au)"""
 _SEGF = """sc as (select grouping, grp, model, cls, sum(tp) as tp, sum(t) as t, sum(q) as q from (select grouping, grp, model, truth as cls, cast(truth = pred as int) as tp, 1 as t, 0 as q from sl union all select grouping, grp, model, pred, 0, 0, 1 from sl) z group by 1, 2, 3, 4),
  sf as (select grouping, grp, model, avg(2.0 * tp / (t + q)) as f1, sum(tp) / cast(sum(t) as double) as acc, cast(sum(t) as bigint) as support from sc where t > 0 group by 1, 2, 3)"""
@@ -181,8 +204,8 @@ _SEGF = """sc as (select grouping, grp, model, cls, sum(tp) as tp, sum(t) as t,
 @query("m15_segment_metrics", f"""with {_SEG}, sl as (select grouping, grp, truth, 'a' as model, pa as pred from sg union all select grouping, grp, truth, 'b', pb from sg), {_SEGF} select x.grouping, x.grp, x.support, {r6('x.f1')} as base_f1, {r6('y.f1')} as other_f1, {r6('x.acc')} as
  base_accuracy, {r6('y.acc')} as other_accuracy, {r6('y.f1 - x.f1')} as delta from sf x join sf y on x.grouping = y.grouping and x.grp = y.grp and x.model = 'a' and y.model = 'b'""")
 def _(fx):
-    """F1 over the classes present in a segment, for two models, by six groupings of the held-out rows."""
-    rows = pr.rows_of(fx.prob(["a", "b"], 400), ["a", "b"], fx.classes).join(fx.folds().select("sid", "fold"), "sid").filter("fold = 0")
+    """F1 over the classes present in a segment, for two models, by six groupings of all rows, each audited as part of its held-out fold."""
+    rows = pr.rows_of(fx.prob(["a", "b"], 400), ["a", "b"], fx.classes)
     genes = ru.gene_presence(fx.events).groupBy("sid").agg(_n().alias("g"))
     audit = au.token_audit(fx.tokens("codon"), fx.folds(), rare=25)
     x = rows.join(genes, "sid", "left").join(audit, "sid", "left").na.fill(0, ["g", "unseen_ratio", "rare_ratio"]).select(

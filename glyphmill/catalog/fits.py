@@ -30,12 +30,12 @@ def _out(fx, scored):
 
 @query("ml1_multinomial_logistic")
 def _(fx):
-    return _out(fx, ft.multinomial(iterations=30)(_design(fx)[0], fx.classes))
+    return _out(fx, ft.multinomial()(_design(fx)[0], fx.classes))
 
 
 @query("ml2_one_vs_rest_logistic")
 def _(fx):
-    return _out(fx, ft.one_vs_rest(iterations=20)(_design(fx)[0], fx.classes))
+    return _out(fx, ft.one_vs_rest()(_design(fx)[0], fx.classes))
 
 
 @query("ml3_naive_bayes_bernoulli")
@@ -55,7 +55,7 @@ def _(fx):
 
 @query("ml4_ratio_scaled_one_vs_rest")
 def _(fx):
-    return _out(fx, ft.one_vs_rest(iterations=20, ratio_scaled=True)(_design(fx, True)[0], fx.classes))
+    return _out(fx, ft.one_vs_rest(ratio_scaled=True)(_design(fx, True)[0], fx.classes))
 
 
 @query("ml5_truncated_svd")
@@ -82,13 +82,13 @@ def _(fx):
 
 @query("ml7_c1_out_of_fold_baseline")
 def _(fx):
-    oof = co.gene_baseline(fx.typed, fx.folds(), fx.classes, iterations=15)
+    oof = co.gene_baseline(fx.typed, fx.folds(), fx.classes)
     return pr.to_long(oof, F.col("p"), fx.classes, ("sid", "label", "fold")).withColumn("p", F.round("p", 4))
 
 
 @query("c1_baseline_metrics")
 def _(fx):
-    oof = co.gene_baseline(fx.typed, fx.folds(), fx.classes, iterations=15)
+    oof = co.gene_baseline(fx.typed, fx.folds(), fx.classes)
     got = ft.fold_metrics(oof, fx.classes)
     return got.select("fold", "n", F.round("accuracy", 4).alias("accuracy"), F.round("macro_f1", 4).alias("macro_f1"))
 
@@ -128,13 +128,13 @@ def _(fx):
 
 @query("c4_three_way_vote")
 def _(fx):
-    return _out(fx, co.three_way_vote(fx.typed, _split(fx), fx.classes, iterations=15))
+    return _out(fx, co.three_way_vote(fx.typed, _split(fx), fx.classes))
 
 
 @query("c5_selective_evidence_bag")
 def _(fx):
     """Three inner seeds, their probabilities averaged."""
-    parts = co.selective_evidence(fx.typed, _split(fx), fx.classes, (42, 777, 2024), iterations=10)
+    parts = co.selective_evidence(fx.typed, _split(fx), fx.classes, (42, 777, 2024))
     bag = co.seed_bag(parts, fx.classes)
     return bag.withColumn("p", F.round("p", 4))
 
@@ -154,7 +154,33 @@ def _(fx):
     return got.withColumn("score", F.round("score", 6))
 
 
+_INNER = """inr as (select sid, label, cast((row_number() over (partition by label order by md5('43:' || sid)) - 1) % 3 as int) as inner_fold from folds where fold <> 0),
+ rl as (select sid, label, inner_fold from inr union all select sid, label, -1 from folds where fold = 0),
+ src as (select i.inner_fold, o.sid, o.label from (select distinct inner_fold from rl) i join inr o on o.inner_fold <> i.inner_fold),
+ sn as (select inner_fold, count(*) as n from src group by 1), sk as (select inner_fold, label as cls, count(*) as k from src group by 1, 2),
+ ss as (select inner_fold, token, count(*) as s from src join tok_gene_type using (sid) group by 1, 2),
+ sp as (select inner_fold, token, label as cls, count(*) as p from src join tok_gene_type using (sid) group by 1, 2, 3),
+ wt as (select inner_fold, ss.token, cls, greatest(-4.0, least(4.0, ln(least(greatest(a, 1e-6), 1 - 1e-6) / (1 - least(greatest(a, 1e-6), 1 - 1e-6))) - ln(least(greatest(b, 1e-6), 1 - 1e-6)
+ / (1 - least(greatest(b, 1e-6), 1 - 1e-6))))) as w from (select ss.inner_fold, ss.token, sk.cls, (coalesce(p, 0) + 20.0 * (s + 1.0) / (n + 2)) / (k + 20.0) as a,
+ (s - coalesce(p, 0) + 20.0 * (s + 1.0) / (n + 2)) / (n - k + 20.0) as b from ss join sn using (inner_fold) join sk using (inner_fold) left join sp on sp.inner_fold = ss.inner_fold and sp.token = ss.token and sp.cls = sk.cls) ss),
+ ev as (select sid, cls, sum(w) as sum_all, sum(abs(w)) as sum_absolute, count(*) filter (w > 0) as n_positive, count(*) as n_tokens from rl join tok_gene_type using (sid) join wt using (inner_fold, token) group by 1, 2)"""
+
+
+@query("c8_ranker_rows", f"""with {_INNER} select rl.sid, rl.label, rl.inner_fold, x.cls, {r6('coalesce(sum_all, 0)')} as sum_all, {r6('coalesce(sum_absolute, 0)')} as sum_absolute,
+ coalesce(n_positive, 0) as n_positive, coalesce(n_tokens, 0) as n_tokens, {r6('pr.p')} as prior from rl cross join classes x left join ev on ev.sid = rl.sid and ev.cls = x.cls
+ join (select cls, k / cast(n as double) as p from sk join sn using (inner_fold) where inner_fold = -1) pr on pr.cls = x.cls""")
+def _(fx):
+    """What the ranker of the first outer fold is fitted on and applied to."""
+    got = co.ranker_rows(fx.tokens("gene_type"), fx.folds(), fx.prob(["a"], 400), fx.classes, 0)
+    return got.select("sid", "label", "inner_fold", "cls", *[F.round(c, 6).alias(c) for c in ("sum_all", "sum_absolute")], "n_positive", "n_tokens", F.round("prior", 6).alias("prior"))
+
+
 @query("c8_candidate_ranker")
 def _(fx):
-    got = co.candidate_ranker(fx.tokens("gene_type"), fx.folds(), fx.prob(["a"], 400), fx.classes)
-    return got.withColumn("p", F.round("p", 4))
+    """All outer folds, each scored by a ranker and a strength that never saw its labels."""
+    tokens, folds, prob = cut_lineage(fx.tokens("gene_type")), cut_lineage(fx.folds()), cut_lineage(fx.prob(["a"], 400))
+    out = None
+    for held in range(5):
+        part = co.candidate_ranker(tokens, folds, prob, fx.classes, held)
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("p", F.round("p", 4))

@@ -181,10 +181,18 @@ def _(fx):
 @query(
     "a14_gene_pairs",
     "select a.token as gene_a, b.token as gene_b, count(*) as n from tok_gene a join tok_gene b on a.sid = b.sid and"
-    " a.token < b.token group by 1, 2 having count(*) >= 10",
+    " a.token < b.token group by 1, 2",
 )
 def _(fx):
-    return ru.gene_pairs(ru.gene_presence(fx.events), min_support=10)
+    return ru.gene_pairs(ru.gene_presence(fx.events))
+
+
+@query(
+    "a14_row_pairs",
+    "select a.sid, a.token as gene_a, b.token as gene_b from tok_gene a join tok_gene b on a.sid = b.sid and a.token < b.token",
+)
+def _(fx):
+    return ru.row_pairs(ru.gene_presence(fx.events))
 
 
 @query(

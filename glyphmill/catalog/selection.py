@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.catalog.base import query, r6
 from glyphmill.catalog.weights import grid
+from glyphmill.session import cut_lineage
 from glyphmill.operators import rollups as ru, selection as se, similarity as si, weights as we
 
 
@@ -144,29 +145,38 @@ def doc_words(fx):
 
 
 def _word_columns(fx):
+    """Words of documents without those whose column equals an earlier word's: duplicates go before correlations are looked for."""
     words = doc_words(fx)
-    kept = words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n >= 8").select("token")
-    return words.join(kept, "token", "left_semi")
+    return words.join(si.first_of_equal(words).filter("id = first").select(F.col("id").alias("token")), "token", "left_semi")
 
 
 def _n_docs(fx):
     return fx.t("documents").count()
 
 
-@query("l24_correlated_columns", f"""with {_DOCW}, k as (select token, count(*) as c from dw group by 1 having count(*) >= 8),
- w as (select sid, token, c from dw join k using (token)), n as (select count(*)::double as n from documents),
+_FIRST = f"""{_DOCW}, hs as (select token, count(*) as c, md5(string_agg(cast(sid as varchar), ',' order by sid)) as h from dw group by 1),
+ fi as (select token, c, h, min(token) over (partition by h) as first from hs)"""
+
+
+@query("l24_duplicate_columns", f"with {_FIRST} select token as id, first from fi")
+def _(fx):
+    """Each word with the first word that has the very same column."""
+    return si.first_of_equal(doc_words(fx))
+
+
+@query("l24_correlated_columns", f"""with {_FIRST}, w as (select sid, token, c from dw join fi using (token) where token = first), n as (select count(*)::double as n from documents),
  p as (select x.token as a, y.token as b, cast(max(x.c) as double) as ca, cast(max(y.c) as double) as cb, count(*) as common from w x
  join w y on x.sid = y.sid and x.token < y.token group by 1, 2), q as (select a, b, common, (n * common - ca * cb) / sqrt(ca * cb *
  (n - ca) * (n - cb)) as phi from p, n where ca < n and cb < n) select a, b, common, {r6('phi')} as phi from q where abs(phi) >= 0.95""")
 def _(fx):
-    """Positive and negative phi; pairs that never meet cannot reach -0.95 on this data, as the twin assumes."""
+    """Positive and negative phi among distinct columns; pairs that never meet cannot reach -0.95 on this data, as the twin assumes."""
     return _round(si.correlated_tokens(_word_columns(fx), _n_docs(fx), 0.95), "phi")
 
 
 @query("l24_pruned_columns")
 def _(fx):
     """Columns left after dropping those correlated with an earlier kept one (sequential rule, no SQL twin)."""
-    words = _word_columns(fx)
+    words = cut_lineage(_word_columns(fx))
     edges = si.correlated_tokens(words, _n_docs(fx), 0.95)
     return si.keep_earlier(words.select(F.col("token").alias("id")), edges)
 

@@ -1,7 +1,7 @@
 """Data-quality contracts, coverage audits and exploratory tables."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphmill.functions import cells
 
@@ -144,12 +144,12 @@ def segments(rows: DataFrame, groupings: list[str]) -> DataFrame:
     return rows.select(*keep, pairs.alias("x")).select(*keep, "x.grouping", "x.grp")
 
 
-def token_audit(tokens: DataFrame, folds: DataFrame, held: int = 0, rare: int = 10) -> DataFrame:
-    """(sid) of the held fold: active tokens and shares unseen or rare in the fit rows."""
+def token_audit(tokens: DataFrame, folds: DataFrame, rare: int = 10) -> DataFrame:
+    """(sid): active tokens and shares unseen or rare in the rows of the other folds; all folds in one pass."""
     placed = tokens.join(folds.select("sid", "fold"), "sid")
-    support = placed.filter(F.col("fold") != held).groupBy("token").agg(F.count(F.lit(1)).alias("s"))
-    x = placed.filter(F.col("fold") == held).join(support, "token", "left").withColumn("s", F.coalesce("s", F.lit(0)))
-    return x.groupBy("sid").agg(
+    own = placed.groupBy("token", "fold").agg(F.count(F.lit(1)).alias("k"))
+    other = own.select("token", "fold", (F.sum("k").over(Window.partitionBy("token")) - F.col("k")).alias("s"))  # a row per fold
+    return placed.join(other, ["token", "fold"]).groupBy("sid").agg(
         F.count(F.lit(1)).alias("active_tokens"), F.avg((F.col("s") == 0).cast("double")).alias("unseen_ratio"),
         F.avg((F.col("s") < rare).cast("double")).alias("rare_ratio"))
 

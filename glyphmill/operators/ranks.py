@@ -29,31 +29,20 @@ def group_sizes(df: DataFrame, groups: list[str], out: str = "n") -> DataFrame:
     return df.groupBy(*groups).agg(F.count(F.lit(1)).alias(out))
 
 
-def hot_keys(sized: DataFrame, keys: list[str], rows: str, floor: int = 500_000, limit: int = 256) -> DataFrame:
-    """At most ``limit`` keys: the largest ones above ``floor`` rows.
-
-    A key outside the list holds less than 1/limit of all rows, so the list is bounded and complete
-    enough to salt by; ``orderBy.limit`` keeps only ``limit`` rows per task.
-    """
-    return sized.filter(F.col(rows) >= floor).orderBy(F.desc(rows), *keys).limit(limit).select(*keys)
+def hot_keys(sized: DataFrame, keys: list[str], rows: str, target: int = 200_000) -> DataFrame:
+    """(*keys, _salts): the keys with more than ``target`` rows and how many tasks to deal each over."""
+    return sized.filter(F.col(rows) > target).select(*keys, F.ceil(F.col(rows) / target).cast("int").alias("_salts"))
 
 
-def salted_join(
-    left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread: list[str], salts: int = 64
-) -> DataFrame:
-    """Inner equi-join in which rows of a hot key are spread over ``salts`` tasks.
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread: list[str]) -> DataFrame:
+    """Inner equi-join in which rows of a hot key are spread over as many tasks as its size asks for.
 
-    Only the right rows of hot keys are copied.  ``hot`` has a proven bound (see hot_keys), hence the
-    broadcast; the join itself is left to adaptive execution.
+    Only the right rows of hot keys are copied.  The list of hot keys has at most rows / target entries; whether it is small enough
+    to broadcast is left to adaptive execution.
     """
-    mark = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
-    l2 = left.join(mark, keys, "left").withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    ).drop("_hot")
-    r2 = right.join(mark, keys, "left").withColumn(
-        "_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    l2 = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("_salts")
+    r2 = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return l2.join(r2, [*keys, "_salt"]).drop("_salt")
 
 
@@ -68,8 +57,8 @@ def numbered_by_value(df: DataFrame, value: str, key: Column, ties: list[str], o
 
     groups = groups or []
     edges = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.001)))
-    splits = [float("-inf"), *edges, float("inf")]
-    keyed = Bucketizer(splits=splits, inputCol=value, outputCol="_b").transform(
+    splits = [float("-inf"), *(edges or [0.0]), float("inf")]  # no rows, no edges
+    keyed = Bucketizer(splits=splits, inputCol=value, outputCol="_b", handleInvalid="keep").transform(
         df.withColumn("_h", key)).withColumn("_s", F.substring("_h", 1, HASH_PREFIX))
     parts = keyed.groupBy(*groups, "_b", value, "_s").agg(F.count(F.lit(1)).alias("_n"))
     outer = groups or [F.lit(0)]

@@ -178,6 +178,13 @@ def multi_event_support(typed: DataFrame) -> DataFrame:
     )
 
 
+def row_pairs(presence: DataFrame) -> DataFrame:
+    """(sid, gene_a < gene_b): every pair of genes of a sample, made inside the sample's own row."""
+    rows = presence.groupBy("sid").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
+    first = rows.select("sid", "genes", F.posexplode("genes").alias("i", "gene_a"))
+    return first.select("sid", "gene_a", F.explode(F.slice("genes", F.col("i") + 2, F.size("genes"))).alias("gene_b"))
+
+
 def gene_pairs(presence: DataFrame, min_support: int = 1) -> DataFrame:
     """(gene_a < gene_b, n): samples in which both occur.
 
@@ -189,10 +196,7 @@ def gene_pairs(presence: DataFrame, min_support: int = 1) -> DataFrame:
     if min_support > 1:
         frequent = presence.groupBy("gene").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support)
         kept = presence.join(frequent.select("gene"), "gene", "left_semi")
-    rows = kept.groupBy("sid").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
-    first = rows.select("sid", "genes", F.posexplode("genes").alias("i", "gene_a"))
-    pairs = first.select("gene_a", F.explode(F.slice("genes", F.col("i") + 2, F.size("genes"))).alias("gene_b"))
-    return pairs.groupBy("gene_a", "gene_b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support)
+    return row_pairs(kept).groupBy("gene_a", "gene_b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support)
 
 
 def domain_features(events: DataFrame, samples: DataFrame, groups: dict[str, list[str]],

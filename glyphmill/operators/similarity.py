@@ -330,6 +330,12 @@ def confusion_groups(pairs: list[tuple[str, str, int]], classes: list[str], n_gr
 # Correlated columns --------------------------------------------------------------------------
 
 
+def first_of_equal(tokens: DataFrame) -> DataFrame:
+    """(id, first): the smallest token with the same set of samples, by an order-free fingerprint of the set."""
+    keyed = cut_lineage(profiles(tokens.select(F.col("token").alias("id"), F.col("sid").alias("member"))))
+    return keyed.join(keyed.groupBy("profile").agg(F.min("id").alias("first")), "profile").select("id", "first")
+
+
 def correlated_tokens(tokens: DataFrame, n_rows: int, threshold: float) -> DataFrame:
     """All token pairs whose presence columns have |phi| >= threshold, exactly: (a < b, common, phi).
 
@@ -340,7 +346,7 @@ def correlated_tokens(tokens: DataFrame, n_rows: int, threshold: float) -> DataF
     """
     t2 = threshold * threshold
     sets = tokens.select(F.col("token").alias("id"), F.col("sid").alias("member"))
-    ordered = ordered_members(sets).filter(F.col("size") < n_rows)
+    ordered = cut_lineage(ordered_members(sets).filter(F.col("size") < n_rows))
     s, n = F.col("size").cast("double"), float(n_rows)
     smallest = t2 * s * n / (n - s * (1 - t2))  # least partner support that can still reach the threshold
     need = F.ceil(F.least(threshold * s, smallest) - 1e-9)
@@ -381,14 +387,14 @@ def correlated_tokens(tokens: DataFrame, n_rows: int, threshold: float) -> DataF
     return every.withColumn("phi", phi).filter(F.abs("phi") >= threshold - 1e-12).select("a", "b", "common", "phi")
 
 
-def keep_earlier(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def keep_earlier(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, kept): walk ids in order, drop one that is linked to an earlier kept one.
 
     The walk is done for all ids at once: an id whose earlier neighbours are all decided can be decided.
     """
     pending = cut_lineage(edges.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")))
     state = cut_lineage(nodes.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    for _ in range(max_rounds):
+    while True:  # each round decides at least the earliest open id of every component
         seen = pending.join(state.withColumnRenamed("id", "early"), "early").groupBy("late").agg(
             F.coalesce(F.max(F.col("kept").cast("int")), F.lit(0)).alias("any_kept"),
             F.count_if(F.col("kept").isNull()).alias("open"))
@@ -398,4 +404,3 @@ def keep_earlier(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> D
         state = cut_lineage(ruled.select("id", decided.alias("kept")))
         if state.filter("kept is null").limit(1).count() == 0:
             return state
-    raise RuntimeError("pruning did not settle")

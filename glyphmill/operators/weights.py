@@ -20,15 +20,15 @@ def class_array(classes: list[str]) -> Column:
 
 
 def class_sizes(samples: DataFrame, classes: list[str], by: list[str] | None = None) -> DataFrame:
-    """(*by, n, ns): rows and rows per class, one row per ``by``."""
+    """(*by, n, ns): labelled rows and rows per class, one row per ``by``."""
     sizes = F.array(*[F.count_if(F.col("label") == c) for c in classes]).alias("ns")
-    return samples.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), sizes)
+    return samples.groupBy(*(by or [])).agg(F.count("label").alias("n"), sizes)
 
 
 def token_counts(tokens: DataFrame, samples: DataFrame, classes: list[str], by: list[str] | None = None) -> DataFrame:
     """(*by, token, support, pos, n, ns); ``by`` columns come with the samples."""
     by = by or []
-    joined = tokens.join(samples.select("sid", "label", *by), "sid")
+    joined = tokens.join(samples.filter(F.col("label").isNotNull()).select("sid", "label", *by), "sid")
     positives = F.array(*[F.count_if(F.col("label") == c) for c in classes]).alias("pos")
     counted = joined.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("support"), positives)
     sizes = class_sizes(samples, classes, by)

@@ -88,3 +88,24 @@ def test_bundle_applies_to_unseen_rows(spark, tmp_path):
     few = rows.limit(3)
     assert co.apply_bundle(fx.typed, few, fx.classes, str(tmp_path)).select("sid", "cls", F.round("z", 9)).exceptAll(
         z.select("sid", "cls", F.round("z", 9))).count() == 0
+
+
+def test_ranker_rows_do_not_see_labels_of_the_held_fold(spark):
+    """Turning the labels of the held fold changes nothing that the ranker is fitted on or applied to."""
+    from pyspark.sql import functions as F
+
+    fx = Fixtures(spark, SF)
+    folds, classes = fx.folds(), fx.classes
+    turned = folds.withColumn("label", F.when(F.col("fold") == 0, F.lit(classes[0])).otherwise(F.col("label")))
+    tables = [co.ranker_rows(fx.tokens("gene_type"), x, fx.prob(["a"], 400), classes, 0).drop("label").select("sid", "inner_fold", "cls", *[F.round(c, 9).alias(c) for c in co.RANKER_COLUMNS])
+              for x in (folds, turned)]
+    assert tables[0].exceptAll(tables[1]).count() == 0 and tables[0].count() == 150 * len(classes)
+
+
+def test_rows_without_a_label_count_nowhere(spark):
+    from glyphmill.operators import weights as we
+
+    samples = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "sid long, label string")
+    tokens = spark.createDataFrame([(1, "t"), (2, "t"), (3, "t")], "sid long, token string")
+    row = we.token_counts(tokens, samples, ["a", "b"]).first()
+    assert (row["support"], row["n"], row["pos"]) == (2, 2, [1, 1])

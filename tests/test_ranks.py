@@ -38,9 +38,9 @@ def test_exact_quantiles(spark):
 def test_salted_join_equals_join(spark):
     left = spark.range(1000).select(F.col("id"), F.when(F.col("id") < 700, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"))
     right = left.select("k").distinct().withColumn("w", F.length("k"))
-    hot = ranks.hot_keys(left.groupBy("k").count(), ["k"], "count", floor=100)
+    hot = ranks.hot_keys(left.groupBy("k").count(), ["k"], "count", target=100)
     assert [r.k for r in hot.collect()] == ["hot"]
-    got = ranks.salted_join(left, right, ["k"], hot, ["id"], salts=8)
+    got = ranks.salted_join(left, right, ["k"], hot, ["id"])
     assert got.select("id", "k", "w").exceptAll(left.join(right, "k").select("id", "k", "w")).count() == 0
     assert got.count() == 1000
 
@@ -50,3 +50,11 @@ def test_permutation_keeps_label_counts(spark):
     got = fo.permute_labels(df, 3)
     assert got.groupBy("label").count().filter("count <> 100").count() == 0
     assert got.join(df.withColumnRenamed("label", "old"), "sid").filter("label = old").count() < 250
+
+
+def test_numbering_takes_no_rows_and_nan(spark):
+    none = spark.createDataFrame([], "sid long, v double")
+    assert ranks.numbered_by_value(none, "v", F.md5(F.col("sid").cast("string")), ["sid"]).count() == 0
+    some = spark.createDataFrame([(1, 2.0), (2, float("nan")), (3, 1.0)], "sid long, v double")
+    got = {r.sid: r.rn for r in ranks.numbered_by_value(some, "v", F.md5(F.col("sid").cast("string")), ["sid"]).collect()}
+    assert got == {2: 1, 1: 2, 3: 3}
