@@ -109,8 +109,8 @@ def _byte_letters() -> dict[int, str]:
 
 #: One word of Latin letters: lower-cased and split into no more than itself by the tokenizer.
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Between a Latin letter or digit and what follows it the tokenizer always splits, unless that is an apostrophe.
-_SPLIT = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([!-&(-/:-@\[-`{-~])"
+#: Between a Latin letter or digit and a sign the tokenizer always splits, unless that is an apostrophe, or a bar inside a special token.
+_SPLIT = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([!-&(-/:-@\[-`{}~])"
 
 
 class WordTokenizer:
