@@ -2,10 +2,10 @@
 
 Known forms (assign, access, hex) stand as they are.  Every other run of 20 or more key characters is a candidate; its
 encoding is the smallest alphabet that has all its characters, and three tests compare it with random symbols of that alphabet:
-chi-squared uniformity, Wald-Wolfowitz runs and lag-1 serial correlation.  A candidate that these reject is no key.
+chi-squared uniformity (over symbols and over classes of symbols), Wald-Wolfowitz runs and lag-1 serial correlation.  A candidate that these reject is no key.
 Whether it could be text instead is judged with the corpus' own byte frequencies (counted over all documents): how
-small its chi-squared distance from uniformity is, and how often it changes between small letters, capitals, digits
-and signs, against what text would give.  The two p-values are combined by Fisher's rule, and the false-discovery rate is controlled by
+small its chi-squared distance from uniformity is, and how often it changes between small letters, capitals and
+digits, against what text would give.  The two p-values are combined by Fisher's rule, and the false-discovery rate is controlled by
 Benjamini and Hochberg's rule within each stratum of encoding and length class, so that many short candidates do
 not lend their significance to long ones or the other way round.
 
@@ -94,7 +94,24 @@ def uniform_battery(key: str, alphabet: str) -> float:
     centred = code - code.mean()
     spread = float((centred**2).sum())
     serial = 2 * _normal_tail(abs(float((centred[1:] * centred[:-1]).sum()) / spread + 1 / n) * math.sqrt(n)) if spread else 0.0
-    return _fisher(chi, runs, serial)
+    return _fisher(chi, _class_uniformity(key, alphabet), runs, serial)
+
+
+def _class_uniformity(key: str, alphabet: str) -> float:
+    """Chi-squared over small letters, capitals, digits and signs, which a short key can fill where 64 symbols are too many cells."""
+    sizes, seen = np.zeros(4), np.zeros(4)
+    for c in alphabet:
+        sizes[_kind(c)] += 1
+    for c in key:
+        seen[_kind(c)] += 1
+    there = sizes > 0
+    cells = int(there.sum())
+    if cells < 2:
+        return 1.0
+    expected = len(key) * sizes[there] / len(alphabet)
+    x, degrees = float(((seen[there] - expected) ** 2 / expected).sum()), cells - 1
+    cube = ((x / degrees) ** (1 / 3) - (1 - 2 / (9 * degrees))) / math.sqrt(2 / (9 * degrees))
+    return _normal_tail(cube)
 
 
 def text_p_value(key: str, alphabet: str, freq: np.ndarray, change: float) -> float:
@@ -108,7 +125,7 @@ def text_p_value(key: str, alphabet: str, freq: np.ndarray, change: float) -> fl
     mean = n + n * (n - 1) * q2
     var = max(2 * n * (n - 1) * (q2 + 2 * (n - 2) * q3 - (2 * n - 3) * q2**2), 1e-9)
     even = _normal_tail((mean - s) / math.sqrt(var))
-    changes = sum(_kind(a) != _kind(b) for a, b in zip(key, key[1:]))
+    changes = sum(_kind(a) != _kind(b) and 3 not in (_kind(a), _kind(b)) for a, b in zip(key, key[1:]))  # names and paths have signs
     expected = max(change, 1e-6) * (n - 1)
     term = math.exp(-expected)
     below = 0.0
@@ -128,11 +145,10 @@ def _kind(c: str) -> int:
 
 
 def _class_table() -> np.ndarray:
-    """Class of each byte: small letter, capital, digit, sign; 9 for what parts words."""
+    """Class of each byte: small letter, capital, digit; 9 for everything else."""
     table = np.full(256, 9, np.uint8)
     for i, (a, z) in enumerate((("a", "z"), ("A", "Z"), ("0", "9"))):
         table[ord(a):ord(z) + 1] = i
-    table[[ord(c) for c in "+/_=-"]] = 3
     return table
 
 
