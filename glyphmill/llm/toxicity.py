@@ -32,8 +32,8 @@ SAMPLE_ROWS = 40_000
 THRESHOLD = 0.3
 #: Segments of a document that are kept for calibration.
 KEPT = 32
-#: About exp(-6) of clean documents have a larger statistic.
-ENOUGH = 6.0
+#: Below minus this the statistic says no more.
+LEAST = 6.0
 REMEMBERED = 200_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _GRID = np.linspace(-12, 12, 961)
@@ -134,8 +134,8 @@ def statistic(segments: np.ndarray, n: int, scale: float, log_k: float) -> float
 
 
 def levelled(x: np.ndarray) -> np.ndarray:
-    """The statistic, levelling off at ENOUGH: beyond that more evidence should not bend the curve."""
-    return np.where(x > 0, ENOUGH * np.tanh(x / ENOUGH), np.maximum(x, -ENOUGH))
+    """The statistic, positive values on a logarithmic scale: long documents full of evidence should not bend the curve."""
+    return np.where(x > 0, np.log1p(np.maximum(x, 0)), np.maximum(x, -LEAST))
 
 
 def chance(x: np.ndarray, intercept: float, slope: float) -> np.ndarray:
