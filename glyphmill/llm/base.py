@@ -22,6 +22,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle and checkpoint files of tables that nothing refers to any more.
+
+    Its cleaner acts when the driver's JVM collects their handles, which a driver with little to do may not do for a long time.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def narrowed(df: DataFrame) -> DataFrame:
+    """As many partitions as a shuffle would give, at most: tables that are added to again and again do not fall into ever more files."""
+    return df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, everything else as it is (``lower`` is that, and faster, where all is ASCII)."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
@@ -149,3 +165,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir; a temporary one on a local master without it)."""
     ensure_checkpoint_dir(spark)
     return spark.sparkContext.getCheckpointDir()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this package has written, on whatever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

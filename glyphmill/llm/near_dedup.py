@@ -7,15 +7,16 @@ registers, so sketches merge, and two sets agree in a register with a probabilit
 Search.  Documents with equal shingle sets are one class, and only classes go on.  Bands of r registers give buckets;
 r is the largest for which a pair right at the threshold is missed with a probability below ``miss``.  A pair that
 shares a bucket is estimated from all registers and both set sizes by maximum likelihood; it is set aside only when the
-likelihood at the threshold is e**-16 of the best one or less.  Whatever is left is verified on the full sets.
+likelihood at the threshold is e**-SLACK of the best one or less.  Whatever is left is verified on the full sets.
 
 Groups.  Links are wanted for the components they make, so pairs inside a component need no look:
 
 * hub rounds: every member of a bucket meets the bucket's hub only, and keeps its best estimated hub that is in another
   component.  Rounds go on while they join a fair share of the open members;
 * the rest is exact: in every bucket that still holds several components, each member outside the bucket's largest
-  component (stated query rows) meets all members, block against block inside tasks, and only pairs that pass the
-  estimate leave a task.
+  component (stated query rows) meets all members, block against block inside tasks.  A pair is looked at in the first bucket
+  it shares, estimated, and verified on the full sets right there; only links that join components which the block has
+  not joined yet are looked for and leave the task.
 
 So a large group costs rows in proportion to its size, a hot bucket is dealt over many tasks, and no pair of different
 texts that share a bucket is lost to a cap.
@@ -25,20 +26,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphmill.llm.base import checkpointed, drop_rows, read, slot_filter, slot_of
-from glyphmill.operators.similarity import connected_components
+from glyphmill.llm.base import checkpointed, drop_rows, narrowed, read, release, ship, slot_filter, slot_of, text_slices
 
-REGISTERS = 192
+REGISTERS = 256
 BASE = 1.001
 RATE = 20.0
 #: UTF-8 bytes of texts that a worker sketches at a time (one text at least).
 AT_A_TIME = 2 << 20
-#: Members of a block in the last step, and rows that a block compares at once.
-BLOCK = 1024
-STRIP = 64
-SLACK = 16.0
+#: Members of a block in the last step, and pairs whose registers are compared at once.
+BLOCK = 512
+AT_ONCE = 16_384
+#: Log-likelihood below the best that a pair right at the threshold exceeds with a probability of 4e-6.
+SLACK = 10.0
 
 _U = np.uint64
 _GOLDEN = _U(0x9E3779B97F4A7C15)
@@ -108,11 +109,20 @@ def registers(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
     return np.nan_to_num(np.clip(level, 0, 65_535), nan=0, posinf=0, neginf=0).astype(np.uint16).reshape(len(sets), m)
 
 
-def passes(plus: np.ndarray, minus: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, m: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def passes(ra: np.ndarray, rb: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Whether similarity ``threshold`` is not ruled out by the registers, and the likelihood's estimate.
 
-    plus and minus: how many registers of a are larger and smaller than those of b; n_a, n_b: sizes of the sets.
+    ra, rb: registers, a row per pair; n_a, n_b: sizes of the sets.  A pair that agrees in so few registers that even
+    a binomial tail of 1e-15 at the threshold excludes it is not estimated further.
     """
+    m = ra.shape[1]
+    ok, best_of_all = np.zeros(len(n_a), bool), np.zeros(len(n_a))
+    same = (ra == rb).sum(axis=1)
+    at = np.flatnonzero((same >= m * threshold - 8 * np.sqrt(m * threshold * (1 - threshold)) - 1)
+                        & (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9))
+    if not len(at):
+        return ok, best_of_all
+    plus, minus, n_a, n_b = (ra[at] > rb[at]).sum(axis=1), (ra[at] < rb[at]).sum(axis=1), n_a[at], n_b[at]
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
     top = np.minimum(u / v, v / u)
     chance = lambda x: -np.log1p(-np.maximum(x, 1e-12) * (BASE - 1) / BASE) / np.log(BASE)
@@ -122,13 +132,14 @@ def passes(plus: np.ndarray, minus: np.ndarray, n_a: np.ndarray, n_b: np.ndarray
         return plus * np.log(p) + minus * np.log(q) + (m - plus - minus) * np.log(np.maximum(1 - p - q, 1e-12))
 
     lo, hi = np.zeros_like(top), top.copy()
-    for _ in range(40):  # the likelihood is concave: a golden section finds its top
+    for _ in range(24):  # the likelihood is concave: a golden section finds its top
         a, b = hi - (hi - lo) * 0.618, lo + (hi - lo) * 0.618
         left = likelihood(a) > likelihood(b)
         hi, lo = np.where(left, b, hi), np.where(left, lo, a)
     best = (lo + hi) / 2
-    at = np.minimum(threshold, top)
-    return (top >= threshold - 1e-9) & ((best >= threshold) | (likelihood(best) - likelihood(at) <= SLACK)), best
+    close = (best >= threshold) | (likelihood(best) - likelihood(np.minimum(threshold, top)) <= SLACK)
+    ok[at], best_of_all[at] = close, best
+    return ok, best_of_all
 
 
 def band_rows(m: int, threshold: float, miss: float = 1e-6) -> int:
@@ -137,17 +148,6 @@ def band_rows(m: int, threshold: float, miss: float = 1e-6) -> int:
     return max(fit, default=1)
 
 
-def _sized(batch, column: int):
-    import pyarrow.compute as pc
-
-    size = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + AT_A_TIME, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def sketches(docs: DataFrame, k: int, m: int = REGISTERS) -> DataFrame:
     """doc_id, _th (hash of the text), n, f1, f2 (fingerprint of the set), regs (m 16-bit values as bytes)."""
 
@@ -155,7 +155,7 @@ def sketches(docs: DataFrame, k: int, m: int = REGISTERS) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in _sized(batch, 2):
+            for part in text_slices(batch, 2, AT_A_TIME):
                 sets = shingle_sets(part.column(2), k)
                 regs = registers(sets, m)
                 n = np.array([len(s) for s in sets], np.int64)
@@ -177,7 +177,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in _sized(batch, 1):
+            for part in text_slices(batch, 1, AT_A_TIME):
                 sets = shingle_sets(part.column(1), k)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = (np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64)
@@ -197,24 +197,25 @@ def _estimated(pairs: DataFrame, regs: DataFrame, m: int, threshold: float) -> D
         for x in batches:
             ra, rb = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint16).reshape(-1, m) for i in (4, 5))
             na, nb = (x.column(i).to_numpy().astype(float) for i in (2, 3))
-            ok, best = passes((ra > rb).sum(axis=1), (ra < rb).sum(axis=1), na, nb, m, threshold)
+            ok, best = passes(ra, rb, na, nb, threshold)
             at = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([x.column(0).take(at), x.column(1).take(at), pa.array(best[ok])], names=["a", "b", "estimate"])
 
     return both.mapInArrow(work, "a long, b long, estimate double")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs with 100 * common >= percent * union."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, looked: DataFrame | None) -> DataFrame:
+    """(a, b, linked) of the pairs: is 100 * common >= percent * union?  Together with the pairs looked at before."""
     one = lambda end: sets.select(F.col("rep").alias(end), F.col("items").alias("s" + end))
     both = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", common.alias("_i"), (F.size("sa") + F.size("sb")).alias("_s")).filter(
-        100 * F.col("_i") >= percent * (F.col("_s") - F.col("_i"))).select("a", "b")
+    done = both.select("a", "b", common.alias("_i"), (F.size("sa") + F.size("sb")).alias("_s")).select(
+        "a", "b", (100 * F.col("_i") >= percent * (F.col("_s") - F.col("_i"))).alias("linked"))
+    return checkpointed(done if looked is None else narrowed(looked.unionByName(done)))
 
 
-def _blocks(active: DataFrame, regs: DataFrame, m: int, threshold: float) -> DataFrame:
-    """a, b: pairs of ``active`` rows (bucket, rep, comp) of one bucket but not one component that may be similar.
+def _blocks(active: DataFrame, regs: DataFrame, sets: DataFrame, m: int, r: int, percent: int) -> DataFrame:
+    """a, b: verified links between ``active`` rows (bucket, band, rep, comp) of one bucket but not one component.
 
     ``outside`` rows are those that are not in their bucket's largest component.  They meet all rows of the bucket, cut in
     blocks of about BLOCK by BLOCK rows; a block is one group of a repartitioned and sorted stream.
@@ -222,50 +223,78 @@ def _blocks(active: DataFrame, regs: DataFrame, m: int, threshold: float) -> Dat
     per = active.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     largest = per.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("size")).select(
         "bucket", F.col("x.comp").alias("main"), "size", (F.col("size") - F.col("x.c")).alias("outside"))
+    largest = checkpointed(largest)  # a row per bucket; as a table of its own the join can split a hot bucket
     rows = active.join(largest, "bucket").withColumns({
         "cols": F.ceil(F.col("size") / BLOCK).cast("int"), "lines": F.ceil(F.col("outside") / BLOCK).cast("int")})
     pick = lambda n: F.pmod(F.xxhash64("rep", "bucket"), F.col(n)).cast("int")
-    member = rows.select("bucket", "rep", "comp", pick("cols").alias("c"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("l"), F.lit(0).alias("query"))
-    query = rows.filter("comp <> main").select("bucket", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), pick("lines").alias("l"), F.lit(1).alias("query"))
-    small = regs.select("rep", "n", "regs")
-    sent = member.unionByName(query).join(small, "rep").select(
-        F.xxhash64("bucket", "c", "l").alias("block"), "bucket", "c", "l", "query", "rep", "comp", "n", "regs")
-    dealt = sent.repartition(F.col("bucket"), F.col("c"), F.col("l")).sortWithinPartitions("block", "bucket", "c", "l", "query")
-
-    def compare(group: list) -> tuple[np.ndarray, np.ndarray]:
-        query, rep, comp, n = (np.concatenate([g[i] for g in group]) for i in range(4))
-        regs_ = np.concatenate([g[4] for g in group])
-        q, r = np.flatnonzero(query == 1), np.flatnonzero(query == 0)
-        a, b = [], []
-        for lo in range(0, len(q), STRIP):
-            s = q[lo:lo + STRIP]
-            differ = (comp[s][:, None] != comp[r][None, :]) & (100 * np.minimum(n[s][:, None], n[r][None, :]) >= 100 * threshold * np.maximum(n[s][:, None], n[r][None, :]) - 1e-6)
-            i, j = np.nonzero(differ)
-            if len(i):
-                x, y = regs_[s[i]], regs_[r[j]]
-                ok, _ = passes((x > y).sum(axis=1), (x < y).sum(axis=1), n[s[i]].astype(float), n[r[j]].astype(float), m, threshold)
-                a.append(np.minimum(rep[s[i[ok]]], rep[r[j[ok]]])), b.append(np.maximum(rep[s[i[ok]]], rep[r[j[ok]]]))
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    member = rows.select("bucket", "band", "rep", "comp", pick("cols").alias("c"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("l"), F.lit(0).alias("query"))
+    query = rows.filter("comp <> main").select("bucket", "band", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), pick("lines").alias("l"), F.lit(1).alias("query"))
+    sent = member.unionByName(query).join(regs.join(sets, "rep"), "rep").select(
+        "bucket", "c", "l", "band", "query", "rep", "comp", "n", "regs", "items")
+    dealt = sent.repartition(F.col("bucket"), F.col("c"), F.col("l")).sortWithinPartitions("bucket", "c", "l", "query")
+    threshold = percent / 100
+
+    def compare(rows: list) -> tuple[list[int], list[int]]:
+        """Links of the rows of one block: (band, query, rep, comp, n, sketch, items) each."""
+        band, query, rep, comp, n = (np.array([x[i] for x in rows]) for i in range(5))
+        q, other = np.flatnonzero(query == 1), np.flatnonzero(query == 0)
+        if not len(q) or not len(other):
+            return [], []
+        sketch = np.stack([x[5] for x in rows])
+        a, b, code, step = [], [], None, max(1, AT_ONCE // len(other))
+        up = np.unique(comp, return_inverse=True)[1]  # label of each row: components that this block has joined share one
+        for k in range(0, len(q), step):
+            i, j = np.nonzero(up[q[k:k + step]][:, None] != up[other][None, :])
+            i, j = q[k:k + step][i], other[j]
+            if not len(i):
+                continue
+            near, _ = passes(sketch[i], sketch[j], n[i].astype(float), n[j].astype(float), threshold)
+            i, j = i[near], j[near]
+            before = band[0] * r
+            if before and len(i):
+                same = (sketch[i, :before] == sketch[j, :before]).reshape(len(i), -1, r).all(axis=2).any(axis=1)
+                i, j = i[~same], j[~same]
+            if not len(i):
+                continue
+            if code is None:
+                ends = np.cumsum([len(x[6]) for x in rows])
+                code = np.unique(np.concatenate([x[6] for x in rows]), return_inverse=True)[1]
+                mark, starts = np.zeros(int(code.max()) + 1, bool), ends - n
+            for x in np.unique(i):
+                y = j[i == x]
+                y = y[up[y] != up[x]]
+                if not len(y):
+                    continue
+                mine = code[starts[x]:ends[x]]
+                mark[mine] = True
+                common = np.array([np.count_nonzero(mark[code[starts[z]:ends[z]]]) for z in y])
+                mark[mine] = False
+                for z in y[100 * common >= percent * (n[x] + n[y] - common)]:
+                    if up[z] != up[x]:
+                        up[up == up[z]] = up[x]
+                        a.append(int(min(rep[x], rep[z])))
+                        b.append(int(max(rep[x], rep[z])))
+        return a, b
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held, key = [], None
-        found = lambda p: pa.RecordBatch.from_arrays([pa.array(p[0], pa.int64()), pa.array(p[1], pa.int64())], names=["a", "b"])
+        key, held = None, []
         for x in batches:
-            if not x.num_rows:
-                continue
-            keys = np.stack([x.column(i).to_numpy().astype(np.int64) for i in range(4)])
-            data = [x.column(i).to_numpy() for i in (4, 5, 6, 7)] + [np.frombuffer(b"".join(x.column(8).to_pylist()), np.uint16).reshape(-1, m)]
-            cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [x.num_rows]])
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if key is not None and tuple(keys[:, lo]) != key:
-                    yield found(compare(held))
-                    held = []
-                key = tuple(keys[:, lo])
-                held.append([d[lo:hi] for d in data])
+            a, b = [], []
+            keys = list(zip(*(x.column(i).to_pylist() for i in range(3))))
+            columns = [x.column(i).to_pylist() for i in range(3, 8)]
+            sketch = np.frombuffer(b"".join(x.column(8).to_pylist()), np.uint16).reshape(-1, m)
+            offsets, values = x.column(9).offsets.to_numpy(), x.column(9).values.to_numpy()
+            for i, own in enumerate(keys):
+                if own != key:
+                    found = compare(held) if held else ([], [])
+                    a, b, key, held = a + found[0], b + found[1], own, []
+                held.append((*(c[i] for c in columns), sketch[i], values[offsets[i]:offsets[i + 1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         if held:
-            yield found(compare(held))
+            a, b = compare(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(work, "a long, b long").distinct()
 
@@ -280,6 +309,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     link nothing.  Rows that share an id are one document; repeated rows all carry its component.  No rows give no
     rows; other columns are not looked at.
     """
+    ship(docs.sparkSession)
     threshold = percent / 100
     r = band_rows(m, threshold)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -289,34 +319,48 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
         F.col("x.doc_id").alias("rep"), "n", "f1", "f2", F.col("x.regs").alias("regs"))
 
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 2 * r * i + 1, 2 * r)) for i in range(m // r)])
-    bands = classes.select("rep", F.explode(keys).alias("bucket"))
+    bands = classes.select("rep", "n", F.posexplode(keys).alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("bucket")
-    crowded = checkpointed(bands.join(shared, "bucket").select("bucket", "rep"))
-    involved = checkpointed(crowded.select("rep").distinct())
-    regs = checkpointed(classes.join(involved, "rep", "left_semi").select("rep", "n", "regs"))
+    crowded = checkpointed(bands.join(shared, "bucket").select("bucket", "band", "rep", "n"))
+    regs = checkpointed(classes.join(crowded.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "regs"))
+    involved = regs.select("rep")
 
-    narrowed = slot_filter(texts, involved.select(slot_of(F.col("rep"), slot_bits).alias("s")), slot_of(F.coalesce("doc_id", F.lit(0)), slot_bits), slot_bits, "_in")
-    wanted = narrowed.filter("_in").join(involved, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "text")
+    passing = slot_filter(texts, involved.select(slot_of(F.col("rep"), slot_bits).alias("s")), slot_of(F.coalesce("doc_id", F.lit(0)), slot_bits), slot_bits, "_in")
+    wanted = passing.filter("_in").join(involved, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "text")
     sets = checkpointed(full_sets(wanted, k))
+    release(docs.sparkSession)
 
-    links, comps, before = None, None, None
+    looked, settled, comps, before = None, None, None, None
     while True:
         at = crowded.withColumn("comp", F.col("rep")) if comps is None else crowded.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        span = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                        F.min_by("rep", F.xxhash64("rep", F.lit(before or 0))).alias("hub")).filter("lo <> hi").select("bucket", "hub")
+        span = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("a"), F.max("rep").alias("b"),
+                                        F.count(F.lit(1)).alias("members"), F.min_by(F.struct("rep", "comp", "n"), F.xxhash64("rep", F.lit(before or 0))).alias("hub")).filter("lo <> hi")
+        if settled is not None:  # a bucket of two whose pair is decided needs no further look
+            span = span.filter("members > 2").unionByName(span.filter("members = 2").join(settled, ["a", "b"], "left_anti").select(span.columns))
+        span = checkpointed(span.select("bucket", "hub"))
         active = checkpointed(at.join(span, "bucket"))
         count = active.count()
         if not count or before is not None and count > 0.75 * before:
             break
-        hub_comp = active.filter("rep = hub").select("bucket", F.col("comp").alias("hub_comp"))
-        met = active.join(hub_comp, "bucket").filter("comp <> hub_comp").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-        likely = _estimated(met, regs, m, threshold)
-        best = likely.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
-        links, comps = _joined(links, _verified(best, sets, percent))
+        alike = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")  # sets of too different sizes are never linked
+        met = checkpointed(active.filter(alike & F.expr("comp <> hub.comp")).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"), "rep").distinct())
+        likely = checkpointed(_estimated(met.select("a", "b").distinct(), regs, m, threshold))
+        ends = met.join(likely, ["a", "b"])
+        best = ends.groupBy("rep").agg(F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+        looked = _verified(best, sets, percent, looked)
+        decided = met.select("a", "b").distinct().join(likely, ["a", "b"], "left_anti").unionByName(looked.select("a", "b")).distinct()
+        settled = checkpointed(decided if settled is None else narrowed(settled.unionByName(decided)))
+        comps = _near_labels(looked.filter("linked"))
         before = count
+        del met, likely, ends, best, decided, at
+        release(docs.sparkSession)
     if count:
-        rest = _verified(_blocks(active.select("bucket", "rep", "comp"), regs, m, threshold), sets, percent)
-        links, comps = _joined(links, rest)
+        rest = _blocks(active.select("bucket", "band", "rep", "comp"), regs, sets, m, r, percent).withColumn("linked", F.lit(True))
+        looked = checkpointed(rest if looked is None else narrowed(looked.unionByName(rest)))
+        del rest, active, at
+    del sets, crowded, settled
+    release(docs.sparkSession)
+    comps = None if looked is None else _components(looked.filter("linked").select("a", "b"))
 
     named_classes = classes.select("rep", "n", "f1", "f2")
     labelled = named_classes if comps is None else named_classes.join(comps, "rep", "left")
@@ -329,11 +373,43 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
         F.coalesce(F.col("doc_id") == F.col("_component"), F.lit(True)).alias("kept"))
 
 
-def _joined(links: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All links so far, and (rep, comp) of the documents they touch."""
-    links = checkpointed(more if links is None else links.unionByName(more))
-    nodes = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-    return links, connected_components(nodes, links).select(F.col("id").alias("rep"), F.col("component").alias("comp"))
+def _near_labels(links: DataFrame) -> DataFrame:
+    """(rep, comp): a label that only linked documents share; not yet the smallest one of the whole component.
+
+    Hub rounds need no more: labels that are too fine cost looks, not links.
+    """
+    ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    label = ends.groupBy("rep").agg(F.least(F.min("other"), F.col("rep")).alias("comp"))
+    for _ in range(2):
+        up = label.select(F.col("rep").alias("comp"), F.col("comp").alias("next"))
+        label = checkpointed(label.join(up, "comp").select("rep", F.col("next").alias("comp")))
+    return label
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(rep, comp): the smallest document reachable over the links, for documents that have any.
+
+    Each round every document joins the neighbour (or itself) that comes first in a hashed order, links are then drawn
+    between those, and the ones that have become loops are gone.  The hashed order makes chains of any kind shrink by a constant share per
+    round.
+    """
+    left, comps = checkpointed(links.distinct()), None
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"])).alias("e")).select("e.*")
+        mapped = checkpointed(ends.groupBy(F.col("a").alias("from")).agg(F.min_by("b", F.xxhash64("b")).alias("to")))
+        if comps is None:
+            comps = mapped.select(F.col("from").alias("rep"), F.col("to").alias("comp"))
+        else:
+            comps = checkpointed(comps.join(mapped, comps["comp"] == mapped["from"], "left").select("rep", F.coalesce("to", "comp").alias("comp")))
+        first = left.join(mapped, left["a"] == mapped["from"]).select(F.col("to").alias("a"), "b")
+        both = first.join(mapped, first["b"] == mapped["from"]).select("a", F.col("to").alias("b"))
+        left = checkpointed(both.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        del ends, mapped, first, both
+        release(links.sparkSession)
+    if comps is None:
+        return links.sparkSession.createDataFrame([], "rep long, comp long")
+    smallest = comps.groupBy("comp").agg(F.min("rep").alias("_least"))
+    return comps.join(checkpointed(smallest), "comp").select("rep", F.col("_least").alias("comp"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
