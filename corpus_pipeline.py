@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from glyphmill.llm.base import read, shared_folder
+from glyphmill.llm.base import read, remove, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; between two of them the kept documents are a Parquet table in the shared folder."""
+    """All stages; between two of them the kept documents are a Parquet table in the shared folder.
+
+    Packing cuts the lineage behind its pieces, so the tables in between are removed before the result is returned.
+    """
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, folder)
+    return packed
