@@ -210,8 +210,8 @@ def _(fx):
     audit = au.token_audit(fx.tokens("codon"), fx.folds(), rare=25)
     x = rows.join(genes, "sid", "left").join(audit, "sid", "left").na.fill(0, ["g", "unseen_ratio", "rare_ratio"]).select(
         "sid", F.col("label").alias("truth"), pr.argmax_class(F.col("a"), fx.classes).alias("pa"), pr.argmax_class(F.col("b"), fx.classes).alias("pb"),
-        F.col("label").alias("true_class"), au.burden_bucket(F.col("g")).alias("burden"), au.ratio_bucket(F.col("unseen_ratio")).alias("unseen"),
-        au.ratio_bucket(F.col("rare_ratio")).alias("rare"), au.margin_bucket(pr.margin(F.col("b"))).alias("margin"),
+        F.col("label").alias("true_class"), au.segment_of(F.col("g"), "burden").alias("burden"), au.segment_of(F.col("unseen_ratio"), "ratio").alias("unseen"),
+        au.segment_of(F.col("rare_ratio"), "ratio").alias("rare"), au.segment_of(pr.margin(F.col("b")), "margin").alias("margin"),
         F.when(F.col("g") == 0, "reference_only").otherwise("events_present").alias("reference_only"))
     seg = au.segments(x, ["true_class", "burden", "unseen", "rare", "margin", "reference_only"])
     both = seg.select("grouping", "grp", "truth", F.explode(F.array(

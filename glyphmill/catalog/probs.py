@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.catalog.base import query, r6
 from glyphmill.functions.hashing import md5_int
-from glyphmill.operators import metrics as me, probs as pr, rollups as ru, weights as we
+from glyphmill.operators import metrics as me, probs as pr, relational as rel, rollups as ru, weights as we
 from glyphmill.catalog.weights import EB, grid
 from glyphmill.session import cut_lineage
 
@@ -341,12 +341,10 @@ def _(fx):
 def _(fx):
     from pyspark.sql import Window
     sizes = fx.samples.groupBy(F.col("label").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
-    a, b = sizes.select(F.col("cls").alias("class_a"), F.col("n").alias("na")), sizes.select(F.col("cls").alias("class_b"), F.col("n").alias("nb"))
-    pairs = a.join(b, F.col("class_a") < F.col("class_b")).select("class_a", "class_b", (F.col("na") + F.col("nb")).alias("support"))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("support"), "class_a", "class_b")) - 1  # class pairs
-    got = pairs.withColumn("r", rank).filter("r < 4")
-    return got.select("class_a", "class_b", "support", pr.capacity("support_600", F.col("r"), F.col("support")).alias("by_support"),
-                      pr.capacity("fixed_smll", F.col("r"), F.col("support")).alias("by_rank"))
+    pairs = rel.class_pairs(sizes, "cls").select(F.col("x.cls").alias("class_a"), F.col("y.cls").alias("class_b"), (F.col("x.n") + F.col("y.n")).alias("support"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("support"), "class_a", "class_b")) - 1  # class pairs
+    got = pairs.withColumn("r", place).filter("r < 4")
+    return got.select("class_a", "class_b", "support", pr.size_of_support(F.col("support")).alias("by_support"), pr.size_of_place(F.col("r")).alias("by_rank"))
 
 
 _MEMBERS = {"G1": ["AUTOMOBILE", "MACHINERY"], "G2": ["BUILDING", "FURNITURE"]}

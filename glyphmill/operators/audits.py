@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glyphmill.functions import cells
+from glyphmill.operators.relational import bucket
 
 
 def table_contract(samples: DataFrame, key: str = "sid", label: str = "label", folds: int = 5) -> DataFrame:
@@ -125,16 +126,17 @@ def level_coverage(typed: DataFrame, folds: DataFrame, levels: list[str], floors
     ).withColumn("occurrence_coverage", F.col("covered") / F.col("occurrences"))
 
 
-def burden_bucket(n: Column) -> Column:
-    return F.when(n == 0, "0").when(n == 1, "1").when(n == 2, "2").when(n <= 5, "3-5").when(n <= 10, "6-10").otherwise("11+")
+#: The edges and names of segments; closed edges belong to the lower segment.
+SEGMENT_EDGES = {
+    "burden": ([0, 1, 2, 5, 10], ["0", "1", "2", "3-5", "6-10", "11+"], True),
+    "ratio": ([1e-300, 0.25, 0.5], ["0", "0-0.25", "0.25-0.5", "0.5+"], False),
+    "margin": ([0.05, 0.20], ["low", "mid", "high"], False),
+}
 
 
-def ratio_bucket(x: Column) -> Column:
-    return F.when(x == 0, "0").when(x < 0.25, "0-0.25").when(x < 0.5, "0.25-0.5").otherwise("0.5+")
-
-
-def margin_bucket(x: Column) -> Column:
-    return F.when(x < 0.05, "low").when(x < 0.20, "mid").otherwise("high")
+def segment_of(value: Column, kind: str) -> Column:
+    edges, names, closed = SEGMENT_EDGES[kind]
+    return bucket(value, edges, names, closed)
 
 
 def segments(rows: DataFrame, groupings: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glyphmill.operators import metrics as me
+from glyphmill.operators.relational import bucket
+from glyphmill.operators.similarity import disjoint_pairs
 from glyphmill.session import cut_lineage
 
 
@@ -297,28 +299,24 @@ def symmetric_pairs(features: DataFrame, labels: DataFrame, columns: list[str],
 
 
 def validated_pairs(candidates: list[tuple], maximum: int = 2) -> list[tuple]:
-    """Greedy: positive F1 change, more recovered than broken, no shared class; class-pair rows only.
+    """The best class pairs without a shared class among those whose F1 rises and that mend more rows than they break.
 
-    candidates: (class_a, class_b, delta, recovered, broken)
+    candidates: (class_a, class_b, delta, recovered, broken), one per class pair.
     """
-    ordered = sorted(candidates, key=lambda r: (-r[2], -(r[3] - r[4]), r[0], r[1]))
-    used: set[str] = set()
-    out = []
-    for row in ordered:
-        if len(out) == maximum:
-            break
-        if row[2] > 0 and row[3] > row[4] and not used & {row[0], row[1]}:
-            used |= {row[0], row[1]}
-            out.append(row)
-    return out
+    worth = [c for c in candidates if c[2] > 0 and c[3] > c[4]]
+    return disjoint_pairs(sorted(worth, key=lambda c: (-c[2], c[4] - c[3], *c[:2])), maximum)
+
+
+#: Model sizes by the place of a pair among all pairs, and by its number of rows (up to each edge, then beyond).
+SIZE_OF_PLACE = ("small", "medium", "large", "large")
+SIZE_OF_SUPPORT = ((600,), ("small", "large"))
+
+
+def size_of_place(place: Column, sizes: tuple[str, ...] = SIZE_OF_PLACE) -> Column:
+    """Model size of the pair at a 0-based place; null beyond the policy."""
+    return F.get(F.array(*[F.lit(s) for s in sizes]), place)
 
 
-def capacity(policy: str, rank: Column, support: Column) -> Column:
-    """Model size for a pair: fixed_<letters> by rank, support_<n> by support."""
-    names = {"s": "small", "m": "medium", "l": "large"}
-    kind, _, rest = policy.partition("_")
-    if kind == "fixed":
-        return F.get(F.array(*[F.lit(names[x]) for x in rest]), rank)
-    if kind == "support":
-        return F.when(support <= int(rest), "small").otherwise("large")
-    raise ValueError(f"unknown policy {policy}")
+def size_of_support(support: Column, policy: tuple[tuple[int, ...], tuple[str, ...]] = SIZE_OF_SUPPORT) -> Column:
+    edges, sizes = policy
+    return bucket(support, list(edges), list(sizes))

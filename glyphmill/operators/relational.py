@@ -48,11 +48,11 @@ def describe(df: DataFrame, groups: list[str], value: str, key: Column, ties: li
     return basic.join(wide, groups)
 
 
-def bucket(value: Column, edges: list[float], labels: list[str]) -> Column:
-    """Right-closed buckets: labels[i] for value <= edges[i], the last label beyond."""
+def bucket(value: Column, edges: list[float], labels: list[str], closed: bool = True) -> Column:
+    """Buckets: labels[i] for value <= edges[i] (below it unless ``closed``), the last label beyond."""
     out = F.lit(labels[-1])
     for edge, label in reversed(list(zip(edges, labels))):
-        out = F.when(value <= edge, label).otherwise(out)
+        out = F.when(value <= edge if closed else value < edge, label).otherwise(out)
     return F.when(value.isNotNull(), out)
 
 
