@@ -1,6 +1,8 @@
 """Secrets: known forms, and strings that a battery of randomness tests takes for keys.
 
-Known forms (assign, access, hex) stand as they are.  Every other run of 20 or more key characters is a candidate; its
+Known forms (assign, access, hex) stand as they are.  Every other run of 20 or more key characters is a candidate; '='
+belongs to a run only as padding at its end, so a value after 'name=' is a run of its own.  A run that mixes the signs of base64 and
+base64url is split at either's signs and at all of them; of parts that overlap, one that the battery lets pass goes first, then the longer.  A candidate's
 encoding is the smallest alphabet that has all its characters, and three tests compare it with random symbols of that alphabet:
 chi-squared uniformity (over symbols and over classes of symbols), Wald-Wolfowitz runs and lag-1 serial correlation.  A candidate that these reject is no key.
 Whether it could be text instead is judged with the corpus' own byte frequencies (counted over all documents): how
@@ -30,7 +32,9 @@ KINDS = ("assign", "access", "hex")
 RANDOM = "random"
 _HINTS = ("passw", "secret", "token", "api")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,})(?:=+(?![A-Za-z0-9+/_=-]))?")
+#: Parts of a run of mixed alphabets: without the signs of base64, without those of base64url, without any.
+PARTS = tuple(re.compile(p) for p in (r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9]{20,}"))
 ALPHABETS = (
     ("decimal", "0123456789"), ("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"), ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
@@ -188,10 +192,18 @@ def _candidates(text: str, base: list) -> list[dict]:
     out = []
     if any(len(w) >= 20 for w in text.split()):
         for m in CANDIDATE.finditer(text):
-            key = m.group().rstrip("=")
-            known = encoding(key) if len(key) >= 20 else None
-            if known and all(m.end() <= s or e <= m.start() for s, _, e in base):
-                out.append({"start": m.start(), "end": m.end(), "key": key, "alphabet": known[0], "uniform": uniform_battery(key, known[1])})
+            parts = [m.span(1)] if encoding(m.group(1)) else sorted({p.span() for pattern in PARTS for p in pattern.finditer(text, *m.span(1))})
+            found = []
+            for start, end in parts:
+                if all((m.end() if end == m.end(1) else end) <= s or e <= start for s, _, e in base):
+                    key = text[start:end]
+                    alphabet, symbols = encoding(key)
+                    found.append({"start": start, "end": m.end() if end == m.end(1) else end, "key": key, "alphabet": alphabet, "uniform": uniform_battery(key, symbols)})
+            kept: list[dict] = []
+            for c in sorted(found, key=lambda c: (c["uniform"] < REJECT, -len(c["key"]), c["start"])):
+                if all(c["end"] <= k["start"] or k["end"] <= c["start"] for k in kept):
+                    kept.append(c)
+            out += sorted(kept, key=lambda c: c["start"])
     return out
 
 

@@ -81,6 +81,23 @@ def test_battery_tells_keys_from_text(spark):
     assert not any(got[100 + i] for i in range(len(words)))
 
 
+def test_keys_behind_a_name_or_a_path_are_candidates(spark):
+    rng = random.Random(11)
+    draw = lambda i, n: "".join(rng.choice(secrets.ALPHABETS[i][1]) for _ in range(n))
+    prose = "the quick brown fox jumps over the lazy dog while many other animals watch from far away. "
+    keys = [(before, draw(5, 40)) for before in ("STRIPE_KEY=", "sig=", "aws_secret_access_key=", "a=b=") for _ in range(10)]
+    keys += [("/srv/app/data/", draw(7, 20) + "-" + draw(7, 20) + "_" + draw(7, 10)) for _ in range(20)]
+    keys += [("some-name_", draw(6, 20) + "+" + draw(6, 20) + "/" + draw(6, 10)) for _ in range(20)]
+    keys += [("KEY=", draw(6, 43) + "=") for _ in range(10)]
+    rows = [(i, f"{prose * 5}{before}{k} {prose}") for i, (before, k) in enumerate(keys)]
+    rows += [(1000 + i, f"{prose * 5}{w} {prose}") for i, w in enumerate(("internationalization_name=incomprehensibilities", "/usr/share/doc-base/python_packages-common/readme", "=" * 60))]
+    text = dict(rows)
+    got = {r["doc_id"]: [text[r["doc_id"]][s["start"]:s["end"]] for s in r["spans"] if s["kind"] == "random"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for lo, hi in ((0, 10), (10, 20), (20, 30), (30, 40), (40, 60), (60, 80), (80, 90)):
+        assert sum(got[i] == [keys[i][1]] for i in range(lo, hi)) >= 0.8 * (hi - lo), keys[lo][0]
+    assert not any(got[1000 + i] for i in range(3))
+
+
 def test_uniform_battery_has_few_false_rejections():
     rng = random.Random(3)
     for _, alphabet in secrets.ALPHABETS:
