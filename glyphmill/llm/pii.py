@@ -40,7 +40,7 @@ CONTEXT = {
     "local_phone": ("phone", "tel", "call", "mobile", "telefon", "fax"),
 }
 #: Score of the pattern alone, and of the pattern with its checksum.
-START = {"email": 0.9, "ip": 0.6, "card": 0.3, "phone": 0.6, "iban": 0.2, "ssn": 0.3, "short_card": 0.0, "local_phone": 0.2}
+START = {"email": 0.9, "ip": 0.6, "card": 0.3, "phone": 0.6, "iban": 0.2, "ssn": 0.3, "short_card": 0.0, "local_phone": 0.3}
 CHECKED = {"card": 0.8, "iban": 0.8, "short_card": 0.3}
 BONUS = 0.35
 NEAR = 40

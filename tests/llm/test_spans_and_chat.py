@@ -59,6 +59,15 @@ def test_further_kinds_need_checksum_or_context():
     assert pii.find_spans("mail a@b.co")[0].score > pii.find_spans("xx a@b.co")[0].score
 
 
+def test_every_further_kind_can_be_reached():
+    found = lambda t: [(s.kind, t[s.start:s.end]) for s in pii.find_spans(t)]
+    for context in ("tel", "phone:", "Fax", "call"):
+        for number in ("030 1234567", "(030) 1234567", "030/1234567", "555-123-4567"):
+            assert found(f"{context} {number} now") == [("local_phone", number)]
+            assert found(f"item {number} now") == []
+    assert all(max(pii.START[k], pii.CHECKED.get(k, 0)) + pii.BONUS >= pii.ACCEPT for k in pii.MORE_KINDS)
+
+
 def test_scans_match_brute_force(messy, empty, documents, texts):
     for df, own in ((messy, [(r["doc_id"], r["text"] or "") for r in messy.collect()]), (documents, list(texts.items()))):
         got = pii.scan(df).collect()
