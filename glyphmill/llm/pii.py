@@ -29,6 +29,13 @@ SHORT_CARD = re.compile(r"(?<![0-9-])[0-9](?:[\x20-]?[0-9]){12,14}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{2,5}\)?[\x20/-][0-9]{3,}(?:[\x20-][0-9]{2,})*(?![0-9.-])")
 MORE_KINDS = ("iban", "ssn", "short_card", "local_phone")
 KINDS = (*BASE_KINDS, *MORE_KINDS)
+#: Lengths of the registered countries' IBANs and of those in use elsewhere.
+IBAN_LENGTHS = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO FK GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA MG ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in countries.split()}
 CONTEXT = {
     "email": ("mail", "contact", "kontakt", "correo", "courriel"),
     "ip": ("ip", "host", "server", "address", "adresse"),
@@ -69,6 +76,31 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Matches that mod-97 confirms, by start: cut to the country's length, then, between these, others as far as they hold up to a space.
+
+    What follows a number may look like a part of it, and what comes before one like its beginning: after a match
+    the search goes on at its end, after a failure behind its first character.
+    """
+    found: list[tuple[int, int]] = []
+    for registered in (True, False):
+        match = IBAN.search(text)
+        while match:
+            start, end = match.span()
+            at, size = start + 1, IBAN_LENGTHS.get(text[start:start + 2])
+            while registered == (size is not None) and end > start:
+                code = text[start:end].replace(" ", "")
+                if len(code) < (size or 15):
+                    break
+                if size in (None, len(code)) and mod97(code) and all(end <= a or b <= start for a, b in found):
+                    found.append((start, end))
+                    at = end
+                    break
+                end = text.rfind(" ", start, end)
+            match = IBAN.search(text, at)
+    return sorted(found)
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches, from one @ to the next: a match starts where the run of allowed characters before it does."""
     free, at = 0, text.find("@")
@@ -104,16 +136,16 @@ def find_spans(text: str) -> list[Span]:
     """Base spans in order of kind and start, then the further ones likewise."""
     base = base_spans(text)
     out = [Span(k, a, b, _score(text, k, a, b, k in CHECKED)) for k, a, b in base]
-    more = [("iban", m, mod97(m.group())) for m in IBAN.finditer(text)]
-    more += [("ssn", m, False) for m in SSN.finditer(text)]
-    more += [("short_card", m, luhn(_DIGITS.sub("", m.group()))) for m in SHORT_CARD.finditer(text)]
-    more += [("local_phone", m, False) for m in LOCAL_PHONE.finditer(text) if 7 <= len(_DIGITS.sub("", m.group())) <= 12]
+    more = [("iban", *span, True) for span in _ibans(text)]
+    more += [("ssn", *m.span(), False) for m in SSN.finditer(text)]
+    more += [("short_card", *m.span(), luhn(_DIGITS.sub("", m.group()))) for m in SHORT_CARD.finditer(text)]
+    more += [("local_phone", *m.span(), False) for m in LOCAL_PHONE.finditer(text) if 7 <= len(_DIGITS.sub("", m.group())) <= 12]
     taken = [(a, b) for _, a, b in base]
-    for kind, m, checked in more:
-        score = _score(text, kind, *m.span(), checked)
-        if score >= ACCEPT and (checked or kind not in CHECKED) and all(m.end() <= a or b <= m.start() for a, b in taken):
-            taken.append(m.span())
-            out.append(Span(kind, *m.span(), score))
+    for kind, start, end, checked in more:
+        score = _score(text, kind, start, end, checked)
+        if score >= ACCEPT and (checked or kind not in CHECKED) and all(end <= a or b <= start for a, b in taken):
+            taken.append((start, end))
+            out.append(Span(kind, start, end, score))
     return out
 
 

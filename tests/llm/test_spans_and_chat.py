@@ -68,6 +68,19 @@ def test_every_further_kind_can_be_reached():
     assert all(max(pii.START[k], pii.CHECKED.get(k, 0)) + pii.BONUS >= pii.ACCEPT for k in pii.MORE_KINDS)
 
 
+def test_an_iban_ends_where_its_country_says():
+    found = lambda t: [(s.kind, t[s.start:s.end]) for s in pii.find_spans(t)]
+    german, british, norwegian = "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947"
+    for number in (german, british, norwegian, german.replace(" ", ""), "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "FR14 2004 1010 0505 0001 3M02 606"):
+        for behind in ("", " BIC COBADEFFXXX", " 12345", " A", " USD 100 AND MORE", ", next"):
+            assert found(f"pay to {number}{behind}") == [("iban", number)], (number, behind)
+        for before in ("REF AB12 ", "XX99 "):
+            assert found(f"pay to {before}{number}") == [("iban", number)], (number, before)
+    assert found(f"{german} {british} {norwegian}") == [("iban", german), ("iban", british), ("iban", norwegian)]
+    assert found("pay to DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX") == []
+    assert found(f"pay to {german}X") == [] and found(f"pay to X{german}") == []
+
+
 def test_scans_match_brute_force(messy, empty, documents, texts):
     for df, own in ((messy, [(r["doc_id"], r["text"] or "") for r in messy.collect()]), (documents, list(texts.items()))):
         got = pii.scan(df).collect()
