@@ -15,6 +15,15 @@ def _split(fx):
     return fx.folds().select("sid", "label", "fold", (F.col("fold") != 0).alias("fit"))
 
 
+def _every_fold(fx, scored):
+    """What ``scored`` gives for a split (sid, label, fold, fit), with each of the five folds held out in turn."""
+    folds, out = cut_lineage(fx.folds().select("sid", "label", "fold")), None
+    for held in range(5):
+        part = cut_lineage(scored(folds.withColumn("fit", F.col("fold") != held)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _design(fx, token_only=False):
     split = _split(fx)
     if token_only:
@@ -128,14 +137,16 @@ def _(fx):
 
 @query("c4_three_way_vote")
 def _(fx):
-    return _out(fx, co.three_way_vote(fx.typed, _split(fx), fx.classes))
+    """All outer folds, each scored by models that never saw its labels."""
+    typed = cut_lineage(fx.typed)
+    return _out(fx, _every_fold(fx, lambda split: co.three_way_vote(typed, split, fx.classes)))
 
 
 @query("c5_selective_evidence_bag")
 def _(fx):
-    """Three inner seeds, their probabilities averaged."""
-    parts = co.selective_evidence(fx.typed, _split(fx), fx.classes, (42, 777, 2024))
-    bag = co.seed_bag(parts, fx.classes)
+    """All outer folds; three inner seeds, their probabilities averaged."""
+    typed = cut_lineage(fx.typed)
+    bag = _every_fold(fx, lambda split: co.seed_bag(co.selective_evidence(typed, split, fx.classes, (42, 777, 2024)), fx.classes))
     return bag.withColumn("p", F.round("p", 4))
 
 

@@ -109,3 +109,25 @@ def test_rows_without_a_label_count_nowhere(spark):
     tokens = spark.createDataFrame([(1, "t"), (2, "t"), (3, "t")], "sid long, token string")
     row = we.token_counts(tokens, samples, ["a", "b"]).first()
     assert (row["support"], row["n"], row["pos"]) == (2, 2, [1, 1])
+
+
+def test_vote_and_bag_score_every_fold(spark, monkeypatch):
+    """With models that only give back which rows were held, every sample has probabilities once."""
+    import __spark_entry__ as entry
+
+    fx = Fixtures(spark, SF)
+    seen = []
+
+    def held(typed, split, classes, *rest):
+        counts = dict(split.groupBy("fold").agg(F.max("fit").alias("fit")).collect())
+        seen.append(sorted(fold for fold, fit in counts.items() if not fit))
+        part = split.filter("not fit").select("sid", F.array(*[F.lit(1.0 / len(classes)) for _ in classes]).alias("p"))
+        return [part, part] if rest else part
+
+    monkeypatch.setattr(co, "three_way_vote", held)
+    monkeypatch.setattr(co, "selective_evidence", held)
+    for name in ("c4_three_way_vote", "c5_selective_evidence_bag"):
+        seen.clear()
+        got = entry.queries()[name](spark, SF)
+        assert seen == [[0], [1], [2], [3], [4]]
+        assert got.count() == fx.folds().count() * len(fx.classes) == got.select("sid", "cls").distinct().count()
