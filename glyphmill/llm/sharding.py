@@ -22,6 +22,8 @@ FINE = 64
 WHOLE = 4
 CELLS = 256
 ROW_OVERHEAD = 16
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+TOKEN = rf"[{_ALONE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_ALONE}]]{{1,4}}|[^\s\p{{L}}\p{{M}}\p{{N}}]"
 
 
 def place(sizes: np.ndarray, shards: int) -> np.ndarray:
@@ -41,6 +43,11 @@ def place(sizes: np.ndarray, shards: int) -> np.ndarray:
     return where
 
 
+def tokens_in(text: Column) -> Column:
+    """Started fours of letters or digits in a word, single signs, and single letters of scripts without spaces: no space is needed between tokens."""
+    return F.regexp_count(text.cast("string"), F.lit(TOKEN))
+
+
 def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, n_tokens, text_crc32, shard, slot (gapless from 0 in a shard).
 
@@ -73,6 +80,7 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign(read(spark, sf_dir, "documents")).select(
+    """Balances bytes, rows and ``tokens_in`` of the text."""
+    return assign(read(spark, sf_dir, "documents"), tokens=tokens_in(F.col("text"))).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
         "n_tokens")

@@ -145,3 +145,12 @@ def test_a_hot_group_is_split_and_others_stay_together(spark):
 def test_shard_counts_beyond_rows(documents, shards):
     rows = sharding.assign(documents, shards=shards).collect()
     assert len(rows) == documents.count() and max(r["shard"] for r in rows) < shards
+
+
+def test_tokens_are_counted_without_spaces(spark, tmp_path):
+    long = ["tab\tseparated\t" * 50, "line\nfeeds\n" * 50, "日本語のテキスト" * 50, "ข้อความ" * 50, "a,b;" * 50, "x" * 400]
+    rows = [(i, t) for i, t in enumerate([*long, "two words", "", None])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_tokens"] for r in sharding.op10_sharding(spark, str(tmp_path)).collect()}
+    assert all(got[i] >= 100 for i in range(len(long))), got
+    assert (got[2], got[4], got[5], got[6], got[7], got[8]) == (400, 200, 100, 3, 0, 0)
