@@ -8,7 +8,6 @@ QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_packing": packing.op4_packing,
-    "op5_pii": pii.op5_pii,
     "op6_chat_format": chat.op6_chat_format,
     "op7_secrets": secrets.op7_secrets,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -16,7 +15,6 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLES = {
-    "op5_pii": pii.op5_pii,
     "op6_chat_format": chat.ORACLE,
     "op1_near_dedup": near_dedup.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,

@@ -34,6 +34,10 @@ def test_every_query_has_a_twin_or_a_reason():
     assert set(catalog.all_queries()) - set(catalog.all_oracles()) == WITHOUT_TWIN
 
 
+def test_every_twin_is_text():
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+
+
 @pytest.mark.parametrize("name", SAMPLE)
 def test_against_sql(spark, con, name):
     df = entry.queries()[name](spark, SF)
