@@ -131,3 +131,9 @@ def test_vote_and_bag_score_every_fold(spark, monkeypatch):
         got = entry.queries()[name](spark, SF)
         assert seen == [[0], [1], [2], [3], [4]]
         assert got.count() == fx.folds().count() * len(fx.classes) == got.select("sid", "cls").distinct().count()
+
+
+def test_fits_run_to_the_default_tolerance(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    assert ft.TOLERANCE <= LogisticRegression().getTol()
