@@ -7,6 +7,7 @@ close by, and they never overlap a base span.  Everything is local to a row, so
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,7 +18,8 @@ from glyphmill.llm.base import read, ship, text_slices
 #: The base patterns, in the order in which kinds are listed.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match starts where a run of digits does, which gives the same spans as the bare pattern without searching a long run again from each digit.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -84,6 +86,7 @@ def _ibans(text: str) -> list[tuple[int, int]]:
     """
     found: list[tuple[int, int]] = []
     for registered in (True, False):
+        before = _union(found)
         match = IBAN.search(text)
         while match:
             start, end = match.span()
@@ -92,7 +95,7 @@ def _ibans(text: str) -> list[tuple[int, int]]:
                 code = text[start:end].replace(" ", "")
                 if len(code) < (size or 15):
                     break
-                if size in (None, len(code)) and mod97(code) and all(end <= a or b <= start for a, b in found):
+                if size in (None, len(code)) and mod97(code) and _free(before, start, end):
                     found.append((start, end))
                     at = end
                     break
@@ -101,6 +104,25 @@ def _ibans(text: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _union(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of the places that any of ``spans`` takes, sorted and disjoint."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted(spans):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def _free(union: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    starts, ends = union
+    at = bisect_right(ends, start)
+    return at == len(starts) or end <= starts[at]
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches, from one @ to the next: a match starts where the run of allowed characters before it does."""
     free, at = 0, text.find("@")
@@ -136,16 +158,21 @@ def find_spans(text: str) -> list[Span]:
     """Base spans in order of kind and start, then the further ones likewise."""
     base = base_spans(text)
     out = [Span(k, a, b, _score(text, k, a, b, k in CHECKED)) for k, a, b in base]
-    more = [("iban", *span, True) for span in _ibans(text)]
-    more += [("ssn", *m.span(), False) for m in SSN.finditer(text)]
-    more += [("short_card", *m.span(), luhn(_DIGITS.sub("", m.group()))) for m in SHORT_CARD.finditer(text)]
-    more += [("local_phone", *m.span(), False) for m in LOCAL_PHONE.finditer(text) if 7 <= len(_DIGITS.sub("", m.group())) <= 12]
     taken = [(a, b) for _, a, b in base]
-    for kind, start, end, checked in more:
-        score = _score(text, kind, start, end, checked)
-        if score >= ACCEPT and (checked or kind not in CHECKED) and all(end <= a or b <= start for a, b in taken):
-            taken.append((start, end))
-            out.append(Span(kind, start, end, score))
+    more = {
+        "iban": [(*span, True) for span in _ibans(text)],
+        "ssn": [(*m.span(), False) for m in SSN.finditer(text)],
+        "short_card": [(*m.span(), luhn(_DIGITS.sub("", m.group()))) for m in SHORT_CARD.finditer(text)],
+        "local_phone": [(*m.span(), False) for m in LOCAL_PHONE.finditer(text) if 7 <= len(_DIGITS.sub("", m.group())) <= 12],
+    }
+    for kind, matches in more.items():  # matches of one kind do not overlap each other
+        places = _union(taken)
+        for start, end, checked in matches:
+            if (checked or kind not in CHECKED) and _free(places, start, end):
+                score = _score(text, kind, start, end, checked)
+                if score >= ACCEPT:
+                    taken.append((start, end))
+                    out.append(Span(kind, start, end, score))
     return out
 
 
@@ -192,7 +219,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, then the number of spans of each further kind and the score of each span of ``spans``, in two digits."""
     found = scan(read(spark, sf_dir, "documents"), with_text=False)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     written = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
-    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2("base", 256).alias("base_sha256"), F.array_join(written, ",").alias("spans"))
+    scores = F.transform("spans", lambda s: F.format_number(s["score"], 2))
+    return found.select(
+        "doc_id", *[count(k) for k in BASE_KINDS], F.sha2("base", 256).alias("base_sha256"), F.array_join(written, ",").alias("spans"),
+        *[count(k) for k in MORE_KINDS], F.array_join(scores, ",").alias("scores"))

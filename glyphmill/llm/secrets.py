@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -131,17 +133,20 @@ def text_p_value(key: str, alphabet: str, freq: np.ndarray, change: float) -> fl
     even = _normal_tail((mean - s) / math.sqrt(var))
     changes = sum(_kind(a) != _kind(b) and 3 not in (_kind(a), _kind(b)) for a, b in zip(key, key[1:]))  # names and paths have signs
     expected = max(change, 1e-6) * (n - 1)
-    term = math.exp(-expected)
-    below = 0.0
-    for i in range(changes):
-        below += term
-        term *= expected / (i + 1)
-    tail, i = 0.0, changes
-    while term > 1e-320 and i < changes + 200:
-        tail += term
+    return _fisher(even, _poisson_tail(changes, expected))
+
+
+def _poisson_tail(seen: int, expected: float) -> float:
+    """P(at least ``seen``) of a Poisson count, by logarithms: keys of any length have a tail that neither vanishes nor rounds to nothing."""
+    if seen <= expected:
+        return 1.0  # at least about a half: no sign of a key
+    first = seen * math.log(expected) - expected - math.lgamma(seen + 1)
+    total, ratio, i = 1.0, 1.0, seen
+    while ratio > 1e-17:
         i += 1
-        term *= expected / i
-    return _fisher(even, min(1.0, max(tail, 1e-300)) if changes else 1.0)
+        ratio *= expected / i
+        total += ratio
+    return min(1.0, max(math.exp(max(first + math.log(total), -690.0)), 1e-300))
 
 
 def _kind(c: str) -> int:
@@ -191,11 +196,13 @@ def survey(docs: DataFrame) -> DataFrame:
 def _candidates(text: str, base: list) -> list[dict]:
     out = []
     if any(len(w) >= 20 for w in text.split()):
+        starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))  # by start; the furthest end so far
         for m in CANDIDATE.finditer(text):
             parts = [m.span(1)] if encoding(m.group(1)) else sorted({p.span() for pattern in PARTS for p in pattern.finditer(text, *m.span(1))})
             found = []
             for start, end in parts:
-                if all((m.end() if end == m.end(1) else end) <= s or e <= start for s, _, e in base):
+                before = bisect_right(starts, (m.end() if end == m.end(1) else end) - 1)  # known forms that start in front of its end
+                if not before or ends[before - 1] <= start:
                     key = text[start:end]
                     alphabet, symbols = encoding(key)
                     found.append({"start": start, "end": m.end() if end == m.end(1) else end, "key": key, "alphabet": alphabet, "uniform": uniform_battery(key, symbols)})

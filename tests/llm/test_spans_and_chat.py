@@ -176,3 +176,48 @@ def test_digests(spark):
     assert set(got) == {c for c, *_ in ROWS}
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.windows(none)).count() == 0
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    def took(f, *args):
+        start = time.perf_counter()
+        out = f(*args)
+        return time.perf_counter() - start, out
+
+    for text in ("7" * 1_000_000, "1.1." * 250_000, "+1" * 500_000, "a@" * 500_000, "DE89 " * 200_000):
+        seconds, _ = took(pii.find_spans, text)
+        assert seconds < 10
+    seconds, spans = took(pii.find_spans, "tel 030 1234567 " * 50_000 + "mail a@b.co " * 50_000)
+    assert seconds < 10 and len(spans) == 100_000
+    dump = "\n".join("deadbeef" * 8 + " " + "Zk3" * 9 for _ in range(20_000))
+    seconds, found = took(lambda: secrets._candidates(dump, secrets.base_spans(dump)))
+    assert seconds < 20 and len(found) == 20_000
+
+
+def test_poisson_tail_of_any_length():
+    import math
+
+    for expected in (0.5, 3.0, 20.0):
+        for seen in range(int(expected) + 1, 60):
+            direct = 1 - sum(math.exp(-expected) * expected**i / math.factorial(i) for i in range(seen))
+            got = secrets._poisson_tail(seen, expected)
+            assert got == pytest.approx(direct, rel=1e-6, abs=1e-12)
+    assert secrets._poisson_tail(700, 6300.0) == 1.0
+    assert 1e-60 < secrets._poisson_tail(7600, 6300.0) < 1e-40
+
+
+def test_overlaps_are_found_behind_a_longer_span():
+    spans = [(0, 50), (3, 5), (60, 70)]
+    union = pii._union(spans)
+    for a in range(80):
+        for b in range(a + 1, 81):
+            assert pii._free(union, a, b) == all(b <= s or e <= a for s, e in spans)
+
+
+def test_op5_returns_its_scores(spark):
+    SF = "/root/testdata/sf0.001"
+
+    for r in pii.op5_pii(spark, SF).collect():
+        assert len([x for x in r["spans"].split(",") if x]) == len([x for x in r["scores"].split(",") if x])
