@@ -1,7 +1,7 @@
 """Registered corpus queries and their SQL twins."""
 from __future__ import annotations
 
-from glyphmill.llm import chat, decontaminate, exact_dedup, near_dedup, packing, pii, quality, secrets, sharding, toxicity
+from glyphmill.llm import bpe, chat, decontaminate, exact_dedup, near_dedup, packing, pii, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
+    "op13_bpe": bpe.op13_bpe,
 }
 ORACLES = {
     "op6_chat_format": chat.ORACLE,
