@@ -139,6 +139,50 @@ def text_slices(batch, column: int, limit: int = 4 << 20):
         at = to
 
 
+class WordMemory:
+    """What a Python worker has made of words, in at most ``limit`` bytes, about.
+
+    Two generations of half that size: a word that is asked for again moves to the younger one, and the older one goes when the younger is
+    full, so frequent words stay.  Words longer than ``longest`` are not kept at all.
+    """
+
+    #: Bytes of a word, its value and their place in a table, besides the value's own content.
+    ENTRY = 200
+
+    def __init__(self, limit: int, longest: int = 64):
+        self.half, self.longest = limit // 2, longest
+        self.clear()
+
+    def clear(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+        self.held = 0
+
+    def get(self, word: str):
+        value = self.young.get(word)
+        if value is None:
+            value = self.old.get(word)
+            if value is not None:
+                self.put(word, value)
+        return value
+
+    def put(self, word: str, value) -> None:
+        """``value`` must have a length, taken as bytes."""
+        if len(word) > self.longest:
+            return
+        if self.held > self.half:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[word] = value
+        self.held += self.ENTRY + len(value)
+
+
+def release_arrow() -> None:
+    """Give memory that Arrow holds in reserve back to the system; called at the end of a partition."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 _shipped: set[str] = set()
 
 

@@ -22,13 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from glyphmill.llm.base import read, ship, text_slices
+from glyphmill.llm.base import WordMemory, read, release_arrow, ship, text_slices
 
-#: Bytes of words and ids that a Python worker remembers, about; the memory is emptied when it is full and at a partition's end.
-REMEMBERED = 48 << 20
-#: Bytes that an entry of the memory takes besides its ids.
-ENTRY = 200
-#: States of the table of transitions (about 300 bytes each); it is emptied when it is full.
+#: Bytes of words and ids that a Python worker remembers, about.
+REMEMBERED = 32 << 20
+#: States of the table of transitions (about 500 bytes each, with the arcs asked for); it is emptied when it is full.
 STATES = 120_000
 #: UTF-8 bytes of texts, or of ids, handled at a time in a worker (one text at least).
 AT_A_TIME = 2 << 20
@@ -103,8 +101,8 @@ class BpeAutomaton:
         self.labels = labels_of({**vocabulary, **self.added})
         self._compile([tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges])
         self._forget_states()
-        self.known: dict[str, bytes] = {}
-        self.held = 0
+        self.known = WordMemory(REMEMBERED)
+        self.letters = _letter_of_byte()
         if self.splitter is not None:
             self._probe()
 
@@ -180,6 +178,7 @@ class BpeAutomaton:
         self.last: list[int] = []
         self.paths: list[bytes] = []
         self.numbered: dict[bytes, int] = {}
+        self.arcs: dict[int, bool] = {}
         self.begin = self._state([START])
 
     def _state(self, paths: list[int]) -> int:
@@ -201,8 +200,13 @@ class BpeAutomaton:
             if to is not None:
                 live.append(to << 32 | (before + 1))
                 token = self.token_at[to]
-                if token != START and self.arc(before, token):
-                    whole = token
+                if token != START:
+                    key = (before + 1) << 32 | token
+                    there = self.arcs.get(key)
+                    if there is None:
+                        there = self.arcs[key] = self.arc(before, token)
+                    if there:
+                        whole = token
         live[0] = whole
         to = self._state(live)
         self.table[state * SYMBOLS + symbol] = to
@@ -238,6 +242,8 @@ class BpeAutomaton:
     #: What the vocabulary's own pattern gives for small ASCII letters, digits and signs; other runs are split by the vocabulary itself.
     _ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+")
     _PRINTED = re.compile("[!-~]+")
+    #: One word of Latin letters is one piece; none of these letters changes by normalising but for its case.
+    _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def _split(self, run: str) -> list[str]:
         if self._PRINTED.fullmatch(run):
@@ -246,8 +252,9 @@ class BpeAutomaton:
         return [piece for piece, _ in found]
 
     def _run(self, run: str) -> bytes:
-        if run.isascii() and run.isalpha():
-            return array("I", self.word(run.lower())).tobytes()
+        if self._LATIN.fullmatch(run):
+            letters, low = self.letters, run.lower()
+            return array("I", self.word(low if low.isascii() else "".join([letters[b] for b in low.encode()]))).tobytes()
         out: list[int] = []
         at = 0
         for match in [*self.between.finditer(run), None]:
@@ -258,11 +265,6 @@ class BpeAutomaton:
                 at = match.end()
         return array("I", out).tobytes()
 
-    def forget(self) -> None:
-        """Empty the memory of words; the compiled automaton and its table stay."""
-        self.known.clear()
-        self.held = 0
-
     def texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of ids of each text of an Arrow array without nulls; each distinct run of non-space characters is read once."""
         import pyarrow.compute as pc
@@ -271,16 +273,12 @@ class BpeAutomaton:
         bounds = runs.offsets.to_numpy().astype(np.int64)
         coded = runs.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if self.held > REMEMBERED:
-            self.forget()
-        parts = []
+        known, parts = self.known, []
         for w in words:
-            ids = self.known.get(w)
+            ids = known.get(w)
             if ids is None:
                 ids = self._run(w)
-                if len(w) < 64:
-                    self.known[w] = ids
-                    self.held += ENTRY + len(ids)
+                known.put(w, ids)
             parts.append(ids)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         pool = np.frombuffer(b"".join(parts), "<u4")
@@ -300,7 +298,7 @@ class BpeAutomaton:
         wanted = [self.splitter.encode(p, add_special_tokens=False).ids for p in probes]
         if counts.tolist() != [len(w) for w in wanted] or ids.tolist() != [i for w in wanted for i in w]:
             raise ValueError("this vocabulary splits or normalises texts in another way")
-        self.forget()
+        self.known.clear()
 
 
 def _worker(path: str) -> BpeAutomaton:
@@ -319,6 +317,21 @@ def _worker_labels(path: str) -> list[str | None]:
     return _labels[path]
 
 
+def _encoded(batch, path: str) -> Iterator:
+    """Documents, ids and their numbers, of parts of an Arrow batch (doc_id, text)."""
+    automaton = _worker(path)
+    for part in text_slices(batch, 1, AT_A_TIME):
+        yield part.column(0), *automaton.texts(part.column(1))
+
+
+def _cells(ids: np.ndarray, counts: np.ndarray):
+    """The ids of each row as bytes, in an Arrow array."""
+    import pyarrow as pa
+
+    ends = np.concatenate([[0], 4 * np.cumsum(counts)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype("<u4", copy=False).tobytes())])
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, ids (binary: little-endian unsigned 32-bit integers).
 
@@ -332,20 +345,26 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        automaton = _worker(path)
         for batch in batches:
-            for part in text_slices(batch, 1, AT_A_TIME):
-                ids, counts = automaton.texts(part.column(1))
-                ends = np.cumsum(counts)
-                raw = memoryview(ids.astype("<u4", copy=False).tobytes())
-                cells = [raw[4 * (end - n):4 * end] for end, n in zip(ends.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.binary())], names=["doc_id", "ids"])
-        automaton.forget()
+            for own_id, ids, counts in _encoded(batch, path):
+                yield pa.RecordBatch.from_arrays([own_id, _cells(ids, counts)], names=["doc_id", "ids"])
+        release_arrow()
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(work, schema)
 
 
+def _joined(ids: np.ndarray, counts: np.ndarray, labels, known: np.ndarray):
+    """The text of each row: the labels of its ids, joined by spaces; ids without a label are passed over."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    there = np.zeros(len(ids), bool)
+    there[ids < len(known)] = known[ids[ids < len(known)]]
+    ends = np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), labels.take(pa.array(ids[there]))), " ")
+
+
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """One row per row: doc_id, text (the labels of the arcs that the ids stand for, special ones too, joined by spaces).
 
@@ -363,23 +382,36 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
         known = ~np.array(labels.is_null())
         for batch in batches:
             for part in text_slices(batch, 1, AT_A_TIME):
-                cells = part.column(1)
-                ids = np.frombuffer(b"".join(c.as_buffer() for c in cells), "<u4")
-                counts = pc.binary_length(cells).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-                there = np.zeros(len(ids), bool)
-                there[ids < len(known)] = known[ids[ids < len(known)]]
-                ends = np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(counts)])]
-                arcs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), labels.take(pa.array(ids[there])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pc.binary_join(arcs, " ")], names=["doc_id", "text"])
+                ids = np.frombuffer(b"".join(c.as_buffer() for c in part.column(1)), "<u4")
+                counts = pc.binary_length(part.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+                yield pa.RecordBatch.from_arrays([part.column(0), _joined(ids, counts, labels, known)], names=["doc_id", "text"])
+        release_arrow()
 
     ids = encoded.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col), F.lit(b"")).alias("ids"))
     return ids.mapInArrow(work, schema)
 
 
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """``encode`` and ``decode`` in one pass: doc_id, ids, text (decoded from these ids).  The same rows as from the two, one after the other."""
+    ship(docs.sparkSession)
+    path = vocabulary or default_vocabulary()
+    schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), StructField("ids", BinaryType()), StructField("text", StringType())])
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        labels = pa.array(_worker_labels(path), pa.string())
+        known = ~np.array(labels.is_null())
+        for batch in batches:
+            for own_id, ids, counts in _encoded(batch, path):
+                yield pa.RecordBatch.from_arrays([own_id, _cells(ids, counts), _joined(ids, counts, labels, known)], names=["doc_id", "ids", "text"])
+        release_arrow()
+
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return texts.mapInArrow(work, schema)
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of each document, as digests.  The ids pass through ``decode`` beside their document's number and digest."""
-    encoded = encode(read(spark, sf_dir, "documents"))
-    sums = F.struct("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
-    decoded = decode(encoded.select(sums.alias("doc"), "ids"), id_col="doc")
-    return decoded.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.n_tokens").alias("n_tokens"), F.col("doc_id.ids_sha256").alias("ids_sha256"),
-                          F.sha2("text", 256).alias("decoded_sha256"))
+    """Ids and decoded text of each document, as digests."""
+    return round_trip(read(spark, sf_dir, "documents")).select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

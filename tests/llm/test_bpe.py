@@ -106,7 +106,10 @@ def test_messy_rows_and_round_trip(spark, messy, empty, library):
     assert sorted(got, key=key) == sorted([(i, library.encode(t, add_special_tokens=False).ids) for i, t in rows], key=key)
     back = [(r["doc_id"], r["text"]) for r in bpe.decode(encoded).collect()]
     assert sorted(back, key=key) == sorted([(i, library.decode(library.encode(t, add_special_tokens=False).ids, skip_special_tokens=False)) for i, t in rows], key=key)
-    assert bpe.encode(empty).count() == 0 and bpe.decode(bpe.encode(empty)).count() == 0
+    both = [(r["doc_id"], bytes(r["ids"]), r["text"]) for r in bpe.round_trip(messy).collect()]
+    assert sorted([(i, t) for i, _, t in both], key=key) == sorted(back, key=key)
+    assert sorted([(i, list(struct.unpack(f"<{len(x) // 4}I", x))) for i, x, _ in both], key=key) == sorted(got, key=key)
+    assert bpe.encode(empty).count() == 0 and bpe.round_trip(empty).count() == 0 and bpe.decode(bpe.encode(empty)).count() == 0
     odd = spark.createDataFrame([(1, None), (2, bytearray(b"")), (3, bytearray(struct.pack("<3I", 320, 10**6, 49407)))], "doc_id long, ids binary")
     assert {r["doc_id"]: r["text"] for r in bpe.decode(odd).collect()} == {1: "", 2: "", 3: "a</w> <|endoftext|>"}
 
