@@ -1,7 +1,7 @@
 """Registered corpus queries and their SQL twins."""
 from __future__ import annotations
 
-from glyphmill.llm import bpe, chat, decontaminate, exact_dedup, lexical, near_dedup, packing, pii, quality, secrets, sharding, toxicity
+from glyphmill.llm import bpe, chat, decontaminate, exact_dedup, lexical, near_dedup, negatives, packing, pii, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_lexical": lexical.op12_lexical,
     "op13_bpe": bpe.op13_bpe,
 }
@@ -22,5 +23,6 @@ ORACLES = {
     "op1_near_dedup": near_dedup.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
     "op12_lexical": lexical.ORACLE,
 }
