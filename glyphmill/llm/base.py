@@ -143,16 +143,23 @@ class WordMemory:
     """What a Python worker has made of words, in at most ``limit`` bytes, about.
 
     Two generations of half that size: a word that is asked for again moves to the younger one, and the older one goes when the younger is
-    full, so frequent words stay.  Words longer than ``longest`` are not kept at all.
+    full, so frequent words stay.  Words longer than ``longest`` are not kept at all.  A worker keeps the words of one operator: the memory
+    that is opened for a partition empties the one that was open before.
     """
 
-    #: Bytes of a word, its value and their place in a table, besides the value's own content.
+    #: Bytes of a word and of the places of it and its value in a table.
     ENTRY = 200
+    _open: "WordMemory | None" = None
 
     def __init__(self, limit: int, longest: int = 64):
         self.half, self.longest = limit // 2, longest
         self.clear()
 
+    def open(self) -> None:
+        last, WordMemory._open = WordMemory._open, self
+        if last is not None and last is not self:
+            last.clear()
+
     def clear(self) -> None:
         self.young: dict = {}
         self.old: dict = {}
@@ -167,13 +174,13 @@ class WordMemory:
         return value
 
     def put(self, word: str, value) -> None:
-        """``value`` must have a length, taken as bytes."""
+        """``value``: bytes, or a tuple of numbers."""
         if len(word) > self.longest:
             return
         if self.held > self.half:
             self.old, self.young, self.held = self.young, {}, 0
         self.young[word] = value
-        self.held += self.ENTRY + len(value)
+        self.held += self.ENTRY + (len(value) if isinstance(value, bytes) else 40 * len(value))
 
 
 def release_arrow() -> None:

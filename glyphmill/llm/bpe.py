@@ -320,6 +320,7 @@ def _worker_labels(path: str) -> list[str | None]:
 def _encoded(batch, path: str) -> Iterator:
     """Documents, ids and their numbers, of parts of an Arrow batch (doc_id, text)."""
     automaton = _worker(path)
+    automaton.known.open()
     for part in text_slices(batch, 1, AT_A_TIME):
         yield part.column(0), *automaton.texts(part.column(1))
 

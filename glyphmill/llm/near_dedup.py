@@ -28,15 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphmill.llm.base import checkpointed, drop_rows, narrowed, read, release, ship, slot_filter, slot_of, text_slices
+from glyphmill.llm.base import checkpointed, drop_rows, narrowed, read, release, release_arrow, ship, slot_filter, slot_of, text_slices
 
 REGISTERS = 256
 BASE = 1.001
 RATE = 20.0
 #: UTF-8 bytes of texts that a worker sketches at a time (one text at least).
 AT_A_TIME = 2 << 20
-#: Members of a block in the last step, and pairs whose registers are compared at once.
-BLOCK = 512
+#: Members of a side of a block in the last step and shingles of theirs, about, and pairs whose registers are compared at once.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 AT_ONCE = 16_384
 #: Log-likelihood below the best that a pair right at the threshold exceeds with a probability of 4e-6.
 SLACK = 10.0
@@ -164,6 +164,7 @@ def sketches(docs: DataFrame, k: int, m: int = REGISTERS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(n), pa.array(f1), pa.array(f2), pa.array([r.tobytes() for r in regs], pa.binary())],
                     names=["doc_id", "_th", "n", "f1", "f2", "regs"])
+        release_arrow()
 
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", F.xxhash64(text).alias("_th"), text.alias("text")).mapInArrow(
@@ -215,17 +216,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, looked: DataFrame
 
 
 def _blocks(active: DataFrame, regs: DataFrame, sets: DataFrame, m: int, r: int, percent: int) -> DataFrame:
-    """a, b: verified links between ``active`` rows (bucket, band, rep, comp) of one bucket but not one component.
+    """a, b: verified links between ``active`` rows (bucket, band, rep, comp, n) of one bucket but not one component.
 
     ``outside`` rows are those that are not in their bucket's largest component.  They meet all rows of the bucket, cut in
-    blocks of about BLOCK by BLOCK rows; a block is one group of a repartitioned and sorted stream.
+    blocks of about BLOCK by BLOCK rows, fewer where their sets are large; a block is one group of a repartitioned and sorted stream.
     """
-    per = active.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    largest = per.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("size")).select(
-        "bucket", F.col("x.comp").alias("main"), "size", (F.col("size") - F.col("x.c")).alias("outside"))
+    per = active.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    largest = per.groupBy("bucket").agg(F.max(F.struct("c", "comp", "s")).alias("x"), F.sum("c").alias("size"), F.sum("s").alias("shingles")).select(
+        "bucket", F.col("x.comp").alias("main"), "size", "shingles", (F.col("size") - F.col("x.c")).alias("outside"), (F.col("shingles") - F.col("x.s")).alias("shingles_outside"))
     largest = checkpointed(largest)  # a row per bucket; as a table of its own the join can split a hot bucket
     rows = active.join(largest, "bucket").withColumns({
-        "cols": F.ceil(F.col("size") / BLOCK).cast("int"), "lines": F.ceil(F.col("outside") / BLOCK).cast("int")})
+        "cols": F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"),
+        "lines": F.greatest(F.ceil(F.col("outside") / BLOCK), F.ceil(F.col("shingles_outside") / BLOCK_SHINGLES)).cast("int")})
     pick = lambda n: F.pmod(F.xxhash64("rep", "bucket"), F.col(n)).cast("int")
     member = rows.select("bucket", "band", "rep", "comp", pick("cols").alias("c"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("l"), F.lit(0).alias("query"))
     query = rows.filter("comp <> main").select("bucket", "band", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), pick("lines").alias("l"), F.lit(1).alias("query"))
@@ -355,7 +357,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
         del met, likely, ends, best, decided, at
         release(docs.sparkSession)
     if count:
-        rest = _blocks(active.select("bucket", "band", "rep", "comp"), regs, sets, m, r, percent).withColumn("linked", F.lit(True))
+        rest = _blocks(active.select("bucket", "band", "rep", "comp", "n"), regs, sets, m, r, percent).withColumn("linked", F.lit(True))
         looked = checkpointed(rest if looked is None else narrowed(looked.unionByName(rest)))
         del rest, active, at
     del sets, crowded, settled

@@ -19,14 +19,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType, LongType, IntegerType, ArrayType
 
-from glyphmill.llm.base import checkpointed, numbered, read, ship, text_slices
+from glyphmill.llm.base import WordMemory, checkpointed, numbered, read, release_arrow, ship, text_slices
 
 CAPACITY = 2048
 END = 0
-#: Words that a Python worker remembers; the memory is emptied when it is full.
-REMEMBERED = 200_000
+#: Bytes of words and ids that a Python worker remembers, about.
+REMEMBERED = 48 << 20
 #: UTF-8 bytes of texts handled at a time in a worker (one text at least).
-AT_A_TIME = 4 << 20
+AT_A_TIME = 2 << 20
 
 _workers: dict[str, tuple] = {}
 
@@ -125,23 +125,25 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.known = WordMemory(REMEMBERED)
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        model, letters, rest = self.tokenizer.model, self.letters, []
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that are not remembered."""
+        model, letters, rest, out = self.tokenizer.model, self.letters, [], {}
         for w in words:
             if _LATIN.fullmatch(w):
                 mapped = w.lower() if w.isascii() else "".join([letters[b] for b in w.lower().encode()])
-                self.known[w] = np.array([t.id for t in model.tokenize(mapped)], "<u4").tobytes()
+                out[w] = np.array([t.id for t in model.tokenize(mapped)], "<u4").tobytes()
             else:
                 rest.append(w)
         if rest:
             found = self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
             ends = np.cumsum(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(rest))) if len(ids) else np.zeros(len(rest), int)
-            self.known.update((w, ids[(ends[i - 1] if i else 0):ends[i]].tobytes()) for i, w in enumerate(rest))
+            out.update((w, ids[(ends[i - 1] if i else 0):ends[i]].tobytes()) for i, w in enumerate(rest))
+        for w, own in out.items():
+            self.known.put(w, own)
+        return out
 
     def texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, little-endian, and the number of ids of each text of an Arrow array without nulls."""
@@ -151,13 +153,9 @@ class WordTokenizer:
         bounds = runs.offsets.to_numpy().astype(np.int64)
         coded = runs.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if new:
-            self._learn(new)
-            new = [w for w in words if w not in self.known]
-            if new:  # the memory was emptied: learn this batch's words again
-                self._learn(new)
-        parts = [self.known[w] for w in words]
+        parts = [self.known.get(w) for w in words]
+        new = self._learn([w for w, ids in zip(words, parts) if ids is None])
+        parts = [new[w] if ids is None else ids for w, ids in zip(words, parts)]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         pool = np.frombuffer(b"".join(parts), "<u4")
         starts = np.cumsum(sizes) - sizes
@@ -191,6 +189,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "d
         import pyarrow as pa
 
         tokenizer = _worker(path)
+        tokenizer.known.open()
         for batch in batches:
             for part in text_slices(batch, 1, AT_A_TIME):
                 ids, counts = tokenizer.texts(part.column(1))
@@ -208,6 +207,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "d
                            pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 columns += [pa.array(all_ids, pa.list_(pa.int64()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        release_arrow()
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(cut, StructType(fields))

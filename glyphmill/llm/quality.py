@@ -5,8 +5,8 @@ Features are hashed from the text alone: each token's letters, its shape (capita
 characters, runs collapsed), the shapes of neighbouring tokens, and whether a token repeats the one before; a feature's value is its share of the
 text's tokens.  f is a mean over tokens, so scoring is linear in the text and any text is scored as a whole.
 
-Fitting takes at most ``sample_rows`` rated rows (those with the smallest hash), whose ratings are broadcast and whose
-features, a few kilobytes each, are fitted by L-BFGS on the driver.  Scoring is local to a row.
+Fitting takes at most ``sample_rows`` rated rows (those with the smallest hash), whose ratings are broadcast, and at most ``SAMPLE_BYTES``
+of their features, which are fitted by L-BFGS on the driver.  Scoring is local to a row.
 """
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glyphmill.llm.base import read, ship, text_slices
+from glyphmill.llm.base import WordMemory, checkpointed, read, release_arrow, ship, text_slices
 
 BITS = 14
 SAMPLE_ROWS = 10_000
@@ -25,7 +25,10 @@ MAX_GRADES = 20
 RIDGE = 2e-4
 #: Below this probability of the wanted grade a document is rejected.
 ACCEPT = 0.5
-REMEMBERED = 200_000
+#: Bytes of the features that are fitted; where the sample has more, the rows with the smallest hash that fit.
+SAMPLE_BYTES = 128 << 20
+#: Bytes of words that a Python worker remembers, about, and UTF-8 bytes of texts handled at a time (one text at least).
+REMEMBERED, AT_A_TIME = 32 << 20, 2 << 20
 
 _SHAPES = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1"))
 
@@ -48,7 +51,7 @@ class _Features:
     """Hashed features of each token; a worker remembers the tokens it has met."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known = WordMemory(REMEMBERED)
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Buckets (tokens x 4) and the token bounds of each text of an Arrow array without nulls."""
@@ -58,13 +61,13 @@ class _Features:
         runs = pc.ascii_split_whitespace(texts)
         coded = runs.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        table = np.empty((len(words), 2), np.uint64)
+        table, known = np.empty((len(words), 2), np.uint64), self.known
+        known.open()
         for i, w in enumerate(words):
-            found = self.known.get(w)
+            found = known.get(w)
             if found is None:
-                found = self.known[w] = (xxhash.xxh3_64_intdigest(w.lower(), seed=1), xxhash.xxh3_64_intdigest(shape(w), seed=2))
+                found = (xxhash.xxh3_64_intdigest(w.lower(), seed=1), xxhash.xxh3_64_intdigest(shape(w), seed=2))
+                known.put(w, found)
             table[i] = found
         at = coded.indices.to_numpy() if len(words) else np.zeros(0, np.int64)
         bounds = runs.offsets.to_numpy().astype(np.int64)
@@ -153,19 +156,23 @@ def fit_ordinal(index: np.ndarray, share: np.ndarray, bounds: np.ndarray, y: np.
 
 
 def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """The model of the rated rows; None where they do not have two grades.  Rows without id or grade are left aside."""
+    """The model of the rated rows; None where they do not have two grades.
+
+    Grades are whole numbers, at most MAX_GRADES of them, else ValueError; ratings without an id, or whose grade is null or no number, are left aside.  A
+    document that is rated twice counts twice, and so does a repeated document; null and empty texts have no features.
+    """
     spark = docs.sparkSession
     ship(spark)
-    own = ratings.select(F.col(id_col).alias("doc_id"), F.col(grade_col).cast("int").alias("grade")).filter("doc_id is not null and grade is not null")
+    own = ratings.select(F.col(id_col).alias("doc_id"), F.col(grade_col).try_cast("int").alias("grade")).filter("doc_id is not null and grade is not null")
     taken = own.withColumn("_h", F.xxhash64("doc_id", F.lit(9))).orderBy("_h", "doc_id", "grade").limit(sample_rows).drop("_h")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(taken), "doc_id").select("text", "grade", F.xxhash64("doc_id", "text").alias("k"))
+    rows = texts.join(F.broadcast(taken), "doc_id").select("text", "grade", F.xxhash64("doc_id", "text", "grade").alias("k"))
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for part in text_slices(batch, 0):
+            for part in text_slices(batch, 0, AT_A_TIME):
                 buckets, bounds = _features(part.column(0))
                 index, share = [], []
                 for lo, hi in zip(bounds[:-1], bounds[1:]):
@@ -174,7 +181,14 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
                     share.append((n / max(1, hi - lo)).astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array(index, pa.binary()), pa.array(share, pa.binary())], names=["k", "grade", "i", "s"])
 
-    found = sorted(rows.mapInArrow(work, "k long, grade int, i binary, s binary").collect(), key=lambda r: (r["k"], r["grade"]))
+    features = checkpointed(rows.mapInArrow(work, "k long, grade int, i binary, s binary"))
+    held, cut = 0, None
+    for r in sorted(features.select("k", (F.octet_length("i") + F.octet_length("s")).alias("bytes")).collect()):
+        held += r["bytes"]
+        if held > SAMPLE_BYTES and cut is not None:
+            break
+        cut = r["k"]
+    found = sorted(features.filter(F.col("k") <= (cut or 0)).collect(), key=lambda r: (r["k"], r["grade"]))
     grades = sorted({r["grade"] for r in found})
     if len(grades) < 2:
         return None
@@ -197,9 +211,19 @@ def _tails(model: Model, texts) -> np.ndarray:
     return _sigmoid(f[:, None] - model.thresholds[None, :])
 
 
+def _place(model: Model, wanted: int | None) -> int:
+    """How many of the model's grades lie below the wanted one."""
+    return len(model.grades) - 1 if wanted is None else sum(g < wanted for g in model.grades)
+
+
+def _tail(tails: np.ndarray, at: int) -> np.ndarray:
+    return np.ones(len(tails)) if at == 0 else tails[:, at - 1] if at <= tails.shape[1] else np.zeros(len(tails))
+
+
 def score(docs: DataFrame, model: Model | None, wanted: int | None = None, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
     """One row per row of ``docs``: doc_id, expected_grade, tail_probability (of ``wanted``, default the top grade, or better), accepted.
 
+    ``wanted`` may be any number: the probability is that of the model's grades from there on (1 below all of them, 0 above).
     A null text counts as empty; without tokens the thresholds alone decide.  Without a model nothing is known: the numbers are null and
     every row is accepted.  Null ids and repeated rows are rows like others; no rows give no rows; other columns are not looked at.
     """
@@ -210,7 +234,7 @@ def score(docs: DataFrame, model: Model | None, wanted: int | None = None, id_co
         return texts.select("doc_id", none.alias("expected_grade"), none.alias("tail_probability"), F.lit(True).alias("accepted"))
     spark = docs.sparkSession
     ship(spark)
-    shared, at = spark.sparkContext.broadcast(model), (len(model.grades) - 1 if wanted is None else model.grades.index(wanted))
+    shared, at = spark.sparkContext.broadcast(model), _place(model, wanted)
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -218,11 +242,12 @@ def score(docs: DataFrame, model: Model | None, wanted: int | None = None, id_co
         m = shared.value
         gaps = np.diff(np.array(m.grades, dtype=float))
         for batch in batches:
-            for part in text_slices(batch, 1):
+            for part in text_slices(batch, 1, AT_A_TIME):
                 tails = _tails(m, part.column(1))
-                p = tails[:, at - 1] if at else np.ones(part.num_rows)
+                p = _tail(tails, at)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.grades[0] + tails @ gaps), pa.array(p), pa.array(p >= accept)],
                                                  names=["doc_id", "expected_grade", "tail_probability", "accepted"])
+        release_arrow()
 
     return texts.mapInArrow(work, schema)
 
@@ -233,7 +258,7 @@ def keep_accepted(docs: DataFrame, model: Model | None, wanted: int | None = Non
         return docs
     spark = docs.sparkSession
     ship(spark)
-    shared, at = spark.sparkContext.broadcast(model), (len(model.grades) - 1 if wanted is None else model.grades.index(wanted))
+    shared, at = spark.sparkContext.broadcast(model), _place(model, wanted)
     place = docs.columns.index(text_col)
 
     def work(batches: Iterator) -> Iterator:
@@ -243,11 +268,12 @@ def keep_accepted(docs: DataFrame, model: Model | None, wanted: int | None = Non
         for batch in batches:
             whole = pa.RecordBatch.from_arrays([*batch.columns[:place], pc.fill_null(batch.column(place), ""), *batch.columns[place + 1:]], names=batch.schema.names)
             at_row = 0
-            for part in text_slices(whole, place):
+            for part in text_slices(whole, place, AT_A_TIME):
                 tails = _tails(shared.value, part.column(place))
-                p = tails[:, at - 1] if at else np.ones(part.num_rows)
+                p = _tail(tails, at)
                 yield batch.slice(at_row, part.num_rows).filter(pa.array(p >= accept))
                 at_row += part.num_rows
+        release_arrow()
 
     return docs.mapInArrow(work, docs.schema)
 

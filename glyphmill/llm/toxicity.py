@@ -21,7 +21,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glyphmill.llm.base import read, ship, text_slices
+from glyphmill.llm.base import WordMemory, checkpointed, read, release_arrow, ship, text_slices
 
 BITS = 18
 #: Letters that the levels of the chain look at; None is the whole token.
@@ -30,11 +30,10 @@ LEVELS = (4, 5, None)
 PRIOR = 2.0
 SAMPLE_ROWS = 40_000
 THRESHOLD = 0.3
-#: Segments of a document that are kept for calibration.
-KEPT = 32
 #: Below minus this the statistic says no more.
 LEAST = 6.0
-REMEMBERED = 200_000
+#: Bytes of words that a Python worker remembers, about.
+REMEMBERED = 48 << 20
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _GRID = np.linspace(-12, 12, 961)
 
@@ -85,7 +84,7 @@ class _Words:
     """Buckets of the tokens of texts, each distinct token once; a worker remembers them."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = WordMemory(REMEMBERED)
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Buckets (tokens x levels) and the token bounds of each text of an Arrow array without nulls."""
@@ -94,13 +93,13 @@ class _Words:
         runs = pc.ascii_split_whitespace(pc.utf8_lower(texts))
         coded = runs.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        table = np.empty((len(words), len(LEVELS)), np.int64)
+        table, known = np.empty((len(words), len(LEVELS)), np.int64), self.known
+        known.open()
         for i, w in enumerate(words):
-            found = self.known.get(w)
+            found = known.get(w)
             if found is None:
-                found = self.known[w] = _buckets(w)
+                found = _buckets(w)
+                known.put(w, found)
             table[i] = found
         return table[coded.indices.to_numpy()] if len(words) else np.zeros((0, len(LEVELS)), np.int64), runs.offsets.to_numpy().astype(np.int64)
 
@@ -133,6 +132,15 @@ def statistic(segments: np.ndarray, n: int, scale: float, log_k: float) -> float
     return float(each[each > 0].sum()) if (each > 0).any() else float(each.max())
 
 
+def column_statistic(segments: Column, n: Column, scale: float, log_k: float) -> Column:
+    """``statistic`` as a column."""
+    length = F.ln(F.greatest(n, F.lit(1)))
+    each = F.transform(segments, lambda s: scale * s - log_k - length)
+    above = F.filter(each, lambda x: x > 0)
+    none = (F.size(segments) == 0) | (n <= 0)
+    return F.when(none, -log_k - length).when(F.size(above) > 0, F.aggregate(above, F.lit(0.0), lambda a, x: a + x)).otherwise(F.array_max(each))
+
+
 def levelled(x: np.ndarray) -> np.ndarray:
     """The statistic, positive values on a logarithmic scale: long documents full of evidence should not bend the curve."""
     return np.where(x > 0, np.log1p(np.maximum(x, 0)), np.maximum(x, -LEAST))
@@ -247,15 +255,15 @@ def fit(rows: DataFrame) -> Model | None:
                 top = []
                 for lo, hi, half in zip(bounds[:-1], bounds[1:], part.column(2).to_pylist()):
                     s = drifted(buckets[lo:hi], scores_of(buckets[lo:hi], shared.value[1 - half], base), drift)
-                    top.append(sorted((x.score for x in maximal_segments(s)), reverse=True)[:KEPT])
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.diff(bounds)), pa.array(top, pa.list_(pa.float64()))], names=["label", "n", "top"])
+                    top.append([x.score for x in maximal_segments(s)])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.diff(bounds)), pa.array(top, pa.list_(pa.float64()))], names=["label", "n", "scores"])
 
-    table = texts.mapInArrow(segment, "label int, n long, top array<double>").toPandas()
+    table = checkpointed(texts.mapInArrow(segment, "label int, n long, scores array<double>"))
     shared.unpersist()
-    top, n, y = [np.array(t) for t in table["top"]], table["n"].to_numpy(), table["label"].to_numpy(dtype=float)
-    largest = [scale * t[0] - math.log(k) for t, k, label in zip(top, n, y) if label == 0 and len(t) and k > 0]
-    log_k = float(np.mean(largest)) - 0.5772156649 if largest else 0.0
-    x = np.array([statistic(t, k, scale, log_k) for t, k in zip(top, n)])
+    largest = table.filter("label = 0 and n > 0 and size(scores) > 0").select((scale * F.array_max("scores") - F.ln("n")).alias("x")).toPandas()["x"]
+    log_k = float(largest.mean()) - 0.5772156649 if len(largest) else 0.0
+    own = table.select("label", column_statistic(F.col("scores"), F.col("n"), scale, log_k).alias("x")).orderBy("x", "label").toPandas()
+    x, y = own["x"].to_numpy(dtype=float), own["label"].to_numpy(dtype=float)
     return Model(counts.sum(axis=0), base, drift, scale, log_k, *_logistic(x, y))
 
 
@@ -292,6 +300,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(values), pa.array((values >= THRESHOLD).astype(np.int32)), pa.array(passages, kind)],
                     names=["doc_id", "score", "predicted", "passages"])
+        release_arrow()
 
     return texts.mapInArrow(work, schema)
 

@@ -125,3 +125,62 @@ def test_quality_keeps_columns_and_all_rows_decided(corpus):
     accepted = quality.score(docs, model).filter("accepted")
     key = lambda r: str(r["doc_id"])
     assert sorted(map(key, kept.collect())) == sorted(map(key, accepted.collect()))
+
+
+def test_quality_scores_follow_from_the_weights(spark):
+    """Expected grade and tail probability of every text, computed by hand from the model's weights and thresholds."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["Aa", "b!", "c", "D1", "ee"]) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(100, None), (None, "c c"), (101, "b! " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 4) for i in range(60)], "doc_id long, quality int"))
+    import pyarrow as pa
+
+    got = {r["doc_id"]: r for r in quality.score(docs, model, wanted=2).collect()}
+    for i, text in rows:
+        buckets, _ = quality._features(pa.array([text or ""]))
+        f = sum(model.weights[b] for token in buckets for b in token) / max(1, len(buckets))
+        tails = [1 / (1 + np.exp(-(f - t))) for t in model.thresholds]
+        assert got[i]["expected_grade"] == pytest.approx(sum(tails)) and got[i]["tail_probability"] == pytest.approx(tails[1])
+        assert got[i]["accepted"] == (got[i]["tail_probability"] >= 0.5)
+    assert {r["tail_probability"] for r in quality.score(docs, model, wanted=-3).collect()} == {1.0}
+    assert {r["tail_probability"] for r in quality.score(docs, model, wanted=9).collect()} == {0.0}
+
+
+def test_odd_ratings(spark):
+    docs = spark.createDataFrame([(i, f"w{i} w") for i in range(40)], "doc_id long, text string")
+    words = spark.createDataFrame([(i, ["1", "2", "good", None][i % 4]) for i in range(40)], "doc_id long, quality string")
+    assert quality.fit(docs, words).grades == [1, 2]
+    with pytest.raises(ValueError):
+        quality.fit(docs, spark.createDataFrame([(i, i) for i in range(40)], "doc_id long, quality int"))
+
+
+def test_fit_takes_the_rows_that_fit(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 7 + 1))) for i in range(200)], "doc_id long, text string")
+    rated = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 2000)
+    assert quality.fit(docs, rated).grades == [0, 1]
+
+
+def test_statistic_as_a_column(spark):
+    rng = random.Random(3)
+    rows = [([rng.uniform(0, 9) for _ in range(rng.randint(0, 40))], rng.randint(0, 500)) for _ in range(200)] + [([], 0), ([1.0], 0), ([100.0] * 300, 10)]
+    table = spark.createDataFrame(rows, "s array<double>, n long")
+    got = [r["x"] for r in table.select(toxicity.column_statistic(F.col("s"), F.col("n"), 0.7, 1.5).alias("x")).collect()]
+    assert got == pytest.approx([toxicity.statistic(np.array(s), n, 0.7, 1.5) for s, n in rows])
+
+
+def test_word_memory_keeps_frequent_words():
+    from glyphmill.llm.base import WordMemory
+
+    memory, other = WordMemory(100 * WordMemory.ENTRY), WordMemory(1 << 20)
+    memory.open()
+    for i in range(10_000):
+        if memory.get("often") is None:
+            memory.put("often", b"x")
+            assert i == 0
+        memory.put(f"word{i}", b"yy")
+        assert len(memory.young) + len(memory.old) < 120
+    memory.put("z" * 65, b"")
+    assert memory.get("z" * 65) is None
+    other.open()
+    assert memory.get("often") is None

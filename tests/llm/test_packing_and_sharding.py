@@ -154,3 +154,25 @@ def test_tokens_are_counted_without_spaces(spark, tmp_path):
     got = {r["doc_id"]: r["n_tokens"] for r in sharding.op10_sharding(spark, str(tmp_path)).collect()}
     assert all(got[i] >= 100 for i in range(len(long))), got
     assert (got[2], got[4], got[5], got[6], got[7], got[8]) == (400, 200, 100, 3, 0, 0)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_placement_against_brute_force(seed):
+    """Each unit, largest first, where a plain search over all shards puts it."""
+    from glyphmill.llm import sharding
+
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(0, 50, (rng.integers(1, 25), 3)).astype(float)
+    shards = int(rng.integers(1, 6))
+    total = np.where(sizes.sum(axis=0) > 0, sizes.sum(axis=0), 1)
+    unit = sizes / total * shards
+    left, want = [[1.0] * 3 for _ in range(shards)], {}
+    for i in sorted(range(len(unit)), key=lambda i: (-max(unit[i]), i)):
+        room = [s for s in range(shards) if all(left[s][d] - unit[i][d] >= -1e-12 for d in range(3))]
+        if room:
+            s = max(room, key=lambda s: (sum(left[s][d] * unit[i][d] for d in range(3)), -s))
+        else:
+            s = max(range(shards), key=lambda s: (min(left[s][d] - unit[i][d] for d in range(3)), -s))
+        want[i] = s
+        left[s] = [left[s][d] - unit[i][d] for d in range(3)]
+    assert sharding.place(sizes, shards).tolist() == [want[i] for i in range(len(unit))]

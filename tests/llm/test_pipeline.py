@@ -46,15 +46,37 @@ def test_stages_against_brute_force(spark):
 
 def test_every_operator_has_its_query():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op1_near_dedup", "op2_decontaminate", "op3_exact_dedup", "op6_chat_format"])
+def test_twins_are_sql():
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+
+
+def test_stages_on_messy_and_empty_tables(spark, messy, empty):
+    """Every stage takes what its predecessor kept of awkward rows; the last one packs each kept row."""
+    docs = messy
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF).cache()
+        assert out.columns == messy.columns, name
+        assert not out.exceptAll(docs).count(), name
+        docs = out
+    rows = docs.count()
+    assert 0 < rows < messy.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sum(r["piece"] == 0 for r in packed) == rows
+    docs = empty
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert not docs.count()
+
+
+@pytest.mark.parametrize("name", ["op1_near_dedup", "op2_decontaminate", "op3_exact_dedup", "op6_chat_format", "op11_hard_negatives", "op12_lexical"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = entry.queries()[name](spark, SF)
     rel = con.sql(entry.oracle_sql()[name])
