@@ -7,7 +7,7 @@ from glyphmill.catalog.base import query, r6
 from glyphmill.catalog.folds import _fit_grid
 from glyphmill.operators import probs as pr, weights as we
 from glyphmill.session import cut_lineage
-from glyphmill.plans import compositions as co, designs as de, fits as ft
+from glyphmill.plans import compositions as co, designs as de, fits as ft, wide
 from glyphmill.sources.tables import scratch_path
 
 
@@ -24,13 +24,9 @@ def _every_fold(fx, scored):
     return out
 
 
-def _design(fx, token_only=False):
-    split = _split(fx)
-    if token_only:
-        tokens = fx.tokens("gene_type")
-        seen = tokens.join(split.filter("fit").select("sid"), "sid", "left_semi").select("token").distinct()
-        return de.assemble(split, tokens, de.vocabulary(seen))
-    return co.structured_design(cut_lineage(fx.typed), split)
+def _kinds(fx):
+    """Presence of gene and event type, every token that the fit rows have."""
+    return wide.build(fx.folds(), fx.tokens("gene_type"), 5, varying=False)
 
 
 def _out(fx, scored):
@@ -39,32 +35,32 @@ def _out(fx, scored):
 
 @query("ml1_multinomial_logistic")
 def _(fx):
-    return _out(fx, ft.multinomial()(_design(fx)[0], fx.classes))
+    return _out(fx, ft.multinomial()(co.structured(fx.typed, fx.folds()).design.select(0), fx.classes))
 
 
 @query("ml2_one_vs_rest_logistic")
 def _(fx):
-    return _out(fx, ft.one_vs_rest()(_design(fx)[0], fx.classes))
+    return _out(fx, ft.one_vs_rest()(co.structured(fx.typed, fx.folds()).design.select(0), fx.classes))
 
 
 @query("ml3_naive_bayes_bernoulli")
 def _(fx):
-    return _out(fx, ft.naive_bayes("bernoulli")(_design(fx, True)[0], fx.classes))
+    return _out(fx, ft.naive_bayes("bernoulli")(_kinds(fx).select(0), fx.classes))
 
 
 @query("ml3_naive_bayes_complement")
 def _(fx):
-    return _out(fx, ft.naive_bayes("complement")(_design(fx, True)[0], fx.classes))
+    return _out(fx, ft.naive_bayes("complement")(_kinds(fx).select(0), fx.classes))
 
 
 @query("ml3_naive_bayes_multinomial")
 def _(fx):
-    return _out(fx, ft.naive_bayes("multinomial")(_design(fx, True)[0], fx.classes))
+    return _out(fx, ft.naive_bayes("multinomial")(_kinds(fx).select(0), fx.classes))
 
 
 @query("ml4_ratio_scaled_one_vs_rest")
 def _(fx):
-    return _out(fx, ft.one_vs_rest(ratio_scaled=True)(_design(fx, True)[0], fx.classes))
+    return _out(fx, ft.one_vs_rest(own_columns=True)(wide.ratio_scaled_rows(_kinds(fx), 0, fx.classes), fx.classes))
 
 
 @query("ml5_truncated_svd")
@@ -104,9 +100,7 @@ def _(fx):
 
 @query("ml8_important_columns")
 def _(fx):
-    rows, names = _design(fx)
-    top = ft.important_columns(rows, names, fx.classes, 20)
-    return fx.spark.createDataFrame(top, "feature string, importance double")
+    return ft.important_columns(co.structured(fx.typed, fx.folds()).design, 0, fx.classes, 20)
 
 
 @query("c2_structured_columns", f"with {_BLK} select kf.token as feature, kf.rows as fit_rows, (select count(distinct sid) from bt where bt.token = kf.token) as all_rows from kf")
@@ -138,15 +132,15 @@ def _(fx):
 @query("c4_three_way_vote")
 def _(fx):
     """All outer folds, each scored by models that never saw its labels."""
-    typed = cut_lineage(fx.typed)
-    return _out(fx, _every_fold(fx, lambda split: co.three_way_vote(typed, split, fx.classes)))
+    design = co.structured(fx.typed, fx.folds())
+    return _out(fx, _every_fold(fx, lambda split: co.three_way_vote(design, split, fx.classes)))
 
 
 @query("c5_selective_evidence_bag")
 def _(fx):
     """All outer folds; three inner seeds, their probabilities averaged."""
-    typed = cut_lineage(fx.typed)
-    bag = _every_fold(fx, lambda split: co.seed_bag(co.selective_evidence(typed, split, fx.classes, (42, 777, 2024)), fx.classes))
+    design = co.structured(fx.typed, fx.folds())
+    bag = _every_fold(fx, lambda split: co.seed_bag(co.selective_evidence(design, split, fx.classes, (42, 777, 2024)), fx.classes))
     return bag.withColumn("p", F.round("p", 4))
 
 

@@ -55,17 +55,17 @@ _CON = f"""with {grid('tok_gene')}, c as (select a.cls as class_a, b.cls as clas
  support, a.pos / a.cn - b.pos / b.cn as contrast from g a join g b on a.token = b.token and a.cls < b.cls where a.pos + b.pos >= 10)"""
 
 
-def _class_pairs(fx):
+def _contrasts(fx):
     classes = fx.classes
-    pairs = [(a, b) for i, a in enumerate(classes) for b in classes[i + 1:]]
-    return fx.spark.createDataFrame(pairs, "class_a string, class_b string")
+    counts = we.token_counts(fx.tokens("gene"), fx.samples, classes)
+    return se.pair_contrasts(counts, [(a, b) for i, a in enumerate(classes) for b in classes[i + 1:]], classes)
 
 
 @query("l15_pair_contrast_features", _CON + """, t as (select *, row_number() over (partition by class_a, class_b order by
  abs(contrast) desc, support desc, gene) as rn from c) select sid, class_a, class_b, count(*) as n_genes,
  cast(sum(sign(contrast)) as double) as signed_sum from tok_gene join t on token = gene where rn <= 5 group by 1, 2, 3""")
 def _(fx):
-    selected = se.top_contrasts(se.pair_contrasts(_long(fx, "gene"), _class_pairs(fx)))
+    selected = se.top_contrasts(_contrasts(fx))
     return se.contrast_features(ru.gene_presence(fx.events), selected)
 
 
@@ -73,7 +73,7 @@ def _(fx):
  support * abs(contrast) desc, support desc, gene) as rn from c) select class_a, class_b, gene, support, {r6('contrast')} as
  contrast, cast(rn as int) as rank from t where rn <= 5 and contrast <> 0""")
 def _(fx):
-    selected = se.top_contrasts(se.pair_contrasts(_long(fx, "gene"), _class_pairs(fx)), ranking="weighted")
+    selected = se.top_contrasts(_contrasts(fx), ranking="weighted")
     return _round(selected, "contrast").select("class_a", "class_b", "gene", "support", "contrast", "rank")
 
 

@@ -42,16 +42,21 @@ def recurrent_events(typed: DataFrame, kind: str = "MISSENSE", floor: int = 5) -
         F.count_distinct("sid").alias("n")).filter(F.col("n") >= floor)
 
 
-def pair_contrasts(long: DataFrame, pairs: DataFrame, floor: int = 10) -> DataFrame:
-    """(class_a, class_b, gene): support in both classes and difference of rates, from (token, cls, pos, cls_n)."""
-    l = long.select(F.col("token").alias("gene"), F.col("cls").alias("class_a"), F.col("pos").alias("pa"),
-                    F.col("cls_n").alias("na"))
-    r = long.select(F.col("token").alias("gene"), F.col("cls").alias("class_b"), F.col("pos").alias("pb"),
-                    F.col("cls_n").alias("nb"))
-    x = pairs.select("class_a", "class_b").join(l, "class_a").join(r, ["gene", "class_b"])
-    got = x.select("class_a", "class_b", "gene", (F.col("pa") + F.col("pb")).alias("support"),
-                   (F.col("pa") / F.col("na") - F.col("pb") / F.col("nb")).alias("contrast"))
-    return got.filter(F.col("support") >= floor)
+def pair_contrasts(counts: DataFrame, pairs: list[tuple[str, str]], classes: list[str], floor: int = 10) -> DataFrame:
+    """(class_a, class_b, gene): support in both classes and difference of rates, from (token, pos, ns) with arrays over ``classes``.
+
+    Pairs are formed inside the token's own row, so nothing meets on a class.
+    """
+    place = {c: i for i, c in enumerate(classes)}
+    at = lambda name, c: F.get(name, F.lit(place[c]))
+    cells = [F.struct(F.lit(a).alias("class_a"), F.lit(b).alias("class_b"), (at("pos", a) + at("pos", b)).alias("support"),
+                      (at("pos", a) / at("ns", a) - at("pos", b) / at("ns", b)).alias("contrast")) for a, b in pairs if a in place and b in place]
+    if not cells:
+        none = "array<struct<class_a:string,class_b:string,support:bigint,contrast:double>>"
+        found = F.array().cast(none)
+    else:
+        found = F.filter(F.array(*cells), lambda x: x["support"] >= floor)
+    return counts.select(F.col("token").alias("gene"), F.explode(found).alias("x")).select("x.class_a", "x.class_b", "gene", "x.support", "x.contrast")
 
 
 def top_contrasts(contrasts: DataFrame, k: int = 5, ranking: str = "contrast",

@@ -35,6 +35,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="glyphmill-ckpt-"))
 
 
+def in_parallel(calls: list, at_once: int = 5) -> list:
+    """Results of functions that start Spark jobs of their own, run from as many threads; their jobs share the executors."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+
+    if not calls:
+        return []
+    spark = SparkSession.active()
+    with ThreadPool(min(at_once, len(calls))) as pool:
+        return [x.get() for x in [pool.apply_async(inheritable_thread_target(spark)(call)) for call in calls]]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
