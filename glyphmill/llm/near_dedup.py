@@ -225,11 +225,15 @@ def _blocks(active: DataFrame, regs: DataFrame, sets: DataFrame, m: int, r: int,
     largest = per.groupBy("bucket").agg(F.max(F.struct("c", "comp", "s")).alias("x"), F.sum("c").alias("size"), F.sum("s").alias("shingles")).select(
         "bucket", F.col("x.comp").alias("main"), "size", "shingles", (F.col("size") - F.col("x.c")).alias("outside"), (F.col("shingles") - F.col("x.s")).alias("shingles_outside"))
     largest = checkpointed(largest)  # a row per bucket; as a table of its own the join can split a hot bucket
-    rows = active.join(largest, "bucket").withColumns({
+    placed = checkpointed(active.join(largest, "bucket"))
+    # buckets with the same outside rows: a member of several needs to be in the first of them only, which holds all pairs it can have there
+    same = placed.filter("comp <> main").groupBy("bucket").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("o1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("o2"))
+    rows = placed.join(checkpointed(same), "bucket").withColumns({
         "cols": F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"),
         "lines": F.greatest(F.ceil(F.col("outside") / BLOCK), F.ceil(F.col("shingles_outside") / BLOCK_SHINGLES)).cast("int")})
     pick = lambda n: F.pmod(F.xxhash64("rep", "bucket"), F.col(n)).cast("int")
-    member = rows.select("bucket", "band", "rep", "comp", pick("cols").alias("c"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("l"), F.lit(0).alias("query"))
+    first = rows.groupBy("rep", "outside", "o1", "o2").agg(F.min_by(F.struct("bucket", "band", "comp", "cols", "lines"), F.struct("band", "bucket")).alias("x")).select("rep", "x.*")
+    member = first.select("bucket", "band", "rep", "comp", pick("cols").alias("c"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("l"), F.lit(0).alias("query"))
     query = rows.filter("comp <> main").select("bucket", "band", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"), pick("lines").alias("l"), F.lit(1).alias("query"))
     sent = member.unionByName(query).join(regs.join(sets, "rep"), "rep").select(
         "bucket", "c", "l", "band", "query", "rep", "comp", "n", "regs", "items")
