@@ -168,6 +168,14 @@ def _(fx):
     return si.grouped_folds(groups, labels)
 
 
+@query("f5_balanced_grouped_folds")
+def _(fx):
+    """Groups of near-equal documents dealt so that folds hold equally many rows, of each language too."""
+    groups = si.duplicate_groups(_doc_sets(fx), 0.90).withColumnRenamed("id", "sid")
+    labels = fx.t("documents").select(F.col("doc_id").alias("sid"), F.col("lang").alias("label"))
+    return si.balanced_grouped_folds(groups, labels)
+
+
 # Profiles of documents (word sets) with language as label -------------------------------------
 
 _PROF = f"with {_DOCW}, pf as (select sid, md5(string_agg(token, ' ' order by token)) as profile from dw group by 1)"

@@ -16,13 +16,28 @@ def _cosine(common: Column, a: Column, b: Column) -> Column:
     return common / F.sqrt(a.cast("double") * b.cast("double"))
 
 
+#: Members of a set that are numbered in one go; a larger set is numbered in cells.
+CELL_ROWS = 20_000
+
+
 def ordered_members(sets: DataFrame) -> DataFrame:
-    """(id, member, size, place): members of a set from rarest to most frequent."""
+    """(id, member, size, place): members of a set from rarest to most frequent, in one order for all sets.
+
+    A set of more than ``CELL_ROWS`` members (a column of a table, say) is numbered inside cells that follow this order, and the cells' sizes
+    are added up, so no set is sorted in one task.
+    """
     frequency = sets.groupBy("member").agg(F.count(F.lit(1)).alias("df"))
+    sizes = sets.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
     known = salted_join(sets, frequency, ["member"], hot_keys(frequency, ["member"], "df"), ["id"])
-    whole = Window.partitionBy("id")
-    return known.withColumn("place", F.row_number().over(whole.orderBy("df", "member"))).withColumn(
-        "size", F.count(F.lit(1)).over(whole)).drop("df")
+    known = salted_join(known, sizes, ["id"], hot_keys(sizes, ["id"], "size"), ["member"]).withColumn("_h", F.md5(F.col("member").cast("string")))
+    large = F.col("size") > CELL_ROWS
+    known = known.withColumns({"_c": F.when(large, F.col("df")).otherwise(0), "_d": F.when(large, F.substring("_h", 1, 3)).otherwise("")})
+    cells = known.filter(large).groupBy("id", "_c", "_d").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("id").orderBy("_c", "_d").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select("id", "_c", "_d", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inside = known.withColumn("place", F.row_number().over(Window.partitionBy("id", "_c", "_d").orderBy("df", "_h", "member")))
+    placed = inside.join(starts, ["id", "_c", "_d"], "left")
+    return placed.select("id", "member", "size", (F.col("place") + F.coalesce("_o", F.lit(0))).cast("int").alias("place"))
 
 
 def _candidates(prefix: DataFrame) -> DataFrame:
@@ -76,38 +91,95 @@ def best_neighbour(pairs: DataFrame) -> DataFrame:
     return best.select("id", F.col("m.o.neighbour").alias("neighbour"), "m.cosine", "m.common", "m.size", "m.other_size")
 
 
-def nearest_profiles(sets: DataFrame, ladder: tuple[float, ...] = (0.8,)) -> DataFrame:
+#: Sets that share a member with at most so many others meet them all at the start.
+FEW = 8
+#: Partners of a set that are verified at the start.
+FIRST_LOOKS = 2
+
+
+def _both_ways(verified: DataFrame) -> DataFrame:
+    return verified.unionByName(verified.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("size_b").alias("size_a"), F.col("size_a").alias("size_b"), "common"))
+
+
+def _best_of(found: DataFrame) -> DataFrame:
+    """(a, best: cosine in 12 digits, partner, common, size_b) from verified (a, b, size_a, size_b, common); the lowest id on ties."""
+    cosine = F.round(_cosine(F.col("common"), F.col("size_a"), F.col("size_b")), 12)
+    first = F.min(F.struct((-cosine).alias("c"), F.col("b").alias("partner"), "common", "size_b")).alias("m")
+    return found.groupBy("a").agg(first).select("a", (-F.col("m.c")).alias("best"), "m.partner", "m.common", "m.size_b")
+
+
+def nearest_partners(ordered: DataFrame, least: float = 0.0) -> DataFrame:
+    """(a, best, partner, common, size_a, size_b): every set's nearest other set by cosine, exactly; the lowest id on ties.
+
+    Sets without a partner of cosine ``least`` or more have no row.  A set first meets one hub per member (the smallest set that has the
+    member, the lowest id of these) and the sharers of its rare members, and the most promising of these are counted.  What could still win is then known from the running best:
+
+    * a better partner shares one of the set's rarest size - need + 1 members, and so does the set with the partner, where need is the smallest overlap
+      that beats the best for the partner's size;
+    * a partner that only ties must also have a lower id than the best so far.
+
+    Members are looked up by (member, size of the sharer) first, so a list of sharers is opened only where one of them can win.  In a cluster of near-equal sets
+    everybody ties with or beats the hub early, and the members that the cluster shares are not opened at all.
+    """
+    ordered = cut_lineage(ordered)
+    lists = cut_lineage(ordered.groupBy("member", F.col("size").alias("size_b")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")))
+    whole = lists.groupBy("member").agg(F.sum("n").alias("n"), F.min_by("low", "size_b").alias("hub"))
+    hot = cut_lineage(hot_keys(whole, ["member"], "n"))
+    # start: a hub per member, and the sharers of rare members
+    own = salted_join(ordered, whole.filter("n > 1"), ["member"], hot, ["id"])
+    hubs = own.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    second = own.filter("id <> hub").groupBy(F.col("hub").alias("a")).agg(F.min(F.struct("size", "id"))["id"].alias("b"))
+    rare = own.filter(F.col("n") <= FEW).select("id", "member")
+    few = rare.select(F.col("id").alias("a"), "member").join(rare.select(F.col("id").alias("b"), "member"), "member").filter("a <> b").select("a", "b")
+    met = hubs.unionByName(second).unionByName(few).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+    looks = Window.partitionBy("a").orderBy(F.desc("k"), "b")
+    chosen = met.withColumn("r", F.row_number().over(looks)).filter(F.col("r") <= FIRST_LOOKS).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    size = ordered.filter("place = 1").select("id", "size")
+    sized = chosen.join(size.select(F.col("id").alias("a"), F.col("size").alias("size_a")), "a").join(size.select(F.col("id").alias("b"), F.col("size").alias("size_b")), "b")
+    first = cut_lineage(_best_of(_both_ways(_count_common(sized, ordered))))
+    # what can still beat or tie the best
+    best = F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(float(least)))
+    bars = size.join(first.select(F.col("a").alias("id"), "best", "partner"), "id", "left").select(
+        "id", best.alias("bar"), F.when(F.coalesce("best", F.lit(-1.0)) >= least, F.col("partner")).alias("partner"))
+    floor = F.greatest(F.ceil(F.col("bar") * F.col("bar") * F.col("size") - 1e-9), F.lit(1))
+    probes = ordered.join(bars, "id").filter(F.col("place") <= F.col("size") - floor + 1)
+    opened = salted_join(probes, lists.join(whole.filter("n > 1").select("member"), "member", "left_semi"), ["member"], hot, ["id"])
+    wanted = F.col("bar") * F.sqrt(F.col("size").cast("double") * F.col("size_b"))
+    at_least = F.greatest(F.ceil(wanted - 1e-9), F.lit(1)).cast("int")
+    reaches = F.round(at_least / F.sqrt(F.col("size").cast("double") * F.col("size_b")), 12)
+    tie = reaches <= F.round(F.col("bar"), 12)  # this overlap gives the best's own cosine, so only a lower id wins by it
+    any_id = F.when(tie & F.col("partner").isNotNull(), at_least + 1).otherwise(at_least)
+    limits = opened.select("id", "member", "size", "place", "size_b", "partner", "low", any_id.alias("need"), at_least.alias("need_low"))
+    fits = lambda need: (F.col(need) <= F.least("size", "size_b")) & (F.col("place") <= F.col("size") - F.col(need) + 1)
+    open_lists = limits.filter(fits("need") | (fits("need_low") & (F.col("low") < F.col("partner"))))
+    right = ordered.select(F.col("id").alias("b"), "member", F.col("size").alias("size_b"), F.col("place").alias("pb"))
+    # a list is hot by its (member, size) rows
+    hot_lists = hot_keys(lists, ["member", "size_b"], "n")
+    pairs = salted_join(open_lists.withColumnRenamed("id", "a"), right, ["member", "size_b"], hot_lists, ["a"]).filter("a <> b")
+    need = F.when(F.col("partner").isNotNull() & (F.col("b") >= F.col("partner")), F.col("need")).otherwise(F.col("need_low"))
+    pairs = pairs.withColumn("_need", need).filter(
+        (F.col("place") <= F.col("size") - F.col("_need") + 1) & (F.col("pb") <= F.col("size_b") - F.col("_need") + 1))
+    rest = F.least(F.col("size") - F.max("place"), F.col("size_b") - F.max("pb"))
+    likely = pairs.groupBy("a", "b", F.col("size").alias("size_a"), "size_b", "_need").agg((F.count(F.lit(1)) + rest).alias("at_most")).filter(F.col("at_most") >= F.col("_need"))
+    once = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("size_a")).otherwise(F.col("size_b")).alias("size_a"),
+                         F.when(F.col("a") < F.col("b"), F.col("size_b")).otherwise(F.col("size_a")).alias("size_b")).distinct()
+    counted = _both_ways(_count_common(once, ordered))
+    before = first.join(size.select(F.col("id").alias("a"), F.col("size").alias("size_a")), "a").select("a", F.col("partner").alias("b"), "size_a", "size_b", "common")
+    last = _best_of(counted.unionByName(before)).filter(F.col("best") >= F.round(F.lit(float(least)), 12))
+    return last.join(size.select(F.col("id").alias("a"), F.col("size").alias("size_a")), "a").select("a", "best", "partner", "common", "size_a", "size_b")
+
+
+def nearest_profiles(sets: DataFrame, ladder: tuple[float, ...] = ()) -> DataFrame:
     """Every set's nearest other set by cosine (with the Jaccard of that pair); null where nothing is shared.
 
-    Thresholds go down the ladder: a set with a partner above the current threshold has its nearest among
-    the partners found there and is done.  What is left meets everything it shares a member with, counted
-    with partial aggregation; nothing is dropped.
+    ``ladder`` is kept for callers that still name thresholds; the running best needs none.
     """
-    ordered = cut_lineage(ordered_members(sets))
-    open_ids = ordered.select("id").distinct()
-    done = None
-    for threshold in ladder:
-        found = cut_lineage(best_neighbour(similar_pairs(ordered, threshold)))
-        fresh = found.join(open_ids, "id", "left_semi")
-        done = fresh if done is None else done.unionByName(fresh)
-        open_ids = cut_lineage(open_ids.join(found.select("id"), "id", "left_anti"))
-    rest = ordered.join(open_ids, "id", "left_semi")
-    left = rest.select(F.col("id").alias("a"), F.col("size").alias("size_a"), "member")
-    right = ordered.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "member")
-    load = ordered.groupBy("member").agg(F.count(F.lit(1)).alias("n"))
-    met = salted_join(left, right, ["member"], hot_keys(load, ["member"], "n"), ["a"]).filter("a <> b")
-    common = met.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("common"))
-    common = common.withColumn("cosine", _cosine(F.col("common"), F.col("size_a"), F.col("size_b")))
-    order = F.struct((-F.round("cosine", 12)).alias("c"), F.col("b").alias("neighbour"))
-    last = common.groupBy("a").agg(
-        F.min(F.struct(order.alias("o"), "cosine", "common", F.col("size_a").alias("size"),
-                       F.col("size_b").alias("other_size"))).alias("m")
-    ).select(F.col("a").alias("id"), F.col("m.o.neighbour").alias("neighbour"), "m.cosine", "m.common", "m.size",
-             "m.other_size")
-    done = last if done is None else done.unionByName(last)
-    every = sets.select("id").distinct().join(done, "id", "left")
-    jaccard = F.col("common") / (F.col("size") + F.col("other_size") - F.col("common"))
-    return every.select("id", "neighbour", "cosine", jaccard.alias("jaccard"))
+    found = nearest_partners(ordered_members(sets))
+    every = sets.select("id").distinct().join(found.withColumnRenamed("a", "id"), "id", "left")
+    cosine = _cosine(F.col("common"), F.col("size_a"), F.col("size_b"))
+    jaccard = F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
+    return every.select("id", F.col("partner").alias("neighbour"), cosine.alias("cosine"), jaccard.alias("jaccard"))
 
 
 # Groups --------------------------------------------------------------------------------------
@@ -150,9 +222,7 @@ def duplicate_groups(sets: DataFrame, threshold: float = 0.90) -> DataFrame:
     keyed = cut_lineage(profiles(sets))
     representative = keyed.groupBy("profile").agg(F.min("id").alias("rep"))
     unique = sets.join(representative.select(F.col("rep").alias("id")), "id", "left_semi")
-    ordered = cut_lineage(ordered_members(unique))
-    best = best_neighbour(similar_pairs(ordered, threshold))
-    edges = best.select(F.col("id").alias("a"), F.col("neighbour").alias("b"))
+    edges = nearest_partners(ordered_members(unique), threshold).select("a", F.col("partner").alias("b"))
     components = connected_components(representative.select(F.col("rep").alias("id")), edges)
     placed = keyed.join(representative, "profile")
     return placed.join(components.withColumnRenamed("id", "rep"), "rep").select("id", "component")
@@ -169,6 +239,50 @@ def grouped_folds(groups: DataFrame, samples: DataFrame, k: int = 5, seed: int =
     return joined.join(placed, "component").select("sid", "label", "component", "fold")
 
 
+#: Groups above this share of a fold are units of their own; lighter ones are gathered in so many cells per fold and label.
+HEAVY, CELLS, FULL = 1 / 64, 64, 1.02
+
+
+def balanced_grouped_folds(groups: DataFrame, samples: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """(sid, label, component, fold): whole groups stay in one fold, and folds are balanced in rows and in every label.
+
+    Units are heavy groups, and cells of light groups by a hash; at most k * (1 / HEAVY + labels * CELLS) of them, so their sizes per label fit the
+    driver whatever the rows.  Largest first, a unit goes to the fold where it leaves the smallest sum of squared shares over all labels and the rows, among
+    those that it does not fill beyond ``FULL`` shares of the rows; where none is left, to the one with the fewest rows.  The lowest fold wins ties.
+    """
+    joined = cut_lineage(samples.join(groups, "sid").select("sid", "label", "component"))
+    per = joined.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = per.groupBy("component").agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("m"), "label"))["label"].alias("major"))
+    total = joined.count()
+    heavy = F.col("size") > max(1.0, total / k * HEAVY)
+    cell = F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(k * CELLS))
+    light = F.concat_ws(":", F.lit("cell"), F.coalesce("major", F.lit("")), cell.cast("string"))
+    unit_of = cut_lineage(sizes.select("component", F.when(heavy, F.concat_ws(":", F.lit("group"), F.col("component").cast("string"))).otherwise(light).alias("unit")))
+    rows = per.join(unit_of, "component").groupBy("unit", "label").agg(F.sum("n").alias("n")).collect()
+    fold_of = _deal_units([(r["unit"], r["label"], r["n"]) for r in rows], k)
+    table = joined.sparkSession.createDataFrame(sorted(fold_of.items()), "unit string, fold int")
+    placed = unit_of.join(F.broadcast(table), "unit").select("component", "fold")
+    return joined.join(placed, "component").select("sid", "label", "component", "fold")
+
+
+def _deal_units(rows: list[tuple], k: int) -> dict[str, int]:
+    """The fold of each unit, from (unit, label, rows)."""
+    labels = sorted({r[1] for r in rows}, key=str)
+    units: dict[str, np.ndarray] = {}
+    for unit, label, n in rows:
+        units.setdefault(unit, np.zeros(len(labels) + 1))[[labels.index(label), -1]] += n
+    total = sum(units.values(), np.zeros(len(labels) + 1))
+    shares = {u: v / np.where(total > 0, total, 1) * k for u, v in units.items()}  # a fold holds 1 of each
+    held, out = np.zeros((k, len(labels) + 1)), {}
+    for unit in sorted(units, key=lambda u: (-shares[u].max(), u)):
+        cost = (2 * held * shares[unit] + shares[unit] ** 2).sum(axis=1)
+        room = held[:, -1] + shares[unit][-1] <= FULL
+        out[unit] = int(np.argmin(np.round(np.where(room, cost, np.inf) if room.any() else held[:, -1], 9)))
+        held[out[unit]] += shares[unit]
+    return out
+
+
+
 # Profile purity ------------------------------------------------------------------------------
 
 
@@ -397,13 +511,48 @@ def correlated_tokens(tokens: DataFrame, n_rows: int, threshold: float) -> DataF
     return every.withColumn("phi", phi).filter(F.abs("phi") >= threshold - 1e-12).select("a", "b", "common", "phi")
 
 
-def keep_earlier(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: Links of a component that is walked in one go.
+WALKED = 20_000
+
+
+def _walked(edges: DataFrame) -> DataFrame:
+    """(id) of those that fall, from (component, early, late): the walk in order, component by component, as a fold over its sorted links."""
+    links = edges.groupBy("component", "late").agg(F.collect_set("early").alias("earlies"))
+    ordered = links.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("late", "earlies"))).alias("links"))
+    kind = edges.schema["late"].dataType.simpleString()
+    # a link's earlier end is kept unless it was dropped itself, so the dropped ones are all there is to remember
+    dropped = F.aggregate("links", F.array().cast(f"array<{kind}>"), lambda out, x: F.when(
+        F.size(F.array_except(x["earlies"], out)) > 0, F.concat(out, F.array(x["late"]))).otherwise(out))
+    return ordered.select(F.explode(dropped).alias("id"))
+
+
+def keep_earlier(nodes: DataFrame, edges: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """(id, kept): walk ids in order, drop one that is linked to an earlier kept one.
 
-    The walk is done for all ids at once: an id whose earlier neighbours are all decided can be decided.
+    ``blocks`` (id, block): an id can only fall to one of its own block.  The walk is done component by component, each as one fold over its links;
+    in a component of more than ``WALKED`` links all ids whose earlier neighbours are decided are decided at once, round after round.
     """
-    pending = cut_lineage(edges.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")))
-    state = cut_lineage(nodes.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    pending = edges.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"))
+    if blocks is not None:
+        one = lambda end: blocks.select(F.col("id").alias(end), F.col("block").alias(f"_{end}"))
+        pending = pending.join(one("early"), "early").join(one("late"), "late").filter(F.col("_early").eqNullSafe(F.col("_late"))).select("early", "late")
+    pending = cut_lineage(pending.distinct())
+    ends = pending.select(F.explode(F.array("early", "late")).alias("id")).distinct()
+    of = connected_components(ends, pending.select(F.col("early").alias("a"), F.col("late").alias("b")))
+    placed = cut_lineage(pending.join(of.withColumnRenamed("id", "early"), "early"))
+    large = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WALKED).select("component")
+    fallen = _walked(placed.join(large, "component", "left_anti"))
+    rest = placed.join(large, "component", "left_semi").select("early", "late")
+    if not rest.isEmpty():
+        fallen = fallen.unionByName(_by_rounds(rest).filter("not kept").select("id"))
+    return nodes.select("id").distinct().join(fallen.withColumn("_f", F.lit(True)), "id", "left").select("id", F.col("_f").isNull().alias("kept"))
+
+
+def _by_rounds(pending: DataFrame) -> DataFrame:
+    """(id, kept) of the ends of (early, late)."""
+    pending = cut_lineage(pending)
+    ends = pending.select(F.explode(F.array("early", "late")).alias("id")).distinct()
+    state = cut_lineage(ends.withColumn("kept", F.lit(None).cast("boolean")))
     while True:  # each round decides at least the earliest open id of every component
         seen = pending.join(state.withColumnRenamed("id", "early"), "early").groupBy("late").agg(
             F.coalesce(F.max(F.col("kept").cast("int")), F.lit(0)).alias("any_kept"),

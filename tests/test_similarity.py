@@ -95,3 +95,138 @@ def test_confusion_groups():
     pairs = [("a", "b", 9), ("c", "d", 5), ("a", "c", 1)]
     assert si.confusion_groups(pairs, list("abcde"), 3) == [("a", "b"), ("c", "d"), ("e",)]
     assert si.disjoint_pairs([("a", "b", 3), ("b", "c", 2), ("c", "d", 1)], 2) == [("a", "b", 3), ("c", "d", 1)]
+
+
+def clusters(seed, groups, members, base=60, noise=6, words=4000):
+    """Near-equal sets: each of a cluster's sets is the cluster's base and a few words of its own."""
+    rng = random.Random(seed)
+    sets, i = {}, 0
+    for g in range(groups):
+        core = {f"b{g}_{j}" for j in range(base)}
+        for _ in range(members):
+            sets[i] = core | {f"n{rng.randrange(words)}" for _ in range(rng.randint(1, noise))}
+            i += 1
+    return sets
+
+
+def nearest_by_hand(sets, least=0.0):
+    out = {}
+    for i, s in sets.items():
+        best = min(((-round(cosine(s, o), 12), j) for j, o in sets.items() if j != i and s & o), default=None)
+        if best and -best[0] >= round(least, 12):
+            out[i] = (-best[0], best[1])
+    return out
+
+
+def words_frame(spark, sets):
+    return spark.createDataFrame([(i, str(x)) for i, s in sets.items() for x in s], "id long, member string")
+
+
+def test_nearest_partners_match_brute_force(spark):
+    for sets in (clusters(1, 3, 40), random_sets(5, 70), clusters(2, 1, 60, base=12, noise=8, words=40), {1: {"a"}, 2: {"a"}, 3: {"b"}, 4: {"a", "b"}, 5: {"z"}}):
+        for least in (0.0, 0.9):
+            got = {r.a: (r.best, r.partner) for r in si.nearest_partners(si.ordered_members(words_frame(spark, sets)), least).collect()}
+            want = nearest_by_hand(sets, least)
+            assert got.keys() == want.keys()
+            for i in want:
+                assert abs(got[i][0] - want[i][0]) < 1e-9 and got[i][1] == want[i][1], (i, got[i], want[i])
+
+
+def test_work_in_a_cluster_is_linear_in_its_size(spark, monkeypatch):
+    """Pairs that are counted exactly, in clusters of near-equal sets: a fixed number per set, whatever the cluster's size."""
+    counted, original = [], si._count_common
+
+    def watched(pairs, ordered):
+        pairs = si.cut_lineage(pairs)
+        counted.append(pairs.count())
+        return original(pairs, ordered)
+
+    monkeypatch.setattr(si, "_count_common", watched)
+    per_set = []
+    for members in (50, 200, 800):
+        counted.clear()
+        sets = clusters(3, 1, members, words=members * 40)
+        assert si.nearest_partners(si.ordered_members(words_frame(spark, sets)), 0.9).count() == members
+        per_set.append(sum(counted) / members)
+    assert max(per_set) < 6 and per_set[2] < 1.5 * per_set[0] + 1
+
+
+def test_large_sets_are_numbered_in_cells(spark, monkeypatch):
+    sets = {0: set(range(500)), 1: set(range(0, 500, 2)), 2: set(range(0, 500, 5)), 3: {1, 2, 3}}
+    table = words_frame(spark, sets)
+    whole = {(r.id, r.member): (r.size, r.place) for r in si.ordered_members(table).collect()}
+    monkeypatch.setattr(si, "CELL_ROWS", 50)
+    assert {(r.id, r.member): (r.size, r.place) for r in si.ordered_members(table).collect()} == whole
+    for i, s in sets.items():
+        assert sorted(p for (j, _), (_, p) in whole.items() if j == i) == list(range(1, len(s) + 1))
+
+
+def greedy(ids, edges, block=None):
+    kept = []
+    near = {i: {b if a == i else a for a, b in edges if i in (a, b)} for i in ids}
+    for i in sorted(ids):
+        if not any(j in near[i] and (block is None or block[i] == block[j]) for j in kept):
+            kept.append(i)
+    return set(kept)
+
+
+def test_pruning_walks_components(spark, monkeypatch):
+    rng = random.Random(8)
+    ids = [f"c{i:04d}" for i in range(420)]
+    edges = [(ids[i], ids[i + 1]) for i in range(300)] + [(ids[rng.randrange(305, 420)], ids[rng.randrange(305, 420)]) for _ in range(200)]
+    edges = [(a, b) for a, b in edges if a != b]
+    block = {i: rng.randrange(3) for i in ids}
+    nodes, links = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(edges, "a string, b string")
+    blocks = spark.createDataFrame(list(block.items()), "id string, block int")
+    rounds, original = [], si.cut_lineage
+    monkeypatch.setattr(si, "cut_lineage", lambda df: rounds.append(1) or original(df))
+    assert {r.id for r in si.keep_earlier(nodes, links).collect() if r.kept} == greedy(ids, edges)
+    assert len(rounds) <= 20  # a chain of 300
+    assert {r.id for r in si.keep_earlier(nodes, links, blocks).collect() if r.kept} == greedy(ids, edges, block)
+    monkeypatch.setattr(si, "WALKED", 30)  # the random part is one component and goes by rounds
+    free = [(a, b) for a, b in edges if min(a, b) > ids[304]]
+    assert {r.id for r in si.keep_earlier(nodes, links.filter(F.least("a", "b") > ids[304])).collect() if r.kept} == greedy(ids, free)
+    assert {r.id for r in si.keep_earlier(nodes, links.limit(0)).collect() if r.kept} == set(ids)
+
+
+def test_balanced_folds_keep_groups_and_balance_labels(spark):
+    rng = random.Random(2)
+    rows, groups, i = [], [], 0
+    for g in range(400):
+        for _ in range(2000 if g == 0 else rng.choice([1, 1, 2, 3, 20])):
+            rows.append((i, "ABC"[(g + rng.randrange(2)) % 3]))
+            groups.append((i, g))
+            i += 1
+    n = len(rows)
+    assert 2000 > n / 3
+    got = si.balanced_grouped_folds(spark.createDataFrame(groups, "sid long, component long"), spark.createDataFrame(rows, "sid long, label string"))
+    assert got.count() == n and got.groupBy("component").agg(F.count_distinct("fold").alias("k")).filter("k > 1").count() == 0
+    sizes = {r["fold"]: r["count"] for r in got.groupBy("fold").count().collect()}
+    assert len(sizes) == 5 and max(sizes.values()) <= max(2000, 1.05 * n / 5)
+    rest = got.filter("component <> 0").groupBy("fold", "label").count().collect()
+    free = [f for f in sizes if sizes[f] != max(sizes.values())]
+    for label in "ABC":
+        own = [r["count"] for r in rest if r["label"] == label and r["fold"] in free]
+        assert max(own) <= 1.15 * min(own), (label, own)
+
+
+def test_units_are_dealt_as_a_plain_search_would():
+    rng = random.Random(4)
+    rows = [(f"u{u}", label, rng.randint(1, 30)) for u in range(60) for label in "AB" if rng.random() < 0.8]
+    got = si._deal_units(rows, 4)
+    total = {x: sum(n for _, label, n in rows if x in (label, "*")) or sum(n for *_, n in rows) for x in "AB"}
+    every = sum(n for *_, n in rows)
+    share = {}
+    for u, label, n in rows:
+        own = share.setdefault(u, {"A": 0.0, "B": 0.0, "*": 0.0})
+        own[label] += n / total[label] * 4
+        own["*"] += n / every * 4
+    held, want = [{"A": 0.0, "B": 0.0, "*": 0.0} for _ in range(4)], {}
+    for u in sorted(share, key=lambda u: (-max(share[u].values()), u)):
+        cost = [round(sum((h[x] + share[u][x]) ** 2 - h[x] ** 2 for x in h), 9) for h in held]
+        room = [h["*"] + share[u]["*"] <= 1.02 for h in held]
+        cost = [c if r else float("inf") for c, r in zip(cost, room)] if any(room) else [round(h["*"], 9) for h in held]
+        want[u] = cost.index(min(cost))
+        for x in share[u]:
+            held[want[u]][x] += share[u][x]
+    assert got == want
