@@ -191,16 +191,36 @@ def release_arrow() -> None:
 
 
 _shipped: set[str] = set()
+#: Bytes of rows that go to a Python worker at a time.  Buffers of the JVM and the worker grow by doubling, so each takes a few times as much.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch to ``BATCH_BYTES``; a lower one stays.
+
+    Ten thousand long texts, the session's other bound, are more than an executor should hold several times over.
+    """
+    from pyspark.errors import PySparkException
+
+    try:
+        now = spark.conf.get(_BATCH_SETTING, "")
+    except PySparkException:
+        return  # a Spark version without this setting
+    digits = "".join(c for c in str(now) if c.isdigit())
+    if not digits or int(digits) > BATCH_BYTES or not str(now).rstrip("b").isdigit():
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, so that they need no installation of it."""
+    """Send this package to the Python workers once per application, so that they need no installation of it, and keep their batches small."""
     import tempfile
     import zipfile
     from pathlib import Path
 
     import glyphmill
 
+    small_batches(spark)
     context, root = spark.sparkContext, Path(glyphmill.__file__).parent
     if context.applicationId in _shipped or not root.is_dir():
         return

@@ -122,3 +122,16 @@ def test_op13_equals_the_library_on_whole_documents(spark, texts, library):
         assert got[i]["n_tokens"] == len(ids)
         assert got[i]["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_batches_are_kept_small(spark):
+    from glyphmill.llm import base
+
+    before = spark.conf.get(base._BATCH_SETTING)
+    spark.conf.set(base._BATCH_SETTING, "64m")
+    base.small_batches(spark)
+    assert int(spark.conf.get(base._BATCH_SETTING).rstrip("b")) == base.BATCH_BYTES
+    spark.conf.set(base._BATCH_SETTING, "100000")
+    base.small_batches(spark)
+    assert int(spark.conf.get(base._BATCH_SETTING).rstrip("b")) == 100_000
+    spark.conf.set(base._BATCH_SETTING, before)
