@@ -382,3 +382,32 @@ def _(fx):
     got = me.overall(me.confusion(me.predictions(p)))
     return got.select(F.round("macro_f1", 6).alias("macro_f1"), F.round("accuracy", 6).alias("accuracy"),
                       F.round(F.lit(1 / len(fx.classes)), 6).alias("chance"))
+
+
+_PERMS = """ps as (select unnest(range(1, 21))::int as perm), pl as (select 0 as perm, sid, label from samples union all select a.perm, a.sid, b.label from
+ (select perm, sid, row_number() over (partition by perm order by md5(perm || ':rows:' || sid)) as rn from samples, ps) a join
+ (select perm, label, row_number() over (partition by perm order by md5(perm || ':labels:' || sid)) as rn from samples, ps) b on a.perm = b.perm and a.rn = b.rn),
+ fo as materialized (select *, cast((row_number() over (partition by perm, label order by md5('42:' || sid)) - 1) % 5 as int) as fold from pl),
+ tk as materialized (select perm, fold, token, label as cls, count(*) as c from fo join tok_gene_type using (sid) group by all),
+ tt as (select perm, token, cls, sum(c) as c from tk group by all), ft as (select perm, fold, token, sum(c) as s from tk group by all),
+ sl as (select perm, fold, label as cls, count(*) as c from fo group by all), sc as (select perm, label as cls, count(*) as c from fo group by all),
+ fd as (select distinct perm, fold from fo), nn as (select count(*) as n from samples),
+ out_c as (select fd.perm, fd.fold, sc.cls, (sc.c - coalesce(sl.c, 0))::double as cn from fd join sc using (perm) left join sl on sl.perm = fd.perm and sl.fold = fd.fold and sl.cls = sc.cls),
+ out_n as (select perm, fold, sum(cn) as n from out_c group by all),
+ g as (select ft.perm, ft.fold, ft.token, o.cls, (coalesce(tt.c, 0) - coalesce(tk.c, 0))::double as pos, o.cn, out_n.n, (a.s - ft.s)::double as s from ft join (select perm, token, sum(c) as s from tt group by all) a using (perm, token)
+ join out_c o using (perm, fold) join out_n using (perm, fold) left join tt on tt.perm = ft.perm and tt.token = ft.token and tt.cls = o.cls left join tk on tk.perm = ft.perm and tk.fold = ft.fold and tk.token = ft.token and tk.cls = o.cls),
+ w as (select perm, fold, token, cls, greatest(least((ln((pos + 1) / (cn - pos + 1)) - ln((s - pos + 1) / (n - cn - (s - pos) + 1))) * s / (s + 10), 4), -4) as w from g where s >= 10 and s < n),
+ sco as (select perm, sid, cls, sum(w) / sqrt(count(*)) as score from fo join tok_gene_type using (sid) join w using (perm, fold, token) group by all),
+ al as (select fo.perm, fo.sid, fo.label, c.cls, round(coalesce(score, 0), 9) as score from fo cross join classes c left join sco on sco.perm = fo.perm and sco.sid = fo.sid and sco.cls = c.cls),
+ pd as (select perm, sid, label as truth, cls as pred from al qualify row_number() over (partition by perm, sid order by score desc, cls) = 1),
+ names as (select distinct perm, truth as cls from pd union select distinct perm, pred from pd),
+ f1 as (select perm, cls, 2.0 * count(*) filter (truth = cls and pred = cls) / (count(*) filter (truth = cls) + count(*) filter (pred = cls)) as f from names join pd using (perm) group by all),
+ mm as (select perm, avg(f) as macro_f1 from f1 group by 1), ac as (select perm, avg((truth = pred)::int) as accuracy from pd group by 1),
+ res as (select perm, macro_f1, accuracy from mm join ac using (perm))"""
+
+
+@query("m26_permutation_distribution", f"""with {_PERMS} select a.perm, {r6('any_value(a.macro_f1)')} as macro_f1, {r6('any_value(a.accuracy)')} as accuracy,
+ {r6('(count(*) filter (round(b.macro_f1, 12) >= round(a.macro_f1, 12)))::double / count(*)')} as p_value from res a cross join res b group by 1""")
+def _(fx):
+    """Twenty shuffles and the labels as they are (perm 0), all in one pass."""
+    return _round(me.permutation_null(fx.tokens("gene_type"), fx.samples, fx.classes, we.log_odds(), list(range(1, 21))), "macro_f1", "accuracy", "p_value")

@@ -61,6 +61,14 @@ def permute_labels(samples: DataFrame, seed: int) -> DataFrame:
     return left.join(right, "rn").select("sid", "label")
 
 
+def permuted_samples(samples: DataFrame, seeds: list[int]) -> DataFrame:
+    """(perm, sid, label): the samples under each seeded permutation of their labels, all in one pass; perm 0 has the labels as they are."""
+    many = samples.withColumn("perm", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    left = numbered_by_hash(many.select("perm", "sid"), ["perm"], md5_key(F.col("perm"), "rows", F.col("sid")), ["sid"])
+    right = numbered_by_hash(many, ["perm"], md5_key(F.col("perm"), "labels", F.col("sid")), ["sid"]).select("perm", "rn", "label")
+    return samples.select(F.lit(0).alias("perm"), "sid", "label").unionByName(left.join(right, ["perm", "rn"]).select("perm", "sid", "label"))
+
+
 def fold_contract(fit: DataFrame, valid: DataFrame, train: DataFrame) -> DataFrame:
     """One row of counters: fit outside train, fit inside valid, train rows without a fold."""
     tagged = (
