@@ -220,7 +220,7 @@ def ship(spark: SparkSession) -> None:
 
     import glyphmill
 
-    small_batches(spark)
+    small_batches(spark)  # per session, so always
     context, root = spark.sparkContext, Path(glyphmill.__file__).parent
     if context.applicationId in _shipped or not root.is_dir():
         return
