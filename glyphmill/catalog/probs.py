@@ -140,6 +140,15 @@ def _(fx):
     return f1.agg(F.array(*out).alias("o")).select(F.explode("o").alias("o")).select("o.*")
 
 
+@query("b4_blends_in_all_orders")
+def _(fx):
+    """Five candidates over a base: all ordered pairs, and the best pair with each third; what a candidate adds at each place."""
+    names = ["a", "b", "c", "d", "e", "f"]
+    rows = pr.rows_of(fx.prob(names, 400), names, fx.classes).join(fx.folds().select("sid", "fold"), "sid")
+    got = pr.ordered_blends(cut_lineage(rows), "a", names[1:], _GR, fx.classes)
+    return got.select(F.array_join("path", "+").alias("path"), "position", F.element_at("path", -1).alias("last"), F.round("gain_total", 6).alias("gain_total"), F.round("marginal", 6).alias("marginal"))
+
+
 _SEEDED = """sr as (select sid, label, cls, cast(substr(variant, 2) as int) as seed, max(p) filter (variant[1] = 'a') as pa, max(p) filter
  (variant[1] = 'b') as pb from prs group by 1, 2, 3, 4)"""
 

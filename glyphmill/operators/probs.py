@@ -241,6 +241,56 @@ def staged_blend(rows: DataFrame, base: str, extras: list[str], grid: list[float
     return rows
 
 
+def _extended(rows: DataFrame, stages: dict[tuple, str], extras: list[str], grid: list[float], classes: list[str], part: str) -> tuple[DataFrame, dict[tuple, str]]:
+    """Every stage blended with every extra that it does not have yet: the weights of all of them are picked in one pass over the rows."""
+    points = sorted({0.0, *grid})
+    steps = [(path, extra) for path in stages for extra in extras if extra not in path]
+    mixed = [F.struct(F.lit(i).alias("step"), F.lit(w).alias("weight"), argmax_class(blend([(F.col(f"`{stages[path]}`"), 1 - w), (F.col(extra), w)]), classes).alias("pred"))
+             for i, (path, extra) in enumerate(steps) for w in points]
+    counts = cut_lineage(rows.select(part, F.col("label").alias("truth"), F.explode(F.array(*mixed)).alias("x")).groupBy(part, "x.step", "x.weight", "truth", "x.pred").agg(F.count(F.lit(1)).alias("n")))
+    whole = counts.groupBy("step", "weight", "truth", "pred").agg(F.sum("n").alias("all_n"))
+    every = whole.withColumn("_parts", counts.agg(F.collect_set(part)).scalar()).withColumn(part, F.explode("_parts")).drop("_parts")
+    rest = every.join(counts, [part, "step", "weight", "truth", "pred"], "left").withColumn("n", F.col("all_n") - F.coalesce("n", F.lit(0))).filter("n > 0")
+    best = me.overall(rest, [part, "step", "weight"]).groupBy(part, "step").agg(F.min(F.struct((-F.round("macro_f1", 9)).alias("s"), "weight"))["weight"].alias("weight"))
+    chosen = best.groupBy(part).agg(F.map_from_entries(F.collect_list(F.struct("step", "weight"))).alias("_w"))
+    placed, out = rows.join(chosen, part), {}
+    for i, (path, extra) in enumerate(steps):
+        name = "+".join([stages[path], extra])
+        w = F.element_at("_w", F.lit(i))
+        placed = placed.withColumn(name, F.zip_with(F.col(f"`{stages[path]}`"), F.col(extra), lambda p, q: p * (1 - w) + q * w))  # noqa: B023
+        out[(*path, extra)] = name
+    return cut_lineage(placed.drop("_w")), out
+
+
+def ordered_blends(rows: DataFrame, base: str, extras: list[str], grid: list[float], classes: list[str], depth: int = 2, part: str = "fold") -> DataFrame:
+    """(path, position, gain_total, marginal): blends of the extras over the base in all orders of up to ``depth``, with fold-local weights.
+
+    Orders share their prefixes: each prefix is blended once, all steps of a level in one pass.  ``marginal`` is what the last of the path adds.  A level beyond ``depth``
+    goes on from the best path only, with each extra that is left.
+    """
+    levels, stages = [{(): base}], {(): base}
+    for _ in range(min(depth, len(extras))):
+        rows, stages = _extended(rows, stages, extras, grid, classes, part)
+        levels.append(stages)
+
+    def scored(names: dict[tuple, str]) -> dict[tuple, float]:
+        places = list(names)
+        pred = F.explode(F.array(*[F.struct(F.lit(i).alias("stage"), argmax_class(F.col(f"`{names[p]}`"), classes).alias("pred")) for i, p in enumerate(places)])).alias("x")
+        found = rows.select("sid", F.col("label").alias("truth"), pred).select("sid", "truth", "x.stage", "x.pred")
+        return {places[r["stage"]]: r["macro_f1"] for r in me.overall(me.confusion(found, ["stage"]), ["stage"]).collect()}  # a number per path
+
+    scores: dict[tuple, float] = {}
+    for names in levels:
+        scores |= scored(names)
+    full = [p for p in scores if len(p) == len(levels) - 1]
+    top = min(full, key=lambda p: (-round(scores[p], 9), p))
+    if 0 < len(top) < len(extras):
+        rows, last = _extended(rows, {top: levels[-1][top]}, extras, grid, classes, part)
+        scores |= scored(last)
+    gains = [(list(p), len(p), f - scores[()], f - scores[p[:-1]]) for p, f in sorted(scores.items()) if p]
+    return rows.sparkSession.createDataFrame(gains, "path array<string>, position int, gain_total double, marginal double")
+
+
 def rows_f1(rows: DataFrame, array: str, classes: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     pred = rows.select("sid", *by, F.col("label").alias("truth"), argmax_class(F.col(array), classes).alias("pred"))
     return me.overall(me.confusion(pred, list(by)), list(by))
