@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from glyphmill.catalog.base import query, r6
 from glyphmill.functions import cells as c
 from glyphmill.operators import evidence as ev, rollups as ru, weights as we
+from glyphmill.session import cut_lineage
 
 
 def grid(tok: str, name: str = "g") -> str:
@@ -254,20 +255,13 @@ _BACK = f"""with {_DENS}, {grid('tok_exact', 'ge')}, {grid('tok_codon', 'gc')},
 """
 
 
-def _backoff(fx):
-    e = F.col("event")
-    typed = fx.typed.withColumn("pos_key", c.first_integer(e)).withColumns({
-        f"{lv}_token": c.token(lv) for lv in ("exact", "codon", "gene_type")})
-    levels = {lv: we.weigh(_counts(fx, lv), we.empirical_bayes()) for lv in ("exact", "codon", "gene_type")}
-    mixed = we.backoff_evidence(typed, levels, _density(fx))
-    pairs = F.array(*[F.struct(F.lit(k).alias("cls"), we.mixed_weight(i).alias("e")) for i, k in enumerate(fx.classes)])
-    return mixed.select("sid", "gene", "event", F.explode(pairs).alias("x")).select("sid", "gene", "event", "x.cls", "x.e")
-
-
 @query("l6_backoff_evidence", _BACK + f"select gene, event, cls, count(*) as n, {r6('max(e)')} as evidence from e4 group by 1, 2, 3")
 def _(fx):
-    return _backoff(fx).groupBy("gene", "event", "cls").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.max("e"), 6).alias("evidence"))
+    """Events of a kind share their evidence, so the table of distinct events is the answer."""
+    got = we.backoff_table(fx.typed, fx.samples, fx.classes)
+    pairs = F.explode(F.arrays_zip(we.class_array(fx.classes).alias("cls"), F.col("evidence").alias("e"))).alias("x")
+    return got.select("gene", "event", F.col("events").alias("n"), pairs).select(
+        "gene", "event", "x.cls", "n", F.round("x.e", 6).alias("evidence"))
 
 
 @query(
@@ -277,7 +271,8 @@ def _(fx):
  {r6('sum(e) filter (rn <= 2)')} as top2_evidence from rk group by 1, 2""",
 )
 def _(fx):
-    got = ev.event_summary(_backoff(fx))
+    table = cut_lineage(we.backoff_table(fx.typed, fx.samples, fx.classes))
+    got = ev.event_summary(we.backed_off_events(fx.typed, table, fx.classes))
     return got.select("sid", "cls", *[F.round(x, 6).alias(x) for x in got.columns[2:]])
 
 

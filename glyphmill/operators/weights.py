@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from glyphmill.functions.cells import first_integer
 from glyphmill.operators.ranks import hot_keys, salted_join
+from glyphmill.session import cut_lineage
 
 Formula = Callable[[Column, Column, Column, Column], Column]  # (positives, class size, support, rows) -> weight
 
@@ -233,16 +235,22 @@ def residual_weights(child: DataFrame, parent: DataFrame, mapping: DataFrame, fl
 
 def position_density(typed: DataFrame, samples: DataFrame, classes: list[str], bandwidth: float = 20.0,
                      position: str = "position", clip: float = 4.0) -> DataFrame:
-    """Class density around every (gene, event_type, position): log ratio to the rest, and a local count.
-
-    Positions are compressed to counts first, so the join is between positions, not between events.
-    Beyond 39 bandwidths the Gaussian is exactly zero in double precision, so positions meet only inside
-    stripes of that width and the neighbouring ones: a position has a bounded number of partners.
-    """
-    stripe = int(39 * bandwidth)
+    """Class density around every (gene, event_type, position): log ratio to the rest, and a local count."""
     counts = typed.filter(F.col(position).isNotNull()).join(samples, "sid").groupBy(
         "gene", "event_type", F.col(position).alias("q")
     ).agg(F.count(F.lit(1)).alias("m"), F.array(*[F.count_if(F.col("label") == c) for c in classes]).alias("ms"))
+    return density_of_counts(counts, class_sizes(samples, classes), classes, bandwidth, clip).withColumnRenamed("q", "position")
+
+
+def density_of_counts(counts: DataFrame, sizes: DataFrame, classes: list[str], bandwidth: float = 20.0,
+                      clip: float = 4.0) -> DataFrame:
+    """(gene, event_type, q, local_n, w) from (gene, event_type, q, m, ms): events per position, and per class.
+
+    The join is between positions, not between events.  Beyond 39 bandwidths the Gaussian is exactly zero in double
+    precision, so positions meet only inside stripes of that width and the neighbouring ones: a position has a bounded
+    number of partners.
+    """
+    stripe = int(39 * bandwidth)
     home = F.floor(F.col("q") / stripe)
     at = counts.select(
         "gene", "event_type", F.col("q").alias("position"),
@@ -254,55 +262,96 @@ def position_density(typed: DataFrame, samples: DataFrame, classes: list[str], b
         F.sum(F.when(F.abs(F.col("q") - F.col("position")) <= bandwidth, F.col("m")).otherwise(0)).alias("local_n"),
         *[F.sum(kernel * F.col("ms")[i]).alias(f"_k{i}") for i in range(len(classes))],
     )
-    z = class_sizes(samples, classes).select(F.struct("n", "ns")).scalar()
     masses = F.array(*[F.col(f"_k{i}") for i in range(len(classes))])
     all_mass = F.aggregate(masses, F.lit(0.0), lambda a, b: a + b)
-    wide = near.withColumn("_z", z).withColumn("_mass", masses).withColumn("_all", all_mass)
+    wide = near.withColumn("_z", sizes.select(F.struct("n", "ns")).scalar()).withColumn("_mass", masses).withColumn("_all", all_mass)
     score = F.zip_with(
         "_mass", "_z.ns",
         lambda k, size: _clip(
             F.log((k / size + 1e-5) / ((F.col("_all") - k) / F.greatest(F.col("_z.n") - size, F.lit(1)) + 1e-5)), clip),
     )
-    return wide.select("gene", "event_type", "position", "local_n", score.alias("w"))
+    return wide.select("gene", "event_type", F.col("position").alias("q"), "local_n", score.alias("w"))
+
 
+#: Levels of ``event_levels``.
+EXACT, CODON, TYPE = 0, 1, 2
 
-def backoff_evidence(typed: DataFrame, levels: dict[str, DataFrame], density: DataFrame,
-                     strength: float = 20.0) -> DataFrame:
-    """Per event: exact -> codon -> local density -> type weights, each taking n/(n+strength) of what is left.
 
-    ``levels`` maps exact / codon / gene_type to weighted count tables; the events carry one token column
-    per level and a position.
+def event_levels(typed: DataFrame, samples: DataFrame, classes: list[str]) -> DataFrame:
+    """(level, gene, event, event_type, q, events, support, pos): exact events, codons and types counted in one pass.
+
+    A sample counts once per key; ``events`` also counts samples without a label.  Columns that are not part of a level's key
+    are null; an exact event carries its type and its first integer ``q``, which follow from it.  Events without an integer have no
+    codon, events without a gene are left out.
     """
-    out = typed
-    for level, table in levels.items():
-        out = out.join(
-            table.select(F.col("token").alias(f"{level}_token"), F.col("support").alias(f"{level}_n"),
-                         F.col("w").alias(f"{level}_w")), f"{level}_token", "left")
-    d = density.select("gene", "event_type", F.col("position").alias("pos_key"), "local_n",
-                       F.col("w").alias("density_w"))
-    out = out.join(d, ["gene", "event_type", "pos_key"], "left")
-
-    def reliability(n: Column) -> Column:
-        n = F.coalesce(n.cast("double"), F.lit(0.0))
-        return n / (n + strength)
-
-    out = out.withColumn("a_exact", reliability(F.col("exact_n")))
-    out = out.withColumn("a_codon", (1 - F.col("a_exact")) * reliability(F.col("codon_n")))
-    out = out.withColumn("a_density", (1 - F.col("a_exact") - F.col("a_codon")) * reliability(F.col("local_n")))
-    out = out.withColumn("a_type", 1 - F.col("a_exact") - F.col("a_codon") - F.col("a_density"))
-    return out
-
-
-def mixed_weight(i: int) -> Column:
-    """Evidence of class i after back-off."""
-
-    def part(name: str) -> Column:
-        return F.coalesce(F.col(name)[i], F.lit(0.0))
-
-    return (
-        F.col("a_exact") * part("exact_w") + F.col("a_codon") * part("codon_w")
-        + F.col("a_density") * part("density_w") + F.col("a_type") * part("gene_type_w")
-    )
+    none = F.lit(None)
+    keys = F.array(
+        F.struct(F.lit(EXACT).alias("level"), F.col("event"), F.col("event_type"), F.col("q")),
+        F.struct(F.lit(CODON).alias("level"), none.cast("string").alias("event"), none.cast("string").alias("event_type"), F.col("q")),
+        F.struct(F.lit(TYPE).alias("level"), none.cast("string").alias("event"), F.col("event_type"), none.cast("bigint").alias("q")))
+    placed = typed.filter(F.col("gene").isNotNull() & F.col("event").isNotNull()).withColumn("q", first_integer(F.col("event")))
+    labelled = placed.select("sid", "gene", "event", "event_type", "q").join(samples.select("sid", "label"), "sid", "left")
+    many = labelled.select("sid", "label", "gene", F.inline(keys)).filter((F.col("level") != CODON) | F.col("q").isNotNull())
+    key = ["level", "gene", "event", "event_type", "q"]
+    positives = F.array(*[F.count_if(F.col("label") == c) for c in classes]).alias("pos")
+    return many.distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("events"), F.count("label").alias("support"), positives)
+
+
+def backoff_table(typed: DataFrame, samples: DataFrame, classes: list[str], strength: float = 20.0) -> DataFrame:
+    """(gene, event, events, evidence): one row per distinct event with an array of evidence per class.
+
+    Exact -> codon -> local density -> type weights, each taking n/(n+strength) of what the finer ones left.  Codons, types and
+    densities first meet the table of positions, where a (gene, type) has at most as many rows as the gene has positions; an exact
+    event then meets one row of its position.  What no labelled sample supports weighs zero.
+    """
+    levels = cut_lineage(event_levels(typed, samples, classes))
+    sizes = class_sizes(samples, classes)
+    z = sizes.select(F.struct("n", "ns")).scalar()
+    seen = weigh(levels.withColumn("_z", z).select("*", "_z.n", "_z.ns").drop("_z"), empirical_bayes())
+
+    def level(code: int, name: str, *keys: str) -> DataFrame:
+        return seen.filter((F.col("level") == code) & (F.col("support") > 0)).select(
+            *keys, F.col("support").alias(f"{name}_n"), F.col("w").alias(f"{name}_w"))
+
+    exact = levels.filter(F.col("level") == EXACT)
+    sums = F.array(*[F.sum(F.col("pos")[i]) for i in range(len(classes))])
+    places = exact.groupBy("gene", "event_type", "q").agg(F.sum("support").alias("m"), sums.alias("ms"))
+    density = density_of_counts(places.filter("q is not null and m > 0"), sizes, classes).withColumnsRenamed({"w": "density_w", "local_n": "density_n"})
+    coarse = (
+        places.select("gene", "event_type", "q")
+        .join(level(CODON, "codon", "gene", "q"), ["gene", "q"], "left")
+        .join(density, ["gene", "event_type", "q"], "left")
+        .join(level(TYPE, "type", "gene", "event_type"), ["gene", "event_type"], "left")
+    ).withColumnsRenamed({"gene": "_g", "event_type": "_t", "q": "_q"})
+    fine = seen.filter(F.col("level") == EXACT).select(
+        "gene", "event", "event_type", "q", "events", F.col("support").alias("exact_n"), F.when(F.col("support") > 0, F.col("w")).alias("exact_w"))
+    both = fine.join(coarse, (F.col("gene") == F.col("_g")) & F.col("event_type").eqNullSafe(F.col("_t")) & F.col("q").eqNullSafe(F.col("_q")), "left")
+    return both.select("gene", "event", "events", _backed_off(classes, strength).alias("evidence"))
+
+
+def _backed_off(classes: list[str], strength: float) -> Column:
+    """Array over classes: the finer a level and the more rows support it, the more of the evidence it takes."""
+    left: Column = F.lit(1.0)
+    shares = []
+    for name in ("exact", "codon", "density"):
+        n = F.coalesce(F.col(f"{name}_n").cast("double"), F.lit(0.0))
+        share = left * n / (n + strength)
+        shares.append((name, share))
+        left = left - share
+    shares.append(("type", left))
+
+    def mixed(i: int) -> Column:
+        return sum((share * F.coalesce(F.col(f"{name}_w")[i], F.lit(0.0)) for name, share in shares), F.lit(0.0))
+
+    return F.array(*[mixed(i) for i in range(len(classes))])
+
+
+def backed_off_events(typed: DataFrame, table: DataFrame, classes: list[str]) -> DataFrame:
+    """(sid, gene, event, cls, e): every event with the evidence of ``backoff_table``; frequent events are dealt over several tasks."""
+    keys = ["gene", "event"]
+    joined = salted_join(typed.select("sid", *keys), table, keys, hot_keys(table, keys, "events"), ["sid"])
+    pairs = F.explode(F.arrays_zip(class_array(classes).alias("cls"), F.col("evidence").alias("e"))).alias("x")
+    return joined.select("sid", *keys, pairs).select("sid", *keys, "x.cls", "x.e")
 
 
 def low_rank(weighted: DataFrame, classes: list[str], rank: int) -> DataFrame:
