@@ -259,6 +259,19 @@ def _(fx):
     return tables.labelled_template(fx.samples.select("sid"), pred, "sid")
 
 
+@query("io10b_template_order", """select s.sid, pred as label, row_number() over (order by md5(s.sid::varchar), s.sid) - 1 as place from samples s join (select sid, arg_max(cls, (p, -o)) as pred from (select *, dense_rank() over (order by cls) as o from pr1) z
+ group by 1) p using (sid)""")
+def _(fx):
+    """A template in shuffled order over several files, labelled, written and read back in that order."""
+    path = tables.scratch_path(fx.spark, "template")
+    shuffled = fx.samples.select("sid", F.md5(F.col("sid").cast("string")).alias("h"))
+    shuffled.repartitionByRange(4, "h", "sid").sortWithinPartitions("h", "sid").select("sid").write.option("header", True).csv(f"{path}/in")
+    template = tables.read_placed(fx.spark, f"{path}/in").withColumn("sid", F.col("sid").cast("bigint"))
+    pred = me.predictions(fx.prob(["a"])).select("sid", F.col("pred").alias("label"))
+    back = tables.write_template(tables.checked_template(template, pred, "sid"), f"{path}/out", "sid")
+    return back.select(F.col("sid").cast("bigint").alias("sid"), "label", "place")
+
+
 @query("io11_leaderboard_upsert", """with o as (select 'exp_' || source as experiment, cast(count(*) as double) as score from documents group by 1), f as (select 'exp_' || source as experiment, cast(max(n_chars) as double) as score from documents where lang = 'fr'
  group by 1 union all select 'exp_new', cast(max(n_chars) as double) from documents) select * from o where experiment not in (select experiment from f) union all select * from f""")
 def _(fx):

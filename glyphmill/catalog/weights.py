@@ -306,9 +306,23 @@ def _(fx):
 
 # Evidence shape ------------------------------------------------------------------------------
 
-_SHAPE = f"""with {grid('tok_gene_type')}, w as (select token, cls, s, {EB} as w from g), e as (select sid, token, cls, w, abs(w) as a, s,
+def outside_grid(tok: str) -> str:
+    """``grid`` for every fold over the rows outside it; tokens that no such row has are left out."""
+    return f"""xf as (select fold, token, label as cls, count(*) as k from {tok} join folds using (sid) group by 1, 2, 3),
+ xa as (select token, cls, sum(k) as k from xf group by 1, 2), xt as (select token, sum(k) as s from xf group by 1),
+ xo as (select fold, token, sum(k) as s from xf group by 1, 2), xd as (select distinct fold from folds),
+ xc as (select xd.fold, label as cls, count(*) as cn from xd join folds o on o.fold <> xd.fold group by 1, 2),
+ xn as (select fold, sum(cn) as n from xc group by 1),
+ g as (select xo.fold, xo.token, xc.cls, cast(xt.s - xo.s as double) as s, cast(coalesce(xa.k, 0) - coalesce(xf.k, 0) as double) as pos,
+  cast(cn as double) as cn, cast(n as double) as n from xo join xt using (token) join xc on xc.fold = xo.fold join xn on xn.fold = xo.fold
+  left join xa on xa.token = xo.token and xa.cls = xc.cls left join xf on xf.fold = xo.fold and xf.token = xo.token and xf.cls = xc.cls
+  where xt.s > xo.s)"""
+
+
+_OUTSIDE = f"with {outside_grid('tok_gene_type')}, w as (select fold, token, cls, s, {EB} as w from g)"
+_SHAPE = f"""{_OUTSIDE}, e as (select sid, token, cls, w, abs(w) as a, s,
  row_number() over (partition by sid, cls order by abs(w) desc, token) as r, sum(abs(w)) over (partition by sid, cls) as ta
- from tok_gene_type join w using (token)), sh as (select sid, cls, sum(w) as sum_all, coalesce(sum(w) filter (w > 0), 0) as
+ from tok_gene_type join folds using (sid) join w using (fold, token)), sh as (select sid, cls, sum(w) as sum_all, coalesce(sum(w) filter (w > 0), 0) as
  sum_positive, coalesce(sum(w) filter (w < 0), 0) as sum_negative, coalesce(max(w) filter (w > 0), 0) as max_positive,
  coalesce(min(w) filter (w < 0), 0) as min_negative, count(*) filter (w > 0) as n_positive, count(*) filter (w < 0) as n_negative,
  sum(a) as sum_absolute, coalesce(max(a) / nullif(max(ta), 0), 0) as top1_share, coalesce(sum(a) filter (r <= 3) / nullif(max(ta), 0), 0)
@@ -319,11 +333,16 @@ _SH13 = ["sum_all", "sum_positive", "sum_negative", "max_positive", "min_negativ
          "top1_share", "top3_share", "entropy", "sum_without_dominant", "n_tokens"]
 
 
+def _outside(fx):
+    """Weights of every fold from the rows outside it, so no sample meets a weight its own label went into."""
+    return we.weigh(we.cross_fit_counts(fx.tokens("gene_type"), fx.folds(), fx.classes), we.empirical_bayes())
+
+
 def _evidence(fx, extra=()):
-    weighted = we.weigh(_counts(fx, "gene_type"), we.empirical_bayes())
-    long = we.weights_long(weighted, fx.classes).withColumn(
+    long = we.weights_long(_outside(fx), fx.classes).withColumn(
         "reliability", F.col("support") / (F.col("support") + 20.0))
-    return ev.token_evidence(fx.tokens("gene_type"), long, extra)
+    placed = fx.tokens("gene_type").join(fx.folds().select("sid", "fold"), "sid")
+    return ev.token_evidence(placed, long, extra, ("fold", "token"))
 
 
 def _rounded(df, keys, keep=()):
@@ -340,14 +359,13 @@ _PROBS = """ pk as (select sid, cls, p, row_number() over (partition by sid orde
     _SHAPE + "," + _PROBS + f""" select pk.sid, pk.cls, {', '.join(
         f'coalesce({x}, 0) as {x}' if x[:2] == 'n_' else f'{r6(f"coalesce({x}, 0)")} as {x}' for x in _SH13)},
  {r6('p')} as p, {r6('ln(greatest(p, 1e-12))')} as log_p, cast(rk as int) as probability_rank, {r6('t1 - p')} as gap_to_top,
- {r6('t1 - t2')} as margin, {r6('cls_n / cast(n as double)')} as prior from pk join pm using (sid) left join sh on sh.sid = pk.sid
- and sh.cls = pk.cls join csize on csize.cls = pk.cls cross join ntot""",
+ {r6('t1 - t2')} as margin, {r6('cn / cast(n as double)')} as prior from pk join pm using (sid) left join sh on sh.sid = pk.sid
+ and sh.cls = pk.cls join folds fo on fo.sid = pk.sid join xc on xc.fold = fo.fold and xc.cls = pk.cls join xn on xn.fold = fo.fold""",
 )
 def _(fx):
-    sizes = fx.samples.groupBy(F.col("label").alias("cls")).agg(F.count(F.lit(1)).alias("k"))
-    from pyspark.sql import Window
-    priors = sizes.select("cls", (F.col("k") / F.sum("k").over(Window.partitionBy(F.lit(0)))).alias("prior"))
-    got = ev.candidate_shape(fx.prob(["a"]).select("sid", "cls", "p"), ev.evidence_shape(_evidence(fx)), priors)
+    folds = fx.folds()
+    prob = fx.prob(["a"]).select("sid", "cls", "p").join(folds.select("sid", "fold"), "sid")
+    got = ev.candidate_shape(prob, ev.evidence_shape(_evidence(fx)), we.priors_outside(folds, fx.classes), ("fold",)).drop("fold")
     return _rounded(got, ["sid", "cls"], ("n_positive", "n_negative", "n_tokens", "probability_rank"))
 
 
@@ -365,29 +383,30 @@ def _(fx):
 
 @query(
     "l25c_score_shape",
-    _score_sql("tok_gene_type", EB, "true")
-    + f""", z as (select sid, total / sqrt(tokens) as score from sc) select sid, {r6('sum(greatest(score, 0))')} as positive_sum,
+    f"""{_OUTSIDE}, sc as (select sid, cls, sum(w) / sqrt(count(*)) as score from tok_gene_type join folds using (sid) join w using (fold, token) group by 1, 2),
+ z as (select f.sid, coalesce(score, 0) as score from folds f cross join classes c left join sc on sc.sid = f.sid and sc.cls = c.cls) select sid, {r6('sum(greatest(score, 0))')} as positive_sum,
  {r6('sum(least(score, 0))')} as negative_sum, {r6('sum(abs(score))')} as absolute_sum, {r6('max(greatest(score, 0))')} as
  positive_max, {r6('min(least(score, 0))')} as negative_min, {r6('max(abs(score))')} as absolute_max from z group by 1""",
 )
 def _(fx):
-    weighted = we.weigh(_counts(fx, "gene_type"), we.empirical_bayes())
-    return _rounded(ev.score_shape(we.score_tokens(fx.tokens("gene_type"), weighted, fx.classes)), ["sid"])
+    scores = we.cross_fitted_scores(fx.tokens("gene_type"), fx.folds(), fx.classes, we.empirical_bayes(), None)
+    return _rounded(ev.score_shape(scores), ["sid"])
 
 
 @query(
     "l26_event_evidence",
-    f"""with {grid('tok_gene_type')}, w as (select token, cls, s, {EB} as w from g), b as (select sid, count(distinct gene) as mg
- from events group by 1) select gene, event_type, cls, count(*) as n, {r6('sum(w)')} as contribution, {r6('sum(abs(w))')} as
+    f"""{_OUTSIDE}, b as (select sid, count(distinct gene) as mg from events group by 1), x as (select gene, event_type, c.cls, mg,
+ coalesce(w.w, 0) as w, coalesce(w.s, 0) as s from typed join b using (sid) join folds using (sid) cross join classes c left join w on
+ w.fold = folds.fold and w.cls = c.cls and w.token = gene || '__' || event_type) select gene, event_type, cls, count(*) as n, {r6('sum(w)')} as contribution, {r6('sum(abs(w))')} as
  absolute, {r6('sum(ln(1 + s))')} as log_support, {r6('sum(s / (s + 20))')} as reliability, count(*) filter (w > 0) as
  is_positive, count(*) filter (w < 0) as is_negative, {r6('sum(w / sqrt(greatest(mg, 1)))')} as per_burden,
  count(*) filter (s >= 5) as is_supported, count(*) filter (event_type = 'MISSENSE') as is_missense
- from typed join b using (sid) join w on token = gene || '__' || event_type group by 1, 2, 3""",
+ from x group by 1, 2, 3""",
 )
 def _(fx):
-    weighted = we.weigh(_counts(fx, "gene_type"), we.empirical_bayes())
+    placed = fx.typed.join(fx.folds().select("sid", "fold"), "sid")
     burden = ru.gene_presence(fx.events).groupBy("sid").agg(F.count(F.lit(1)).alias("mutated_genes"))
-    got = ev.event_evidence(fx.typed, weighted, burden, fx.classes)
+    got = ev.event_evidence(placed, _outside(fx), burden, fx.classes, ("fold", "token"))
     kind = c.standard7(F.col("event")).alias("event_type")
     sums = [F.round(F.sum(x), 6).alias(x) for x in ("contribution", "absolute", "log_support", "reliability", "per_burden")]
     flags = [F.sum(x).alias(x) for x in ("is_positive", "is_negative", "is_supported", "is_missense")]

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from glyphmill.functions.cells import EVENT_TYPES
 
 
-def token_evidence(tokens: DataFrame, long_weights: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(sid, token, cls, w): one row per weighted token and class."""
-    return tokens.join(long_weights.select("token", "cls", "w", *extra), "token")
+def token_evidence(tokens: DataFrame, long_weights: DataFrame, extra: tuple[str, ...] = (), keys: tuple[str, ...] = ("token",)) -> DataFrame:
+    """(sid, token, cls, w): one row per weighted token and class; ``keys`` may add a fold, so that each sample meets weights of the other folds."""
+    return tokens.join(long_weights.select(*keys, "cls", "w", *extra), list(keys))
 
 
 def evidence_shape(evidence: DataFrame) -> DataFrame:
@@ -77,24 +77,30 @@ def score_shape(scores: DataFrame) -> DataFrame:
     )
 
 
-def candidate_shape(prob: DataFrame, shape: DataFrame, priors: DataFrame) -> DataFrame:
-    """The thirteen evidence summaries plus six of the probability table: nineteen per (sid, cls)."""
+def candidate_shape(prob: DataFrame, shape: DataFrame, priors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The thirteen evidence summaries plus six of the probability table: nineteen per (sid, cls).
+
+    ``by``: columns of ``prob`` (a fold) that say which of the priors belong to a sample.
+    """
     w = Window.partitionBy("sid").orderBy(F.desc("p"), "cls")
     every = Window.partitionBy("sid")
     ranked = prob.withColumn("probability_rank", F.row_number().over(w))
     top1 = F.max(F.when(F.col("probability_rank") == 1, F.col("p"))).over(every)
     top2 = F.max(F.when(F.col("probability_rank") == 2, F.col("p"))).over(every)
     base = ranked.select(
-        "sid", "cls", "p", F.log(F.greatest("p", F.lit(1e-12))).alias("log_p"), "probability_rank",
+        "sid", *by, "cls", "p", F.log(F.greatest("p", F.lit(1e-12))).alias("log_p"), "probability_rank",
         (top1 - F.col("p")).alias("gap_to_top"), (top1 - top2).alias("margin"))
     summaries = [c for c in shape.columns if c not in ("sid", "cls")]
-    return base.join(shape, ["sid", "cls"], "left").na.fill(0, summaries).join(priors, "cls")
+    return base.join(shape, ["sid", "cls"], "left").na.fill(0, summaries).join(priors, [*by, "cls"])
 
 
-def event_evidence(typed: DataFrame, counts: DataFrame, burden: DataFrame, classes: list[str]) -> DataFrame:
-    """One row per (sid, gene, event, cls) with the contribution of its gene-type token."""
+def event_evidence(typed: DataFrame, counts: DataFrame, burden: DataFrame, classes: list[str], keys: tuple[str, ...] = ("token",)) -> DataFrame:
+    """One row per (sid, gene, event, cls) with the contribution of its gene-type token; zero where the token has no weight.
+
+    ``keys`` may add a fold that the events and the weights carry.
+    """
     keyed = typed.withColumn("token", F.concat_ws("__", "gene", "event_type"))
-    joined = keyed.join(counts.select("token", "w", "support"), "token", "left").join(burden, "sid")
+    joined = keyed.join(counts.select(*keys, "w", "support"), list(keys), "left").join(burden, "sid")
     zipped = F.explode(F.arrays_zip(
         F.array(*[F.lit(c) for c in classes]).alias("cls"),
         F.coalesce("w", F.array(*[F.lit(0.0)] * len(classes))).alias("w")))

@@ -62,6 +62,14 @@ def cross_fit_counts(tokens: DataFrame, folds: DataFrame, classes: list[str], fo
     return rest.join(left_out, [*outer, fold])
 
 
+def priors_outside(folds: DataFrame, classes: list[str]) -> DataFrame:
+    """(fold, cls, prior): class shares of the labelled rows outside each fold."""
+    every = Window.partitionBy(F.lit(0))  # a row per fold
+    rest = [(F.sum(F.col("ns")[i]).over(every) - F.col("ns")[i]) / (F.sum("n").over(every) - F.col("n")) for i in range(len(classes))]
+    shares = class_sizes(folds, classes, ["fold"]).select("fold", F.arrays_zip(class_array(classes).alias("cls"), F.array(*rest).alias("prior")).alias("x"))
+    return shares.select("fold", F.inline("x"))
+
+
 def weigh(counts: DataFrame, formula: Formula) -> DataFrame:
     """Adds ``w``: one weight per class."""
     w = F.zip_with(

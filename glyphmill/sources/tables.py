@@ -1,7 +1,7 @@
 """Scans and sinks."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,8 +38,6 @@ def unpivot_cells(df: DataFrame, ids: list[str], features: list[str], reference:
 
 def head_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     """The first n rows of every group; Spark keeps n rows per task and group before the shuffle."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(group).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
@@ -95,6 +93,59 @@ def labelled_template(template: DataFrame, predictions: DataFrame, key: str) ->
     return template.join(predictions, key, "left")
 
 
+def read_placed(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
+    """A header CSV or Parquet table with ``place``, the 0-based number of each row in file order.
+
+    Files count in the order of their names.  Parquet files know a row's index.  A text file is read in blocks, each by one task from its start to
+    its end, so the block's offset and a number that grows inside the task give the order; rows are numbered inside a block, and only the table of
+    block sizes is summed up.  A file that cannot be split (gzip) is one block.
+    """
+    if kind == "parquet":
+        rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.lit(0).alias("_block"), F.col("_metadata.row_index").alias("_row"))
+    elif kind == "csv":
+        rows = read_wide_csv(spark, path).select(
+            "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+        inside = Window.partitionBy("_file", "_block").orderBy("_row")  # at most spark.sql.files.maxPartitionBytes of text
+        rows = rows.withColumn("_row", F.row_number().over(inside) - 1)
+    else:
+        raise ValueError(f"no order is known for files of kind {kind!r}")
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    sizes = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    return rows.join(offsets, ["_file", "_block"]).withColumn("place", F.col("_row") + F.col("_o")).drop("_file", "_block", "_row", "_o")
+
+
+def checked_template(template: DataFrame, predictions: DataFrame, key: str, label: str = "label") -> DataFrame:
+    """``labelled_template`` of a template with places, or ValueError: every key must occur once in the template and once among the predictions,
+    with a label, and no prediction may lack a row of the template.  One aggregate by key finds all four faults.
+    """
+    here = template.select(key, F.lit(1).alias("_t"), F.lit(0).alias("_p"), F.lit(0).alias("_l"))
+    there = predictions.select(key, F.lit(0).alias("_t"), F.lit(1).alias("_p"), F.col(label).isNotNull().cast("int").alias("_l"))
+    per = here.unionByName(there).groupBy(key).agg(*[F.sum(c).alias(c) for c in ("_t", "_p", "_l")])
+    faults = per.agg(
+        F.count_if((F.col("_t") > 1) | ((F.col("_t") > 0) & F.col(key).isNull())).alias("repeated or null in the template"),
+        F.count_if(F.col("_p") > 1).alias("predicted more than once"),
+        F.count_if((F.col("_t") > 0) & (F.col("_l") == 0)).alias("without a predicted label"),
+        F.count_if(F.col("_t") == 0).alias("not in the template")).first().asDict()
+    if any(faults.values()):
+        raise ValueError("template and predictions do not agree: " + ", ".join(f"{n} keys {what}" for what, n in faults.items() if n))
+    return labelled_template(template, predictions.select(key, label), key)
+
+
+def write_template(labelled: DataFrame, path: str, key: str, label: str = "label") -> DataFrame:
+    """Write (key, label) as header CSV in the template's order; what was written is read back and compared place by place.
+
+    Range partitions keep the order across the part files.  Returns the rows read back, all strings, with their places.
+    """
+    labelled.repartitionByRange("place").sortWithinPartitions("place").select(key, label).write.mode("overwrite").option("header", True).csv(path)
+    back = read_placed(labelled.sparkSession, path)
+    wanted = labelled.select("place", F.col(key).cast("string").alias("_k"), F.col(label).cast("string").alias("_l"))
+    wrong = wanted.join(back, "place", "full").filter(~(F.col(key).eqNullSafe(F.col("_k")) & F.col(label).eqNullSafe(F.col("_l")))).count()
+    if wrong:
+        raise ValueError(f"{wrong} rows of {path} differ from what was to be written at their place")
+    return back
+
+
 def upsert(board: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """Replace rows with the same key, keep the others."""
     return board.join(fresh.select(key), key, "left_anti").unionByName(fresh)

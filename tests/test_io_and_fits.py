@@ -137,3 +137,28 @@ def test_fits_run_to_the_default_tolerance(spark):
     from pyspark.ml.classification import LogisticRegression
 
     assert ft.TOLERANCE <= LogisticRegression().getTol()
+
+
+def test_template_keeps_its_order_and_faults_raise(spark, tmp_path):
+    names = [f"s{(i * 37) % 101:03d}" for i in range(101)]
+    for part, chunk in enumerate((names[:40], names[40:41], names[41:])):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"part-{part}.csv").write_text("sid\n" + "".join(f"{x}\n" for x in chunk))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")  # many blocks a file
+    try:
+        template = tables.read_placed(spark, str(tmp_path / "in"))
+        assert [r.sid for r in template.orderBy("place").collect()] == names
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    template = spark.createDataFrame(list(enumerate(names)), "place long, sid string")
+    pred = spark.createDataFrame([(x, "A" if i % 2 else "B") for i, x in enumerate(sorted(names))], "sid string, label string")
+    back = tables.write_template(tables.checked_template(template, pred, "sid"), str(tmp_path / "out"), "sid")
+    assert [r.sid for r in back.orderBy("place").collect()] == names
+    back.select("place", "sid").write.parquet(str(tmp_path / "columnar"))
+    again = tables.read_placed(spark, str(tmp_path / "columnar"), "parquet")
+    assert sorted(r.place for r in again.select("place").collect()) == list(range(101))
+    first = pred.filter("sid = 's000'")
+    for rows, guess in ((template, pred.filter("sid <> 's000'")), (template, pred.unionByName(first)), (template.filter("sid <> 's000'"), pred),
+                        (template.unionByName(template.filter("sid = 's000'")), pred), (template, pred.withColumn("label", F.expr("nullif(label, 'A')")))):
+        with pytest.raises(ValueError):
+            tables.checked_template(rows, guess, "sid")

@@ -119,3 +119,67 @@ def test_validated_pairs_and_grid():
     assert [r[:2] for r in pr.validated_pairs(rows)] == [("a", "b"), ("c", "e")]
     grid = pr.compositions(5, 3)
     assert len(grid) == 21 and all(sum(g) == 5 for g in grid)
+
+
+def test_backed_off_evidence_against_brute_force(spark):
+    """Events without an integer, of unlabelled samples, and many events of one codon."""
+    rng = np.random.default_rng(3)
+    kinds = [("R5C", "MISSENSE"), ("R5H", "MISSENSE"), ("Q9*", "NONSENSE"), ("K30N", "MISSENSE"), ("SPLICE", "SPLICE"), ("K900N", "MISSENSE")]
+    labels = {i: [*CLASSES, None][int(rng.integers(0, 7)) % 3] for i in range(60)}
+    rows = sorted({(i, "AB"[int(rng.integers(0, 2))] + "1", *kinds[int(rng.integers(0, len(kinds)))]) for i in range(60) for _ in range(4)})
+    typed = spark.createDataFrame(rows, "sid long, gene string, event string, event_type string")
+    samples = spark.createDataFrame(list(labels.items()), "sid long, label string")
+    table = we.backoff_table(typed, samples, CLASSES)
+    got = {(r.gene, r.event): (r.events, r.evidence) for r in table.collect()}
+
+    size = {c: sum(v == c for v in labels.values()) for c in CLASSES}
+    n = sum(size.values())
+    place = {e: int("".join(ch for ch in e if ch.isdigit()) or -1) for e, _ in kinds}
+
+    def weight(sids, c):
+        s, pos = sum(labels[i] is not None for i in sids), sum(labels[i] == c for i in sids)
+        if not s:
+            return 0, 0.0
+        p0 = (s + 1) / (n + 2)
+        logit = lambda x: np.log(x / (1 - x))
+        return s, float(np.clip(logit((pos + 20 * p0) / (size[c] + 20)) - logit((s - pos + 20 * p0) / (n - size[c] + 20)), -4, 4))
+
+    assert set(got) == {(g, e) for _, g, e, _ in rows}
+    for gene, event, kind in {r[1:] for r in rows}:
+        for i, c in enumerate(CLASSES):
+            q = place[event]
+            levels = [weight({r[0] for r in rows if r[1] == gene and r[2] == event}, c)]
+            levels.append(weight({r[0] for r in rows if r[1] == gene and place[r[2]] == q}, c) if q >= 0 else (0, 0.0))
+            near = [(labels[r[0]], abs(place[r[2]] - q)) for r in rows if r[1] == gene and r[3] == kind and labels[r[0]] is not None]
+            mass = {k: sum(np.exp(-0.5 * (d / 20) ** 2) for label, d in near if label == k) for k in CLASSES}
+            ratio = np.log((mass[c] / size[c] + 1e-5) / ((sum(mass.values()) - mass[c]) / max(n - size[c], 1) + 1e-5))
+            known = q >= 0 and any(d == 0 for _, d in near)
+            levels.append((sum(d <= 20 for _, d in near), float(np.clip(ratio, -4, 4))) if known else (0, 0.0))
+            left, want = 1.0, 0.0
+            for s, w in levels:
+                want, left = want + left * s / (s + 20) * w, left - left * s / (s + 20)
+            want += left * weight({r[0] for r in rows if r[1] == gene and r[3] == kind}, c)[1]
+            assert abs(got[gene, event][1][i] - want) < 1e-9
+        assert got[gene, event][0] == len([r for r in rows if r[1:3] == (gene, event)])
+    placed = we.backed_off_events(typed, table, CLASSES)
+    assert placed.count() == len(rows) * len(CLASSES)
+    assert we.backoff_table(typed.limit(0), samples, CLASSES).count() == 0
+
+
+def test_relabelling_a_held_fold_changes_none_of_its_evidence(spark):
+    from glyphmill.operators import evidence as ev
+
+    samples, tokens = tables(spark)
+    folds = fo.stratified_folds(samples, 4)
+    flipped = folds.withColumn("label", F.when(F.col("fold") == 1, F.lit("A")).otherwise(F.col("label")))
+    prob = samples.select("sid", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("cls")).withColumn("p", F.lit(0.5))
+
+    def shape(f):
+        long = we.weights_long(we.weigh(we.cross_fit_counts(tokens, f, CLASSES), we.empirical_bayes()), CLASSES)
+        found = ev.evidence_shape(ev.token_evidence(tokens.join(f.select("sid", "fold"), "sid"), long, (), ("fold", "token")))
+        rows = ev.candidate_shape(prob.join(f.select("sid", "fold"), "sid"), found, we.priors_outside(f, CLASSES), ("fold",))
+        return {(r.sid, r.cls): tuple(np.round(r[3:], 9)) for r in rows.collect()}, {(r.sid, r.cls): r.fold for r in rows.collect()}
+
+    (a, fold), (b, _) = shape(folds), shape(flipped)
+    assert a.keys() == b.keys() and len(a) == 48
+    assert all(a[k] == b[k] for k in a if fold[k] == 1) and any(a[k] != b[k] for k in a if fold[k] != 1)
