@@ -153,6 +153,17 @@ def _(fx):
     return got.withColumn("z", F.round("z", 6))
 
 
+@query("c6b_saved_model")
+def _(fx):
+    """All outer folds, each scored by a state with its model that was saved and read again."""
+    def scored(split):
+        folder = scratch_path(fx.spark, "model")
+        co.fit_saved_model(fx.typed, split.filter("fit").select("sid", "label"), fx.classes, folder)
+        return co.apply_saved_model(fx.typed, split.filter("not fit").select("sid"), folder)
+
+    return _every_fold(fx, scored).withColumn("p", F.round("p", 4))
+
+
 @query("c7_hierarchical_case")
 def _(fx):
     got = co.hierarchical_case(fx.typed, fx.folds(), fx.classes, "all_residual")

@@ -18,7 +18,7 @@ WITHOUT_TWIN = {
     "l9_low_rank_weights", "l24_pruned_columns", "n3_confusion_groups", "b13_validated_pairs", "ml1_multinomial_logistic", "ml2_one_vs_rest_logistic",
     "ml3_naive_bayes_bernoulli", "ml3_naive_bayes_complement", "ml3_naive_bayes_multinomial", "ml4_ratio_scaled_one_vs_rest", "ml5_truncated_svd",
     "ml7_c1_out_of_fold_baseline", "c1_baseline_metrics", "ml8_important_columns", "c4_three_way_vote", "c5_selective_evidence_bag",
-    "c6_saved_evidence_bundle", "c7_hierarchical_case", "c8_candidate_ranker",
+    "c6_saved_evidence_bundle", "c6b_saved_model", "c7_hierarchical_case", "c8_candidate_ranker",
     "f5_balanced_grouped_folds", "b4_blends_in_all_orders",  # greedy picks, against brute force in test_similarity and test_blends
 }
 

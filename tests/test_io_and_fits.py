@@ -162,3 +162,22 @@ def test_template_keeps_its_order_and_faults_raise(spark, tmp_path):
                         (template.unionByName(template.filter("sid = 's000'")), pred), (template, pred.withColumn("label", F.expr("nullif(label, 'A')")))):
         with pytest.raises(ValueError):
             tables.checked_template(rows, guess, "sid")
+
+
+def test_saved_model_gives_its_own_probabilities_in_another_session(spark, tmp_path):
+    fx, folder = Fixtures(spark, SF), str(tmp_path / "model")
+    typed = fx.typed
+    split = fx.folds()
+    fit, held = split.filter("fold <> 0").select("sid", "label"), split.filter("fold = 0").select("sid")
+    co.fit_saved_model(typed, fit, fx.classes, folder, iterations=20)
+    a = {(r.sid, r.cls): r.p for r in co.apply_saved_model(typed, held, folder).collect()}
+    other = Fixtures(spark.newSession(), SF)
+    rows = other.folds().filter("fold = 0").select("sid")
+    unseen = other.typed.unionByName(other.typed.limit(1).withColumn("event", F.lit("NEVER1SEEN")))
+    b = {(r.sid, r.cls): r.p for r in co.apply_saved_model(unseen, rows, folder).collect()}
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-12  # sums differ in their last digit by the order of rows
+    assert len(a) == held.count() * len(fx.classes)
+    assert abs(sum(a.values()) - held.count()) < 1e-6
+    spark.createDataFrame([(99, fx.classes, {})], "version int, classes array<string>, schemas map<string, string>").write.mode("overwrite").json(f"{folder}/state")
+    with pytest.raises(ValueError):
+        co.apply_saved_model(typed, held, folder)
