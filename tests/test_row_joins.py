@@ -44,3 +44,8 @@ def test_tasks_follow_the_rows_they_make(spark, monkeypatch):
     df = spark.range(1000).withColumnRenamed("id", "sid")
     assert tables.dealt(df, "sid", 10).rdd.getNumPartitions() == 100
     assert tables.dealt(df, "sid", 10).distinct().count() == 1000
+
+
+def test_events_broadcast_no_orders_or_parts(spark):
+    events = Fixtures(spark, "/root/testdata/sf0.001").events
+    assert "BroadcastHashJoin" not in plan(events)
