@@ -133,3 +133,14 @@ def test_shingle_sets_follow_the_word_rule():
     s = near_dedup.shingle_sets(texts, 3)
     assert (s[0] == s[1]).all() and len(s[0]) == 2 and len(s[2]) == len(s[3]) == 0
     assert (s[4] == s[5]).all() and len(s[4]) == 1 and len(s[6]) == 1
+
+
+def test_columns_named_like_the_filter_stay_as_they_are(spark):
+    from pyspark.sql import functions as F
+
+    from glyphmill.llm.base import drop_rows
+
+    names = ["_gm_in", "_GM_k0", "_gm_slot", "_gm_row", "_gm_map"]
+    docs = spark.range(4).withColumns({c: F.lit("own") for c in names})
+    got = drop_rows(docs, {"id": F.col("id")}, spark.range(1), once=spark.range(1, 2))
+    assert sorted(tuple(r) for r in got.collect()) == [(i, *["own"] * 5) for i in (1, 2, 3)]
