@@ -230,3 +230,33 @@ def test_units_are_dealt_as_a_plain_search_would():
         for x in share[u]:
             held[want[u]][x] += share[u][x]
     assert got == want
+
+
+def test_overlaps_of_packed_sets(spark, monkeypatch):
+    """Sets in one and in several rows, a repeated member, members and ids that are null."""
+    monkeypatch.setattr(si, "CELL_ROWS", 40)
+    sets = {0: set(range(300)), 1: set(range(0, 300, 2)), 2: set(range(0, 300, 7)), 3: {1, 2, 3}, 4: {2, 3, 999}, 5: {777}}
+    rows = [(i, str(x)) for i, s in sets.items() for x in s] + [(3, "2"), (5, None)] + [(None, str(x)) for x in range(100)]
+    packed = si.packed_sets(spark.createDataFrame(rows, "id long, member string"))
+    held = {r["id"]: (r["size"], r["parts"]) for r in packed.groupBy("id", "size").agg(F.count(F.lit(1)).alias("parts")).collect()}
+    assert {i: size for i, (size, _) in held.items()} == {0: 300, 1: 150, 2: 43, 3: 4, 4: 3, 5: 2, None: 100}
+    assert held[0][1] > held[1][1] > 1 and held[None][1] > 1 and held[3][1] == 1
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    size = {i: held[i][0] for i in sets}
+    frame_of = spark.createDataFrame([(a, b, size[a], size[b]) for a, b in pairs], "a long, b long, size_a long, size_b long")
+    got = {(r["a"], r["b"]): r["common"] for r in si._count_common(frame_of, packed).collect()}
+    copies = lambda a, b: sum(1 + (x == 2 and 3 in (a, b)) for x in sets[a] & sets[b])
+    assert got == {(a, b): copies(a, b) for a, b in pairs if copies(a, b)}
+
+
+def test_sets_move_packed(spark):
+    """A checkpointed set takes one row, and only members that a partner of the wanted cosine could share are looked up."""
+    packed = si.packed_sets(words_frame(spark, clusters(6, 2, 30)))
+    assert packed.count() == 60
+    looked, original = [], si.salted_join
+    try:
+        si.salted_join = lambda left, *rest: looked.append(left) or original(left, *rest)
+        assert si.nearest_partners(packed, 0.9).count() == 60
+    finally:
+        si.salted_join = original
+    assert looked[0].count() < 0.3 * si._members(packed).count()
