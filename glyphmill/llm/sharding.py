@@ -23,7 +23,8 @@ WHOLE = 4
 CELLS = 256
 ROW_OVERHEAD = 16
 _ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-TOKEN = rf"[{_ALONE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_ALONE}]]{{1,4}}|[^\s\p{{L}}\p{{M}}\p{{N}}]"
+#: Looking up a script is dear, so plain letters and digits come first; what starts no word and is no space is a token by itself.
+TOKEN = rf"[A-Za-z0-9[\p{{L}}\p{{M}}\p{{N}}&&[^{_ALONE}]]]{{1,4}}|\S"
 
 
 def place(sizes: np.ndarray, shards: int) -> np.ndarray:
