@@ -14,10 +14,14 @@ from glyphmill.functions import cells
 from glyphmill.functions.hashing import md5_int
 from glyphmill.operators import folds
 from glyphmill.operators.ranks import by_rows
-from glyphmill.sources.tables import dealt, spread, table
+from glyphmill.session import cut_lineage
+from glyphmill.sources.tables import dealt, dealt_over, spread, table
 
 LETTERS = cells.AMINO
 
+#: Line items behind the events of one task; queries make up to ten rows of each event.
+EVENT_ROWS = 250_000
+
 # Row-level text of the raw-cell fixture (plain SQL so that any engine can evaluate the same text).
 NOTATION = """
 case (l_orderkey + l_partkey * 3 + l_suppkey) % 32
@@ -73,22 +77,32 @@ class Fixtures:
 
     @cached_property
     def events(self) -> DataFrame:
-        """Distinct (sid, gene, event)."""
+        """Distinct (sid, gene, event), dealt by sample.
+
+        The number of tasks follows the line items, not the compressed bytes that were shuffled, so a task holds about ``EVENT_ROWS`` of them
+        at any size, and what is grouped by sample afterwards needs no further shuffle.
+        """
         position = F.expr("cast(l_partkey % 1500 + 1 as string)")
         tail = F.expr("case when l_linenumber = 7 then 'FS' when l_linenumber = 6 then '*' end")
         orders = self.t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
         parts = self.t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
         rows = by_rows(by_rows(self.line_items, orders, ["l_orderkey"]), parts, ["l_partkey"])
-        return rows.select(
+        found = rows.select(
             F.col("o_custkey").alias("sid"),
             F.col("p_brand").alias("gene"),
             F.concat(letter("l_partkey"), position, F.coalesce(tail, letter("l_suppkey"))).alias("event"),
-        ).distinct()
+        )
+        return dealt_over(found, "sid", -(-self.t("lineitem").count() // EVENT_ROWS)).distinct()
 
     @cached_property
     def typed(self) -> DataFrame:
         return typed_events(self.events)
 
+    @cached_property
+    def parsed(self) -> DataFrame:
+        """``typed``, joined and parsed once: for queries that read it more than once."""
+        return cut_lineage(self.typed)
+
     def tokens(self, level: str = "gene_type") -> DataFrame:
         """Distinct (sid, token)."""
         return token_table(self.typed, level)

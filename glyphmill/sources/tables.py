@@ -26,7 +26,11 @@ def dealt(df: DataFrame, key: str, times: int) -> DataFrame:
 
     What is grouped by the key afterwards needs no further shuffle, so only the rows themselves move, not what they become.
     """
-    tasks = -(-df.count() * times // TASK_ROWS)
+    return dealt_over(df, key, -(-df.count() * times // TASK_ROWS))
+
+
+def dealt_over(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    """Rows dealt by ``key`` over ``tasks`` tasks, or as many as there are cores if that is more."""
     return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), key)
 
 
