@@ -147,8 +147,8 @@ def tf_idf(documents: DataFrame, n_documents: Column, min_df: int = 3) -> DataFr
     idf = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
     raw = documents.join(df, "token").withColumn("n", n_documents).select(
         "sid", "token", ((1.0 + F.log(F.col("tf").cast("double"))) * idf).alias("v"))
-    norms = raw.groupBy("sid").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return raw.join(norms, "sid").select("sid", "token", (F.col("v") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("sid")))  # the weighted rows move once
+    return raw.filter(F.col("sid").isNotNull()).select("sid", "token", (F.col("v") / norm).alias("weight"))
 
 
 def pool_vectors(vectors: DataFrame, group: str, array: str) -> DataFrame:
