@@ -7,6 +7,7 @@ from glyphmill.catalog.base import query, r6
 from glyphmill.functions import cells as c
 from glyphmill.operators import evidence as ev, ranks, rollups as ru, weights as we
 from glyphmill.session import cut_lineage
+from glyphmill.sources.fixtures import token_table
 
 
 def grid(tok: str, name: str = "g") -> str:
@@ -176,8 +177,8 @@ _FINE_AA = ("select sid, gene || '__' || ref || '>' || alt as token, gene || '__
             " and ref <> alt and regexp_matches(ref || alt, '^[ACDEFGHIKLMNPQRSTVWY]+$')")
 
 
-def _fine(fx):
-    t = fx.typed.filter("position > 0")
+def _fine(fx, typed=None):
+    t = (fx.typed if typed is None else typed).filter("position > 0")
     label = F.format_string("P50_%03d", c.position_bin(F.col("position")))
     return t.select("sid", F.concat_ws("__", "gene", "event_type", label).alias("token"),
                     F.concat_ws("__", "gene", "event_type").alias("parent")).distinct()
@@ -204,9 +205,9 @@ def _(fx):
     f" {r6(clip('(a.w - b.w) * s / (s + 20)'))} as w from a join fm using (token) join b using (parent, cls)",
 )
 def _(fx):
-    fine = _fine(fx)
+    fine = cut_lineage(_fine(fx, fx.parsed))
     child = we.token_counts(fine.select("sid", "token"), fx.samples, fx.classes)
-    parent = _counts(fx, "gene_type")
+    parent = we.token_counts(token_table(fx.parsed, "gene_type"), fx.samples, fx.classes)
     got = we.residual_weights(child, parent, fine.select("token", "parent").distinct())
     long = we.weights_long(got.drop("parent"), fx.classes)
     return long.select("token", "cls", "support", F.round("w", 6).alias("w"))
