@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.catalog.base import query, r6
 from glyphmill.operators import folds as fo, ranks, weights as we
+from glyphmill.session import cut_lineage
 
 _RN = "row_number() over (partition by {p} order by md5({k}))"
 
@@ -83,7 +84,7 @@ def _(fx):
     f" from oof where fold <> 0 group by 1) select sid, fold, cls, {r6('(score - m) / d')} as z from oof join st using (cls)",
 )
 def _(fx):
-    got = we.cross_fitted_scores(fx.tokens("gene_type"), fx.folds(), fx.classes, we.log_odds())
+    got = cut_lineage(we.cross_fitted_scores(fx.tokens("gene_type"), fx.folds(), fx.classes, we.log_odds()))  # scaled by itself
     z = we.standardise(got.filter("fold <> 0"), got, ["cls"])
     return z.select("sid", "fold", "cls", F.round("z", 6).alias("z"))
 
@@ -94,7 +95,7 @@ def _(fx):
     f" select sid, cls, {r6('(score - m) / d')} as z from oof join st using (cls)",
 )
 def _(fx):
-    got = we.cross_fitted_scores(fx.tokens("gene_type"), fx.folds(), fx.classes, we.log_odds())
+    got = cut_lineage(we.cross_fitted_scores(fx.tokens("gene_type"), fx.folds(), fx.classes, we.log_odds()))  # scaled by itself
     z = we.standardise(got, got, ["cls"], floor="max")
     return z.select("sid", "cls", F.round("z", 6).alias("z"))
 
