@@ -145,9 +145,8 @@ def doc_words(fx):
 
 
 def _word_columns(fx):
-    """Words of documents without those whose column equals an earlier word's: duplicates go before correlations are looked for."""
-    words = doc_words(fx)
-    return words.join(si.first_of_equal(words).filter("id = first").select(F.col("id").alias("token")), "token", "left_semi")
+    """(id): words of documents without those whose column equals an earlier word's: duplicates go before correlations are looked for."""
+    return cut_lineage(si.first_of_equal(doc_words(fx)).filter("id = first").select("id"))
 
 
 def _n_docs(fx):
@@ -170,15 +169,15 @@ def _(fx):
  (n - ca) * (n - cb)) as phi from p, n where ca < n and cb < n) select a, b, common, {r6('phi')} as phi from q where abs(phi) >= 0.95""")
 def _(fx):
     """Positive and negative phi among distinct columns; pairs that never meet cannot reach -0.95 on this data, as the twin assumes."""
-    return _round(si.correlated_tokens(_word_columns(fx), _n_docs(fx), 0.95), "phi")
+    return _round(si.correlated_tokens(doc_words(fx), _n_docs(fx), 0.95, _word_columns(fx)), "phi")
 
 
 @query("l24_pruned_columns")
 def _(fx):
     """Columns left after dropping those correlated with an earlier kept one (sequential rule, no SQL twin)."""
-    words = cut_lineage(_word_columns(fx))
-    edges = si.correlated_tokens(words, _n_docs(fx), 0.95)
-    return si.keep_earlier(words.select(F.col("token").alias("id")), edges)
+    words = _word_columns(fx)
+    edges = si.correlated_tokens(doc_words(fx), _n_docs(fx), 0.95, words)
+    return si.keep_earlier(words, edges)
 
 
 @query("l27_class_weights", f"""with k as (select count(*) as k from classes) select cls, cls_n as n, {r6('n / cast(k * cls_n as double)')}

@@ -590,17 +590,21 @@ def first_of_equal(tokens: DataFrame) -> DataFrame:
     return keyed.join(keyed.groupBy("profile").agg(F.min("id").alias("first")), "profile").select("id", "first")
 
 
-def correlated_tokens(tokens: DataFrame, n_rows: int, threshold: float) -> DataFrame:
+def correlated_tokens(tokens: DataFrame, n_rows: int, threshold: float, among: DataFrame | None = None) -> DataFrame:
     """All token pairs whose presence columns have |phi| >= threshold, exactly: (a < b, common, phi).
 
     A strong positive phi needs a large overlap, so tokens are treated as sets of samples and only their
     prefixes meet.  A strong negative phi needs odds(a) * odds(b) >= t^2, hence a token present in about
     half of all rows or more; there are few of those (a row has a bounded number of tokens), and they are
-    counted against every token directly.
+    counted against the tokens whose odds suffice.  ``among`` (id): only these tokens take part; they are told apart when columns are packed, so
+    that rows do not move by token for it.
     """
     t2 = threshold * threshold
     sets = tokens.select(F.col("token").alias("id"), F.col("sid").alias("member"))
     packed = packed_sets(sets).filter(F.col("size") < n_rows)
+    if among is not None:
+        every, packed = packed, cut_lineage(by_rows(packed, among.select("id").distinct(), ["id"], "left_semi"))
+        drop_table(every)
     ordered = _members(packed)
     s, n = F.col("size").cast("double"), float(n_rows)
     smallest = t2 * s * n / (n - s * (1 - t2))  # least partner support that can still reach the threshold
@@ -613,10 +617,13 @@ def correlated_tokens(tokens: DataFrame, n_rows: int, threshold: float) -> DataF
     dense_odds = threshold * (1 - 1e-9)
     dense = ordered.filter(F.col("size") / (n - F.col("size")) >= dense_odds)
     x = dense.select(F.col("id").alias("x"), F.col("size").alias("sx"), "member")
-    y = ordered.select(F.col("id").alias("y"), F.col("size").alias("sy"), "member")
+    plain, most = _plain(packed), packed.filter(F.col("size") / (n - F.col("size")) >= dense_odds).agg(F.max("size")).first()[0]
+    odds_y = F.col("size") / (n - F.col("size"))
+    enough = F.lit(most is not None) if most is None or not plain else odds_y * (most / (n - most)) >= t2 * (1 - 1e-6)  # with the densest partner
+    y = ordered.filter(enough).select(F.col("id").alias("y"), F.col("size").alias("sy"), "member")
     # the least phi of two sizes is that of the smallest overlap they can have
     sx, sy = F.col("sx").cast("double"), F.col("sy").cast("double")
-    opposed = F.lit(not _plain(packed)) | ((sx * sy >= t2 * (n - sx) * (n - sy) - 1e-6) & ((n - sx) * (n - sy) >= t2 * sx * sy - 1e-6))
+    opposed = F.lit(not plain) | ((sx * sy >= t2 * (n - sx) * (n - sy) - 1e-6) & ((n - sx) * (n - sy) >= t2 * sx * sy - 1e-6))
     counted = x.join(y, "member").filter((F.col("x") != F.col("y")) & opposed).groupBy("x", "y", "sx", "sy").agg(F.count(F.lit(1)).alias("common"))
     flip = F.col("x") > F.col("y")
     direct = counted.select(

@@ -65,3 +65,14 @@ def test_few_members_are_broadcast(spark, monkeypatch):
         monkeypatch.setattr(si, "FREQUENT", frequent)
         seen.append(sorted((str(r["id"]), r["size"], r["part"], tuple(r["members"]), r["plain"]) for r in si.packed_sets(table).collect()))
     assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 31
+
+
+def test_correlated_tokens_among_some(spark):
+    """Tokens that take part, told by a table, give the pairs that their own rows give; dense ones meet only partners of enough odds."""
+    n = 60
+    sets = {"half": range(0, 30), "other": range(30, 60), "copy": range(0, 30), "most": range(0, 55), "few": range(55, 60), "near": [*range(0, 29), 40], "rare": [1, 2]}
+    rows = spark.createDataFrame([(sid, token) for token, sids in sets.items() for sid in sids], "sid long, token string")
+    chosen = spark.createDataFrame([(x,) for x in sets if x != "copy"] * 2, "id string")
+    got = {(r["a"], r["b"], r["common"]) for r in si.correlated_tokens(rows, n, 0.85, chosen).collect()}
+    assert got == {(r["a"], r["b"], r["common"]) for r in si.correlated_tokens(rows.filter("token <> 'copy'"), n, 0.85).collect()}
+    assert got == {("half", "other", 0), ("half", "near", 29), ("near", "other", 1), ("few", "most", 0)}
