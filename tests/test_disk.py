@@ -76,3 +76,11 @@ def test_correlated_tokens_among_some(spark):
     got = {(r["a"], r["b"], r["common"]) for r in si.correlated_tokens(rows, n, 0.85, chosen).collect()}
     assert got == {(r["a"], r["b"], r["common"]) for r in si.correlated_tokens(rows.filter("token <> 'copy'"), n, 0.85).collect()}
     assert got == {("half", "other", 0), ("half", "near", 29), ("near", "other", 1), ("few", "most", 0)}
+
+
+def test_hierarchical_blocks_read_events_that_are_joined_once(spark):
+    """Every block of the case reads the kept events; none joins and parses the line items again."""
+    from glyphmill.catalog import all_queries
+
+    got = all_queries()["c7_hierarchical_case"](spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in got._jdf.queryExecution().executedPlan().toString()
