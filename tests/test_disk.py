@@ -84,3 +84,50 @@ def test_hierarchical_blocks_read_events_that_are_joined_once(spark):
 
     got = all_queries()["c7_hierarchical_case"](spark, "/root/testdata/sf0.001")
     assert "lineitem" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def checkpoints(spark):
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    return {x for x in os.listdir(root) if x.startswith("rdd-")}
+
+
+def typed_rows(spark, n=60):
+    from glyphmill.sources.fixtures import typed_events
+
+    rows = [(i, f"g{(i + j) % 7}", f"{'ACDEF'[(i * j) % 5]}{10 * (i % 4) + j}{'GHIKL'[(i + j) % 5]}") for i in range(n) for j in range(4)]
+    placed = spark.createDataFrame([(i, "xyz"[i % 3], i % 5) for i in range(n)], "sid long, label string, fold int")
+    return typed_events(spark.createDataFrame(rows, "sid long, gene string, event string")), placed
+
+
+def test_a_design_leaves_its_rows_and_columns_only(spark):
+    from glyphmill.plans import compositions as co
+
+    typed, placed = typed_rows(spark)
+    cut_lineage(spark.range(1))
+    before = checkpoints(spark)
+    made = co.structured(typed, placed)
+    drop_table(made.typed)
+    assert len(checkpoints(spark) - before) == 2
+    assert made.design.select(0).count() == 60
+    assert {"entries", "dense"} <= set(made.design.rows.columns) and "array<struct" not in made.design.rows.schema["entries"].dataType.simpleString()
+
+
+def test_partitions_hold_a_multiple_of_what_they_send(spark):
+    from glyphmill.plans.wide import GRADIENTS, MOST_BYTES, PARTITION_BYTES, Wide
+
+    narrow, wide, widest = (Wide(None, None, width, [], 3 << 30, 5) for width in (1_000, 500_000, 5_000_000))
+    assert narrow.partitions() == (3 << 30) // PARTITION_BYTES
+    assert wide.partitions() * GRADIENTS * 8 * 500_000 * 5 <= (3 << 30) + GRADIENTS * 8 * 500_000 * 5
+    assert widest.partitions() == (3 << 30) // MOST_BYTES
+
+
+def test_saving_a_model_leaves_no_token_rows(spark, tmp_path):
+    from glyphmill.plans import compositions as co
+
+    typed, placed = typed_rows(spark)
+    cut_lineage(spark.range(1))
+    typed, fit = cut_lineage(typed), placed.filter("fold <> 0").select("sid", "label")
+    before = checkpoints(spark)
+    co.fit_saved_model(typed, fit, ["x", "y", "z"], str(tmp_path / "model"))
+    assert checkpoints(spark) == before
+    assert co.apply_saved_model(typed, placed.filter("fold = 0").select("sid"), str(tmp_path / "model")).count() == 12 * 3
