@@ -605,6 +605,9 @@ def correlated_tokens(tokens: DataFrame, n_rows: int, threshold: float, among: D
     if among is not None:
         every, packed = packed, cut_lineage(by_rows(packed, among.select("id").distinct(), ["id"], "left_semi"))
         drop_table(every)
+        if not _plain(packed):  # which repeated members meet depends on the numbers of the rows that take part
+            drop_table(packed)
+            packed = packed_sets(sets.join(among.select("id").distinct(), "id", "left_semi")).filter(F.col("size") < n_rows)
     ordered = _members(packed)
     s, n = F.col("size").cast("double"), float(n_rows)
     smallest = t2 * s * n / (n - s * (1 - t2))  # least partner support that can still reach the threshold

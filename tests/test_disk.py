@@ -131,3 +131,13 @@ def test_saving_a_model_leaves_no_token_rows(spark, tmp_path):
     co.fit_saved_model(typed, fit, ["x", "y", "z"], str(tmp_path / "model"))
     assert checkpoints(spark) == before
     assert co.apply_saved_model(typed, placed.filter("fold = 0").select("sid"), str(tmp_path / "model")).count() == 12 * 3
+
+
+def test_repeated_rows_meet_as_those_of_the_chosen_tokens_do(spark):
+    """Where rows repeat, the tokens that take part are numbered by their own rows."""
+    rows = [(sid, f"t{t}") for t in range(12) for sid in range(t % 4, 60, 1 + t % 3)]
+    rows += [(sid, "only") for sid in range(0, 60, 2)] + rows[::3]
+    tokens, chosen = spark.createDataFrame(rows, "sid long, token string"), spark.createDataFrame([(f"t{t}",) for t in range(12)], "id string")
+    seen = [sorted((r["a"], r["b"], r["common"], round(r["phi"], 9)) for r in si.correlated_tokens(x, 60, 0.85, among).collect())
+            for x, among in ((tokens, chosen), (tokens.filter("token <> 'only'"), None))]
+    assert seen[0] == seen[1]
